@@ -15,8 +15,8 @@ from .components import components
 
 #: Size of the frequency sketch (2**BITS counters) and the pieces in which it is added up.
 BITS, PIECES = 22, 64
-#: Members that one block of the product compares with their common row.
-BLOCK = 2_000
+#: Nodes of a square block of the product, columns multiplied at once, members that a head's row meets in one block.
+BLOCK, COLUMNS, MEMBERS = 256, 8_192, 2_000
 #: Words whose hashes a task remembers.
 MAX_WORDS = 300_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -140,16 +140,12 @@ def _similar_sizes(a: str, b: str, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def _verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (a, b) among pairs (head, node): blocks of the sparse product of heads by their members.
+def _sets(docs: DataFrame, places: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(cell, block, role, node, own): the set of each asked (node, cell, block, role), sorted by cell, block and role.
 
-    Each head's set is sent once to each block of its members; a task holds one head's set at a time and
-    adds up the overlap with each member that passes. ``places`` (node, doc_id) says where a set's text is.
+    ``places`` (node, doc_id) says where a set's text is. A node is asked for in few cells.
     """
-    sizes = pairs.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(sizes, "head").select("node", "head", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
-    heads = sizes.select(F.col("head").alias("node"), "head", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("role"))
-    asked = members.unionByName(heads).groupBy("node").agg(F.collect_list(F.struct("head", "block", "role")).alias("roles"))  # at most a few heads a set, and a set's own blocks
+    asked = asked.groupBy("node").agg(F.collect_list(F.struct("cell", "block", "role")).alias("roles"))
     asked = asked.join(places, "node").select(F.col("doc_id").alias("_asked"), "node", "roles")
     texts = docs.join(asked, docs["doc_id"].eqNullSafe(asked["_asked"])).select("text", "node", "roles")
 
@@ -159,11 +155,79 @@ def _verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, k: int, perc
             out = []
             for own, node, roles in zip(shingle_sets(batch.column("text").to_pylist(), k, known), batch.column("node").to_pylist(), batch.column("roles").to_pylist(), strict=True):
                 if len(own) and set_hash(own) == node:  # an id may be that of several rows
-                    out += [(r["head"], r["block"], r["role"], node, own.tobytes()) for r in roles]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["head", "block", "role", "node", "own"])
+                    out += [(r["cell"], r["block"], r["role"], node, own.tobytes()) for r in roles]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["cell", "block", "role", "node", "own"])
+
+    found = map_batches(texts, sets, "cell long, block int, role int, node long, own binary")
+    return found.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
+
+
+def overlaps(rows: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets: the sparse incidence times its transpose, a block of columns at a time."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    _, column, times = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # an n-gram of one set alone adds nothing
+    row = np.repeat(np.arange(len(rows)), sizes)[place >= 0]
+    place = place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.zeros((len(rows), len(rows)))
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        part = slice(*np.searchsorted(place, (low, low + COLUMNS)))
+        incidence = np.zeros((len(rows), COLUMNS), np.float32)
+        incidence[row[part], place[part] - low] = 1
+        total += incidence @ incidence.T
+    return total.astype(np.int64)
+
+
+def block_links(nodes: list[int], rows: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A link from each node to the first of its component in the block: pairs below the size-derived bounds are dropped."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    both = overlaps(rows)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    linked &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    first = np.arange(len(rows))
+    while True:
+        least = np.where(linked, first[None, :], len(rows)).min(axis=1)
+        least = np.minimum(first, least)
+        if np.array_equal(least, first):
+            break
+        first = least
+    return [(nodes[f], nodes[i]) for i, f in enumerate(first.tolist()) if f != i]
+
+
+def _multiplied(docs: DataFrame, places: DataFrame, cells: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each block of ``cells`` (node, cell, block)."""
+
+    def multiply(batches):
+        at, nodes, rows = None, [], []
 
-    blocks = map_batches(texts, sets, "head long, block int, role int, node long, own binary")
-    blocks = blocks.repartition("head", "block").sortWithinPartitions("head", "block", "role")
+        def links():
+            found = block_links(nodes, rows, percent) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for cell, block, _, node, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if at != (cell, block):
+                    yield links()
+                    at, nodes, rows = (cell, block), [], []
+                if node not in nodes:
+                    nodes.append(node)
+                    rows.append(np.frombuffer(own, np.uint64))
+        yield links()
+
+    return written(map_batches(_sets(docs, places, cells.withColumn("role", F.lit(0)), k), multiply, "a long, b long"))
+
+
+def _verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links (a, b) among pairs (head, node): rows of the product, each head by its members.
+
+    A head's set is sent once to each block of its members; a task holds one head's set at a time and
+    takes the overlap with each member that passes.
+    """
+    sizes = pairs.groupBy("head").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    members = pairs.join(sizes, "head").select("node", F.col("head").alias("cell"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
+    heads = sizes.select(F.col("head").alias("node"), F.col("head").alias("cell"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("role"))
 
     def multiply(batches):
         at, row = None, None
@@ -173,14 +237,14 @@ def _verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, k: int, perc
                 column = np.frombuffer(own, np.uint64)
                 if role == 0:
                     at, row = (head, block), column
-                elif at == (head, block) and 100 * min(len(row), len(column)) >= percent * max(len(row), len(column)):
+                elif at == (head, block):
                     overlap = len(np.intersect1d(row, column, assume_unique=True))
                     if 100 * overlap >= percent * (len(row) + len(column) - overlap):
                         a.append(head)
                         b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return written(map_batches(blocks, multiply, "a long, b long"))
+    return written(map_batches(_sets(docs, places, members.unionByName(heads), k), multiply, "a long, b long"))
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -192,10 +256,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col:
     copies, are one node. Null ids are allowed and never the smallest unless there is no other; an empty table
     gives no row; extra columns go.
 
-    Two linked sets share an n-gram of their prefixes and have similar sizes. Each n-gram's smallest
-    node is its head; a node is first compared with the head it meets most often, which joins the
-    members of a group of near copies by few products. All pairs of an n-gram that are then in
-    different components are compared too, so no link between components is lost.
+    Two linked sets share an n-gram of their prefixes and have similar sizes. A node goes to the n-gram of its
+    prefix that most nodes have, where blocks of at most about BLOCK nodes are multiplied whole; n-grams of
+    more than one block are dealt into blocks anew and multiplied again, which joins near all of a large
+    group of near copies. Then every pair of an n-gram whose nodes are still in different components is
+    compared, so no link between components is lost.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     described = _described(docs, words)
@@ -203,13 +268,22 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col:
     places = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     postings = written(_postings(docs, words, percent, _frequency_levels(described)))
     dealt = postings.repartition("key")
-    heads = dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.max("node").alias("top")).where("h.node != top")
-    met = written(dealt.join(heads.select("key", F.col("h.node").alias("head"), F.col("h.n").alias("head_n")), "key").distinct())
-    first = met.where("node != head").where(_similar_sizes("n", "head_n", percent)).groupBy("node", "head").agg(F.count("*").alias("times"))
-    first = written(first.groupBy("node").agg(F.max(F.struct("times", "head"))["head"].alias("head")))
-    links = _verified(docs, places, first, words, percent)
+    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("times")).where("low != top")
+    met = written(dealt.join(shared.select("key", "times"), "key").distinct())
+    homes = met.groupBy("node").agg(F.max(F.struct("times", "key"))["key"].alias("cell"))
+    sizes = homes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1")
+    homes = written(homes.join(sizes, "cell"))
+    deal = lambda turn: F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int").alias("block")
+    links = _multiplied(docs, places, homes.select("node", "cell", deal(1)), words, percent)
+    again = homes.where("blocks > 1")
+    if not again.isEmpty():
+        links = links.unionByName(_multiplied(docs, places, again.select("node", "cell", deal(2)), words, percent))
     joined = components(links)
-    left = _open_pairs(met, joined, percent)
+    large = met.where(F.col("times") > BLOCK).select("key", "node")
+    if not large.isEmpty():
+        links = links.unionByName(_multiplied(docs, places, _family_cells(large, joined), words, percent))
+        joined = components(links)
+    left = _open_pairs(met.where(F.col("times") <= BLOCK), joined, percent)
     if not left.isEmpty():
         joined = components(links.unionByName(_verified(docs, places, left, words, percent)))
     least = joined.join(places, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -218,6 +292,25 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col:
     return rows.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _family_cells(large: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, cell, block) for the nodes of n-grams of more than one block, wherever those are not yet all joined.
+
+    Nodes that such n-grams connect are a family. Blocks of the nodes outside its largest component meet
+    blocks of all its nodes, so a node goes to a cell for each block on the other side, and no pairs are written.
+    """
+    heads = large.groupBy("key").agg(F.min("node").alias("head"))
+    family = components(large.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "cell")
+    nodes = family.join(joined, "node", "left").select("node", "cell", F.coalesce("component", "node").alias("component"))
+    sizes = nodes.groupBy("cell", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("cell").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    down, across = F.ceil((F.col("all") - F.col("main.size")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    nodes = written(nodes.join(main.select("cell", F.col("main.component").alias("main"), down.alias("down"), across.alias("across")), "cell"))
+    own = lambda turn, n: F.pmod(F.xxhash64("node", F.lit(turn)), F.col(n)).cast("int")
+    rows = nodes.where("component != main").withColumn("i", own(3, "down")).select("node", "cell", F.explode(F.expr("transform(sequence(0, across - 1), j -> i * across + j)")).alias("block"))
+    columns = nodes.withColumn("j", own(4, "across")).select("node", "cell", F.explode(F.expr("transform(sequence(0, down - 1), i -> i * across + j)")).alias("block"))
+    return rows.unionByName(columns)
+
+
 def _open_pairs(met: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Pairs of an n-gram's nodes that are in different components, from n-grams with more than one."""
     lists = met.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -243,3 +336,21 @@ def keep_one_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+#: What op5_ngram_jaccard returns, for DuckDB.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+overlaps AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM overlaps o JOIN sizes x ON o.a = x.doc_id JOIN sizes y ON o.b = y.doc_id WHERE 100 * o.o >= 85 * (x.n + y.n - o.o)),
+both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, a AS b FROM both UNION SELECT r.a, l.b FROM reach r JOIN both l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.m, d.doc_id)::BIGINT AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.a = d.doc_id
+"""
