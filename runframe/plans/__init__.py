@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .oracle import ORACLE_SQL
+from .queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
