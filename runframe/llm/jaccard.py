@@ -17,6 +17,10 @@ from .components import components
 BITS, PIECES = 22, 64
 #: Nodes of a square block of the product, columns multiplied at once, members that a head's row meets in one block.
 BLOCK, COLUMNS, MEMBERS = 256, 8_192, 2_000
+#: A prefix holds one n-gram more for each EXTRA of the set, and linked sets share that many more.
+EXTRA = 20
+#: So many sets asked for are broadcast at most to where the texts are; more are joined by a shuffle.
+BROADCAST_SETS = 300_000
 #: Words whose hashes a task remembers.
 MAX_WORDS = 300_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -65,6 +69,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_shared(n, percent: int | None = None):
+    """So many n-grams the prefixes of linked sets share, the smaller of n; with ``percent``, for any partner of a set of n."""
+    if percent is not None:
+        n = F.ceil(n * percent / 100)
+    return 1 + F.floor(n / EXTRA)
+
+
 def _described(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document: doc_id, n, node (hash of its set; null if empty); and rows with the task's n-gram counts."""
 
@@ -123,7 +134,7 @@ def _postings(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(node)
-                first = prefix_length(n, percent)
+                first = prefix_length(n, percent) + n // EXTRA
                 if first < n:
                     rank = order[own >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(56) | own * _P >> np.uint64(8)
                     own = own[np.argpartition(rank, first - 1)[:first]]
@@ -146,7 +157,8 @@ def _sets(docs: DataFrame, places: DataFrame, asked: DataFrame, k: int) -> DataF
     ``places`` (node, doc_id) says where a set's text is. A node is asked for in few cells.
     """
     asked = asked.groupBy("node").agg(F.collect_list(F.struct("cell", "block", "role")).alias("roles"))
-    asked = asked.join(places, "node").select(F.col("doc_id").alias("_asked"), "node", "roles")
+    asked = written(asked.join(places, "node").select(F.col("doc_id").alias("_asked"), "node", "roles"))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_SETS else asked
     texts = docs.join(asked, docs["doc_id"].eqNullSafe(asked["_asked"])).select("text", "node", "roles")
 
     def sets(batches):
@@ -256,7 +268,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col:
     copies, are one node. Null ids are allowed and never the smallest unless there is no other; an empty table
     gives no row; extra columns go.
 
-    Two linked sets share an n-gram of their prefixes and have similar sizes. A node goes to the n-gram of its
+    Two linked sets share least_shared n-grams of their prefixes and have similar sizes, so a set
+    that shares fewer with all others is done. A node goes to the n-gram of its
     prefix that most nodes have, where blocks of at most about BLOCK nodes are multiplied whole; n-grams of
     more than one block are dealt into blocks anew and multiplied again, which joins near all of a large
     group of near copies. Then every pair of an n-gram whose nodes are still in different components is
@@ -269,7 +282,10 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col:
     postings = written(_postings(docs, words, percent, _frequency_levels(described)))
     dealt = postings.repartition("key")
     shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("times")).where("low != top")
-    met = written(dealt.join(shared.select("key", "times"), "key").distinct())
+    met = written(dealt.join(shared.select("key"), "key").distinct())
+    able = met.groupBy("node", "n").agg(F.count("*").alias("keys")).where(F.col("keys") >= least_shared(F.col("n"), percent)).select("node")
+    able = met.join(able, "node")
+    met = written(able.join(able.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "key"))
     homes = met.groupBy("node").agg(F.max(F.struct("times", "key"))["key"].alias("cell"))
     sizes = homes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1")
     homes = written(homes.join(sizes, "cell"))
@@ -312,14 +328,18 @@ def _family_cells(large: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _open_pairs(met: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs of an n-gram's nodes that are in different components, from n-grams with more than one."""
+    """Pairs of nodes in different components that share enough n-grams, from n-grams with more than one component.
+
+    Only pairs that share no n-gram of more than one block need be found here, and of those all n-grams are counted.
+    """
     lists = met.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = lists.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     lists = written(lists.join(main, "key"))
     strays = lists.where("component != main").select("key", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("component").alias("head_component"))
     both = strays.join(lists, "key").where((F.col("component") != F.col("head_component")) & ((F.col("component") == F.col("main")) | (F.col("head") < F.col("node"))) & _similar_sizes("n", "head_n", percent))
-    return written(both.select("head", "node").distinct())
+    counted = both.groupBy("head", "node").agg(F.count("*").alias("keys"), F.least(F.first("n"), F.first("head_n")).alias("n"))
+    return written(counted.where(F.col("keys") >= least_shared(F.col("n"))).select("head", "node"))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
