@@ -38,7 +38,9 @@ def signatures(lines: DataFrame, edits: int) -> DataFrame:
     shorter by d, a substring counts whose shift is at most i from the left and, less d, at most
     edits - i from the right: with more, an earlier or later segment would match too.
     """
-    line, length = F.col("line"), F.length("line")
+    lines = lines.select("line", F.length("line").alias("length")).where(F.col("length") >= LEAST_CHARS)
+    lines = lines.select("line", "length", F.xxhash64("line").alias("id"))
+    line, length = F.col("line"), F.col("length")
     rows = []
     for d in range(edits + 1):
         for i, (start, size) in enumerate(segments(length - d, edits)):
@@ -47,7 +49,7 @@ def signatures(lines: DataFrame, edits: int) -> DataFrame:
                 key = F.xxhash64(F.substring(line, start + 1 + shift, size), length - d, F.lit(i))
                 row = F.struct(key.alias("key"), F.lit(not own).alias("probe"))
                 rows.append(row if own else F.when((start + shift >= 0) & (start + shift + size <= length), row))
-    found = lines.where(length >= LEAST_CHARS).select(F.xxhash64("line").alias("id"), length.alias("length"), F.explode(F.array_compact(F.array(*rows))).alias("s"))
+    found = lines.select("id", "length", F.explode(F.array_compact(F.array(*rows))).alias("s"))
     return found.select("s.key", "id", "length", "s.probe").distinct()
 
 
@@ -57,7 +59,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     Lines within ``edits`` share one of edits + 1 segments with a probed substring; a banded edit distance
     that stops beyond the threshold verifies the candidates.
     """
-    rows = signatures(lines, edits)
+    rows = written(signatures(lines, edits))
     index = rows.where("not probe").select("key", F.col("id").alias("a"), F.col("length").alias("length_a"))
     meets = index.join(rows, "key").where("a != id and (length_a < length or probe or a < id)")
     pairs = written(meets.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
