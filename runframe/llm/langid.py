@@ -163,5 +163,7 @@ def reject(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     column of null gives ``und`` and goes too. Repeated rows are each kept or each rejected.
     """
     langs, matrix = train(docs)
-    found = predict(docs.withColumn("_copy", F.col("text")), langs, matrix, text_col="_copy", keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they do not clash with those added
+    plain = docs.toDF(*names).withColumn("_copy", F.col(names[docs.columns.index("text")]))
+    found = predict(plain, langs, matrix, text_col="_copy", keep=tuple(names))
+    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE)).select(*names).toDF(*docs.columns)

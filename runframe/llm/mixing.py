@@ -120,13 +120,12 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows, pieces, _ = mix(docs)
     copies = pieces.groupBy("rank", "start").agg(F.array_sort(F.collect_list(F.struct("at", "words", "uses"))).alias("parts"))  # a document's own pieces
-    kept = rows.where("size > 0").join(copies, ["rank", "start"]).select(F.col("doc_id").alias("_id"), "text_hash", "size", "parts")
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "text_hash", "source"])
-    hashed = hashed.dropDuplicates(["doc_id", "text_hash"])
-    joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (hashed["text_hash"] == kept["text_hash"]))
-    joined = joined.withColumn("_copy", F.explode(F.expr("sequence(1L, array_max(transform(parts, x -> x.uses)))")))
-    joined = joined.withColumn("_used", F.expr("filter(parts, x -> x.uses >= _copy)"))
-    whole = F.expr("aggregate(_used, 0L, (n, x) -> n + x.words)") == F.col("size")
+    kept = rows.where("size > 0").join(copies, ["rank", "start"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept_hash"), F.col("size").alias("_size"), F.col("parts").alias("_parts"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "_text_hash"])
+    joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_kept_hash")))
+    joined = joined.withColumn("_copy", F.explode(F.expr("sequence(1L, array_max(transform(_parts, x -> x.uses)))")))
+    joined = joined.withColumn("_used", F.expr("filter(_parts, x -> x.uses >= _copy)"))
+    whole = F.expr("aggregate(_used, 0L, (n, x) -> n + x.words)") == F.col("_size")
     words = F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_used", lambda x: F.slice(words, (x["at"] + 1).cast("int"), x["words"].cast("int")))), ""))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
