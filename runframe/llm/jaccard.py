@@ -281,10 +281,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col:
     places = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     postings = written(_postings(docs, words, percent, _frequency_levels(described)))
     dealt = postings.repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("times")).where("low != top")
+    # Reading n here too gives both sides of the join the same columns, so that one shuffle serves both.
+    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.max("n").alias("n")).where("low != top and n > 0")
     met = written(dealt.join(shared.select("key"), "key").distinct())
-    able = met.groupBy("node", "n").agg(F.count("*").alias("keys")).where(F.col("keys") >= least_shared(F.col("n"), percent)).select("node")
-    able = met.join(able, "node")
+    by_node = met.repartition("node")
+    able = by_node.groupBy("node").agg(F.count("key").alias("keys"), F.max("n").alias("n")).where(F.col("keys") >= least_shared(F.col("n"), percent)).select("node")
+    able = by_node.join(able, "node").select("key", "node", "n")
     met = written(able.join(able.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "key"))
     homes = met.groupBy("node").agg(F.max(F.struct("times", "key"))["key"].alias("cell"))
     sizes = homes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1")
