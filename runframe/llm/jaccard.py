@@ -340,8 +340,11 @@ def _open_pairs(met: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     lists = written(lists.join(main, "key"))
     strays = lists.where("component != main").select("key", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("component").alias("head_component"))
     both = strays.join(lists, "key").where((F.col("component") != F.col("head_component")) & ((F.col("component") == F.col("main")) | (F.col("head") < F.col("node"))) & _similar_sizes("n", "head_n", percent))
-    counted = both.groupBy("head", "node").agg(F.count("*").alias("keys"), F.least(F.first("n"), F.first("head_n")).alias("n"))
-    return written(counted.where(F.col("keys") >= least_shared(F.col("n"))).select("head", "node"))
+    # Which of a pair is the stray depends on the n-gram, so a pair is counted whichever way round its n-grams give it.
+    pair = both.select(F.least("head", "node").alias("low"), F.greatest("head", "node").alias("top"), (F.col("head") < F.col("node")).cast("int").alias("low_heads"), F.least("n", "head_n").alias("n"))
+    counted = pair.groupBy("low", "top").agg(F.count("*").alias("keys"), F.sum("low_heads").alias("low_heads"), F.first("n").alias("n")).where(F.col("keys") >= least_shared(F.col("n")))
+    low_heads = 2 * F.col("low_heads") >= F.col("keys")
+    return written(counted.select(F.when(low_heads, F.col("low")).otherwise(F.col("top")).alias("head"), F.when(low_heads, F.col("top")).otherwise(F.col("low")).alias("node")))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -159,6 +159,14 @@ def test_jaccard(docs, rows, k, percent, block, monkeypatch):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_open_pairs_count_ngrams_of_either_main(spark):
+    """Nodes 1 and 2 share ten n-grams: in five node 1's component is the main one, in five node 2's."""
+    met = [(key, node, 100) for key in range(10) for node in (1, 2, 3 if key < 5 else 4)]
+    joined = spark.createDataFrame([(1, 1), (3, 1), (2, 2), (4, 2)], "node long, component long")
+    found = jaccard._open_pairs(spark.createDataFrame(met, "key long, node long, n long"), joined, 85)
+    assert [tuple(sorted(r)) for r in found.collect()] == [(1, 2)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
