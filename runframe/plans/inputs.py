@@ -63,3 +63,8 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, text): whole benchmark texts."""
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias(KEY), "text")
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, text): whole texts of all documents, whatever their length."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias(KEY), F.coalesce("text", F.lit("")).alias("text"))

@@ -50,6 +50,12 @@ def _bwt(spark, d):
     return written(recover.suffix_sort(inputs.part_names(spark, d)))
 
 
+def _long_bwt(spark, d):
+    """The BWTs of whole documents by prefix doubling."""
+    texts = written(inputs.document_texts(spark, d))
+    return written(recover.bwt_of(texts, recover.suffix_array(texts)))
+
+
 def q_runs(spark, d):
     return runs.decompose(_d1(spark, d))
 
@@ -274,70 +280,70 @@ def q_fl_move(spark, d):
     return rlbwt.fl_move(inputs.event_runs(spark, d), NO_SPLITTING).select(*MOVE, "ch")
 
 
-def q_bwt(spark, d):
-    return _bwt(spark, d)
+def q_bwt(spark, d, bwt=_bwt):
+    return bwt(spark, d)
 
 
-def q_suffix_array(spark, d):
-    """By prefix doubling, over whole benchmark texts."""
-    return recover.suffix_array(inputs.benchmark_texts(spark, d))
+def q_suffix_array(spark, d, texts=inputs.benchmark_texts):
+    """By prefix doubling, over whole texts."""
+    return recover.suffix_array(texts(spark, d))
 
 
-def q_bwt_long(spark, d):
-    texts = inputs.benchmark_texts(spark, d)
-    return recover.bwt_of(texts, recover.suffix_array(texts))
+def q_bwt_long(spark, d, texts=inputs.benchmark_texts):
+    rows = texts(spark, d)
+    return recover.bwt_of(rows, recover.suffix_array(rows))
 
 
-def q_phi(spark, d):
-    return phi.phi_runs(_bwt(spark, d))
+def q_phi(spark, d, bwt=_bwt):
+    return phi.phi_runs(bwt(spark, d))
 
 
-def q_phi_inv(spark, d):
-    return phi.phi_inv_runs(_bwt(spark, d))
+def q_phi_inv(spark, d, bwt=_bwt):
+    return phi.phi_inv_runs(bwt(spark, d))
 
 
-def q_phi_rank(spark, d):
-    return runs.with_image_rank(phi.phi_runs(_bwt(spark, d))).select(KEY, "interval", "length", "image_rank")
+def q_phi_rank(spark, d, bwt=_bwt):
+    return runs.with_image_rank(phi.phi_runs(bwt(spark, d))).select(KEY, "interval", "length", "image_rank")
 
 
-def q_phi_inv_rank(spark, d):
-    return runs.with_image_rank(phi.phi_inv_runs(_bwt(spark, d))).select(KEY, "interval", "length", "image_rank")
+def q_phi_inv_rank(spark, d, bwt=_bwt):
+    return runs.with_image_rank(phi.phi_inv_runs(bwt(spark, d))).select(KEY, "interval", "length", "image_rank")
 
 
-def q_phi_move(spark, d):
+def q_phi_move(spark, d, bwt=_bwt):
     """The move table of φ from the runs of the BWT alone."""
-    rle = rlbwt.run_length_encode(_bwt(spark, d).select(KEY, "i", "ch"))
+    rle = rlbwt.run_length_encode(bwt(spark, d).select(KEY, "i", "ch"))
     return phi.phi_move(rle, NO_SPLITTING).select(*MOVE)
 
 
-def q_phi_inv_move(spark, d):
-    rle = rlbwt.run_length_encode(_bwt(spark, d).select(KEY, "i", "ch"))
+def q_phi_inv_move(spark, d, bwt=_bwt):
+    rle = rlbwt.run_length_encode(bwt(spark, d).select(KEY, "i", "ch"))
     return phi.phi_inv_move(rle, NO_SPLITTING).select(*MOVE)
 
 
-def q_text_lf(spark, d):
-    return recover.text_by_lf(_bwt(spark, d).select(KEY, "i", "ch"))
+def q_text_lf(spark, d, bwt=_bwt):
+    return recover.text_by_lf(bwt(spark, d).select(KEY, "i", "ch"))
 
 
-def q_text_fl(spark, d):
-    return recover.text_by_fl(_bwt(spark, d).select(KEY, "i", "ch"))
+def q_text_fl(spark, d, bwt=_bwt):
+    return recover.text_by_fl(bwt(spark, d).select(KEY, "i", "ch"))
 
 
-def q_sa_phi(spark, d):
-    return recover.suffix_array_by_phi(runs.expand(phi.phi_runs(_bwt(spark, d))))
+def q_sa_phi(spark, d, bwt=_bwt):
+    return recover.suffix_array_by_phi(runs.expand(phi.phi_runs(bwt(spark, d))))
 
 
-def q_sa_phi_inv(spark, d):
-    return recover.suffix_array_by_phi_inv(runs.expand(phi.phi_inv_runs(_bwt(spark, d))))
+def q_sa_phi_inv(spark, d, bwt=_bwt):
+    return recover.suffix_array_by_phi_inv(runs.expand(phi.phi_inv_runs(bwt(spark, d))))
 
 
-def q_orbit(spark, d):
+def q_orbit(spark, d, bwt=_bwt):
     """Positions of each text's BWT in the order in which LF meets them."""
-    return navigate.orbit(rlbwt.lf(_bwt(spark, d)).drop("ch"))
+    return navigate.orbit(rlbwt.lf(bwt(spark, d)).drop("ch"))
 
 
-def q_single_cycle(spark, d):
-    return navigate.is_single_cycle(rlbwt.lf(_bwt(spark, d)).drop("ch"))
+def q_single_cycle(spark, d, bwt=_bwt):
+    return navigate.is_single_cycle(rlbwt.lf(bwt(spark, d)).drop("ch"))
 
 
 def q_store_roundtrip(spark, d):
@@ -362,4 +368,18 @@ def q_separate_payload(spark, d):
 
 QUERIES: dict = {name: f for name, f in list(globals().items()) if name.startswith("q_") and callable(f)}
 
+
+def _over(query, **source):
+    def run(spark, d):
+        return query(spark, d, **source)
+
+    run.__doc__, run.__name__ = query.__doc__, query.__name__.replace("q_", "doc_", 1)
+    return run
+
+
+#: The text queries over whole documents, named doc_ for q_; SQL that sorts suffixes of such texts is too slow, so there is none.
+ON_BWT = [q_bwt, q_phi, q_phi_inv, q_phi_rank, q_phi_inv_rank, q_phi_move, q_phi_inv_move, q_text_lf, q_text_fl, q_sa_phi, q_sa_phi_inv, q_orbit, q_single_cycle]
+ON_TEXTS = [q_suffix_array, q_bwt_long]
+QUERIES |= {f.__name__: f for f in [*(_over(q, bwt=_long_bwt) for q in ON_BWT), *(_over(q, texts=inputs.document_texts) for q in ON_TEXTS)]}
+
 __all__ = ["QUERIES", "DataFrame", "SparkSession"]

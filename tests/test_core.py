@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from runframe.plans import QUERIES
 from runframe.functions import alphabets, scalars
 from runframe.model import NO_SPLITTING, ONLY_BALANCING, SplitParams
 from runframe.operators import movetable, navigate, phi, recover, rlbwt, runs, scan, search, split
@@ -147,6 +148,17 @@ def test_prefix_doubling(spark):
     assert sorted(recover.bwt_of(frame, found).collect()) == sorted(recover.suffix_sort(frame).collect())
 
 
+def test_text_queries_read_whole_documents(spark, tmp_path):
+    texts = {3: "banana bandana " * 30, 5: "x", 8: "", 9: "é\nab" * 5 + "z" * 70}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    marked = {k: t + chr(1) for k, t in texts.items()}
+    order = {k: sorted(range(len(t)), key=lambda j, t=t: t[j:]) for k, t in marked.items()}
+    found = QUERIES["doc_bwt"](spark, str(tmp_path)).select("seq_id", "i", "ch", "sa").collect()
+    assert sorted(map(tuple, found)) == [(k, i, marked[k][j - 1], j) for k in sorted(order) for i, j in enumerate(order[k])]
+    found = QUERIES["doc_text_lf"](spark, str(tmp_path)).collect()
+    assert {r.seq_id: r.text for r in found} == {k: t for k, t in texts.items() if t}
+
+
 def test_scans_in_blocks(spark):
     rows = spark.createDataFrame([(k, i, (i * 7) % 5, i if i % 4 == 0 else None) for k in (0, 1) for i in range(50)], "seq_id long, i long, v long, w long")
     summed = scan.exclusive_sum(rows, ["seq_id"], "i", F.col("v"), "s", block=7)
