@@ -160,10 +160,10 @@ def media_features(media: DataFrame, media_col: str = "media", keep: tuple[str,
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
-    """All documents stored as PGM images, read back, with digests of both forms."""
+    """All documents stored as PGM images, read back, with digests of both forms and of the NPY tile."""
     stored = encode_texts(table(spark, sf_dir, "documents"))
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    back = media_features(stored, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"), tiles=False)
+    back = media_features(stored, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     size = F.octet_length("payload")
     return back.select(
         "doc_id",
@@ -174,4 +174,6 @@ def op4_media_columns(spark, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         "feature",
+        F.octet_length("tile").cast("long").alias("tile_bytes"),
+        F.sha2("tile", 256).alias("tile_sha256"),
     )

@@ -134,6 +134,16 @@ def test_media(docs, rows):
         media.decode(b"GIF89a")
 
 
+def test_media_query_makes_tiles(spark):
+    found = media.op4_media_columns(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), "doc_id").limit(20).collect()
+    assert found
+    for r in found:
+        raw = (r.text or "").encode()
+        pixels = np.frombuffer(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"), np.uint8).reshape(-1, 64)
+        tile = media.npy_tile(pixels)
+        assert (r.tile_bytes, r.tile_sha256) == (len(tile), hashlib.sha256(tile).hexdigest())
+
+
 def brute_groups(found, k, percent):
     sets = {}
     for i, (text) in found.items():
