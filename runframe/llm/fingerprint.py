@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, table, written
+from .components import components
 
 #: Walks start anew at content-defined cuts: after about MEAN characters, MOST at the latest.
 MEAN, MOST = 128, 512
@@ -17,6 +18,8 @@ MEAN, MOST = 128, 512
 STRETCH, SAMPLE = 3, 16
 #: Slots of a fingerprint (8 bits each), and slots of a band.
 SLOTS, BAND = 64, 4
+#: Most edits between texts that are near.
+NEAR_EDITS = 64
 #: Characters embedded at once.
 CHUNK = 2_000_000
 #: Ordered ranges of ids that are put side by side to find each document's next one.
@@ -190,22 +193,66 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
     return map_batches(side_by_side(docs, text_col, id_col), walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, most_edits: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_a, id_b, edits) of near texts: each to the smallest id that shares a band with it, where the edit distance is at most ``most_edits``.
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, most_edits: int) -> DataFrame:
+    """(a, b, edits) of the pairs (a, b) of nodes whose texts are within ``most_edits``."""
+    pairs = written(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    one = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    both = pairs.join(one.select(F.col("node").alias("a"), F.col("text").alias("_a")), "a").join(one.select(F.col("node").alias("b"), F.col("text").alias("_b")), "b")
+    return written(both.withColumn("edits", F.levenshtein("_a", "_b", most_edits)).where("edits >= 0").select("a", "b", "edits"))
+
+
+def near_links(docs: DataFrame, most_edits: int, text_col: str = "text") -> DataFrame:
+    """(a, b, edits) of links between near texts, each text by its node, the hash of the text; empty texts have none.
 
-    Equal texts are first reduced to the one of smallest id. Every band of BAND slots names candidates;
-    a band gives one pair per member, not all pairs, and the edit distance verifies each.
+    Every band of BAND slots names candidates. Each member of a band's bucket is first verified against one head;
+    then all pairs of a bucket that are still in different components are, so the links join
+    all texts that any verified pair of a bucket would join. Pairs inside a component are not all listed.
     """
-    one = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("text").agg(F.min("id").alias("id"))
-    found = written(fingerprints(one, keep=("id", "text")))
+    texts = _texts(docs, text_col)
+    found = fingerprints(texts, keep=("node", F.length("text").alias("n"))).where("n > 0").dropDuplicates(["node"])
     width = 2 * BAND
-    bands = found.select("id", F.posexplode(F.expr(f"transform(sequence(0, {SLOTS // BAND - 1}), i -> substring(fingerprint, i * {width} + 1, {width}))")).alias("band", "key"))
-    heads = bands.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(heads, ["band", "key"]).where("id > head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
-    a, b = found.select(F.col("id").alias("id_a"), F.col("text").alias("_a")), found.select(F.col("id").alias("id_b"), F.col("text").alias("_b"))
-    return pairs.join(b, "id_b").join(a, "id_a").withColumn("edits", F.levenshtein("_a", "_b", most_edits)).where("edits >= 0").select("id_a", "id_b", "edits")
+    bands = written(found.select("node", "n", F.posexplode(F.expr(f"transform(sequence(0, {SLOTS // BAND - 1}), i -> substring(fingerprint, i * {width} + 1, {width}))")).alias("band", "key")))
+    heads = bands.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").select("band", "key", "head")
+    bands = written(bands.join(heads, ["band", "key"]))
+    close = lambda n, m: F.abs(F.col(n) - F.col(m)) <= most_edits
+    tried = written(bands.where((F.col("node") > F.col("head.node")) & close("n", "head.n")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
+    links = _checked(tried, texts, most_edits)
+    lists = bands.select("band", "key", "node", "n").join(components(links.select("a", "b")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = lists.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "key", "main")
+    lists = written(lists.join(main, ["band", "key"]))
+    strays = lists.where("component != main").select("band", "key", F.col("node").alias("stray"), F.col("n").alias("stray_n"), F.col("component").alias("stray_component"))
+    both = strays.join(lists, ["band", "key"]).where((F.col("component") != F.col("stray_component")) & ((F.col("component") == F.col("main")) | (F.col("stray") < F.col("node"))) & close("n", "stray_n"))
+    left = both.select(F.least("stray", "node").alias("a"), F.greatest("stray", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(_checked(left, texts, most_edits))
+
+
+def near_pairs(docs: DataFrame, most_edits: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id_a, id_b, edits) of the links of ``near_links``; equal texts go by their smallest id."""
+    ids = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(id_col).alias("id")).groupBy("node").agg(F.min("id").alias("id"))
+    links = near_links(docs, most_edits, text_col)
+    pairs = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("_a")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("_b")), "b")
+    return pairs.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"), "edits")
+
+
+def near_ids(docs: DataFrame, most_edits: int = NEAR_EDITS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, node, near_id) of every row: near_id is the smallest id of the texts that are equal or joined by links."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"))
+    joined = components(near_links(docs, most_edits, text_col).select("a", "b"))
+    rows = written(rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("near_id"))
+    return rows.join(least, "component").select("doc_id", "node", "near_id")
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
-    return compare_with_next(table(spark, sf_dir, "documents"))
+    """Fingerprints of all documents and of their edited texts, and the smallest id among each document's near texts."""
+    docs = table(spark, sf_dir, "documents")
+    near = near_ids(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("near_id").alias("near_id"))
+    found = compare_with_next(docs)
+    return found.join(near, found["doc_id"].eqNullSafe(near["_id"]), "left").select(*found.columns, "near_id")

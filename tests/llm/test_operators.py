@@ -243,6 +243,27 @@ def test_near_pairs(docs):
     assert found and all(0 < n <= 30 for n in found.values())
 
 
+def test_near_pairs_behind_a_far_head(spark, monkeypatch):
+    """One bucket whose smallest id, and smallest hash, is far from the other two, which are near each other."""
+    monkeypatch.setattr(fingerprint, "fingerprints", lambda docs, text_col="text", keep=("doc_id",): docs.select(*keep, F.lit("00" * fingerprint.SLOTS).alias("fingerprint")))
+    bodies = spark.createDataFrame([(f"{i} {'abcdefgh' * 9}",) for i in range(40)], "text string").select("text", F.xxhash64("text").alias("node")).orderBy("node").collect()
+    near = [bodies[-1].text, bodies[-2].text]
+    far = next(t for t in ("".join(random.Random(i).choice("xyz") for _ in range(75)) for i in range(99)) if spark.range(1).select((F.xxhash64(F.lit(t)) < bodies[-2].node).alias("x")).first().x)
+    frame = spark.createDataFrame([(1, far), (2, near[0]), (3, near[1])], "doc_id long, text string")
+    assert [(r.id_a, r.id_b) for r in fingerprint.near_pairs(frame, 5).collect()] == [(2, 3)]
+    assert {r.doc_id: r.near_id for r in fingerprint.near_ids(frame, 5).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_near_recall(spark, docs):
+    """Texts of 200 characters or more within 30 edits, by brute force, and the share of them that have one near_id."""
+    near = {r.doc_id: r.near_id for r in fingerprint.near_ids(docs.where("doc_id != 3"), 30).collect()}
+    rows = docs.where("doc_id != 3 and length(text) between 200 and 4000").select("doc_id", "text")
+    true = rows.alias("a").join(rows.alias("b"), F.expr("a.doc_id < b.doc_id and levenshtein(a.text, b.text, 30) >= 0")).select("a.doc_id", F.col("b.doc_id").alias("other")).collect()
+    recall = sum(near[r.doc_id] == near[r.other] for r in true) / len(true)
+    print("recall", recall, "of", len(true))
+    assert recall >= 0.9
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
