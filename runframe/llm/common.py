@@ -57,6 +57,11 @@ def rows_of(batches: Iterator[pa.RecordBatch], names: dict[str, pa.DataType], ma
         yield pa.RecordBatch.from_arrays([pa.array(out[k], type=t) for k, t in names.items()], names=list(names))
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids fall in no fold."""
     return F.crc32(F.col(id_col).cast("string")) % parts

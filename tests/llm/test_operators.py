@@ -273,24 +273,50 @@ def levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_near_lines(spark, edits):
-    rng = random.Random(edits)
-    found = {"".join(rng.choice("abé") for _ in range(rng.randint(20, 32))) for _ in range(12)}
+def joined(links):
+    """The smallest line reachable from each line of the links."""
+    group = {x: x for pair in links for x in pair}
+    for a, b in links:
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        if old != new:
+            group = {x: new if g == old else g for x, g in group.items()}
+    return group
+
+
+@pytest.mark.parametrize(("bands", "hot"), [(((24, 1),), 16), (((20, 1), (28, 2)), 2), (((8, 3),), 4)])
+def test_near_lines(spark, bands, hot, monkeypatch):
+    """All lines share a segment with many others; with a small HOT, keys are narrowed to the end."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = random.Random(hot)
+    found = {"".join(rng.choice("abé\U0001f600") for _ in range(rng.randint(7, 32))) for _ in range(12)}
     for line in list(found):
-        for _ in range(6):
+        for _ in range(8):
             s = list(line)
             for _ in range(rng.randint(1, 3)):
                 at = rng.randrange(len(s))
                 s[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
             found.add("".join(s))
+    found |= {f"the same beginning of all, {rng.randrange(400):03d}" for _ in range(60)} | {f"one more letter in all of them: {c}{d}" for c in "abcdefg" for d in ["", *"abcdefg"]}
     found = sorted(found)
     frame = spark.createDataFrame([(x,) for x in found], "line string")
     name = {r.id: r.line for r in frame.select(F.xxhash64("line").alias("id"), "line").collect()}
-    got = {tuple(sorted((name[r.a], name[r.b]))) for r in lines.near_lines(frame, edits).collect()}
-    long = [x for x in found if len(x) >= lines.LEAST_CHARS]
-    want = {(a, b) for a in long for b in long if a < b and levenshtein(a, b) <= edits}
-    assert got == want and want
+    got = [(name[r.a], name[r.b]) for r in lines.near_lines(frame, bands).collect()]
+    most = lambda a, b: max((e for low, e in bands if min(len(a), len(b)) >= low), default=-1)
+    want = [(a, b) for a in found for b in found if a < b and abs(len(a) - len(b)) <= most(a, b) and levenshtein(a, b) <= most(a, b)]
+    assert want and all(levenshtein(a, b) <= most(a, b) for a, b in got) and joined(got) == joined(want)
+
+
+def test_within(spark):
+    rng = random.Random(3)
+    word = lambda most: "".join(rng.choice("ab\U0001f600") for _ in range(rng.randint(1, most)))
+    found = [(word(7), word(7)) for _ in range(200)]
+    for _ in range(200):
+        same, behind = word(80), word(50)
+        found += [(same + word(3) + behind, same + word(3) + behind), (same, same), (same + "a", same)]
+    frame = spark.createDataFrame(found, "a string, b string")
+    frame = packing.written(frame.withColumns({"x": lines.coded(F.col("a")), "y": lines.coded(F.col("b"))}))
+    for r in frame.select("a", "b", *(lines.within(F.col("x"), F.col("y"), e).alias(f"e{e}") for e in (1, 2, 3))).collect():
+        assert [r.e1, r.e2, r.e3] == [levenshtein(r.a, r.b) <= e for e in (1, 2, 3)]
 
 
 def test_line_dedup(spark, docs, rows, tmp_path):
