@@ -15,12 +15,16 @@ from .components import components
 
 #: Size of the frequency sketch (2**BITS counters) and the pieces in which it is added up.
 BITS, PIECES = 22, 64
-#: Nodes of a square block of the product, columns multiplied at once, members that a head's row meets in one block.
-BLOCK, COLUMNS, MEMBERS = 256, 8_192, 2_000
+#: Nodes of a square block of the product, nodes on a side of a family's block, columns multiplied at once.
+BLOCK, SIDE, COLUMNS = 256, 512, 2_048
+#: Members that a head's row of the product meets in one block, and their n-grams that are multiplied at once.
+MEMBERS, ENTRIES = 2_000, 2_000_000
 #: A prefix holds one n-gram more for each EXTRA of the set, and linked sets share that many more.
 EXTRA = 20
-#: So many sets asked for are broadcast at most to where the texts are; more are joined by a shuffle.
-BROADCAST_SETS = 300_000
+#: So many uses of sets are broadcast at most to where the texts are; more are joined by a shuffle.
+BROADCAST_USES = 300_000
+#: A posting has a set's size and its n-gram's place in the set's prefix in one number: size * PLACES + place.
+PLACES = 1 << 31
 #: Words whose hashes a task remembers.
 MAX_WORDS = 300_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +124,7 @@ def _frequency_levels(described: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(key, node, n): the incidence of each distinct set with the n-grams of its prefix, rarest first."""
+    """(key, node, spot): the incidence of each distinct set with the n-grams of its prefix, rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def cut(batches):
@@ -134,21 +138,32 @@ def _postings(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(node)
-                first = prefix_length(n, percent) + n // EXTRA
+                first = min(n, prefix_length(n, percent) + n // EXTRA)
+                rank = order[own >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(56) | own * _P >> np.uint64(8)
                 if first < n:
-                    rank = order[own >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(56) | own * _P >> np.uint64(8)
-                    own = own[np.argpartition(rank, first - 1)[:first]]
-                keys.append(own)
+                    part = np.argpartition(rank, first - 1)[:first]
+                    own, rank = own[part], rank[part]
+                keys.append(own[np.argsort(rank)])
                 nodes.append(node)
                 sizes.append(n)
-                lengths.append(len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], ["key", "node", "n"])
+                lengths.append(first)
+            lengths = np.array(lengths, np.int64)
+            places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            spots = np.repeat(np.array(sizes, np.int64), lengths) * PLACES + places
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(spots)], ["key", "node", "spot"])
 
-    return map_batches(docs.select("text"), cut, "key long, node long, n long")
+    return map_batches(docs.select("text"), cut, "key long, node long, spot long")
 
 
-def _similar_sizes(a: str, b: str, percent: int):
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+def _can_link(n: str, place: str, m: str, other: str, percent: int):
+    """Whether sets of n and m n-grams have sizes of linked ones, and an n-gram at these places of their prefixes counts.
+
+    Linked sets share ``both`` n-grams at least, so least_shared of them lie among the first n - both + least_shared of each.
+    """
+    sizes = (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+    both = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
+    slack = least_shared(F.least(n, m)) - both
+    return sizes & (F.col(place) < F.col(n) + slack) & (F.col(other) < F.col(m) + slack)
 
 
 def _sets(docs: DataFrame, places: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -158,7 +173,8 @@ def _sets(docs: DataFrame, places: DataFrame, asked: DataFrame, k: int) -> DataF
     """
     asked = asked.groupBy("node").agg(F.collect_list(F.struct("cell", "block", "role")).alias("roles"))
     asked = written(asked.join(places, "node").select(F.col("doc_id").alias("_asked"), "node", "roles"))
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_SETS else asked
+    uses = asked.agg(F.sum(F.size("roles"))).first()[0] or 0
+    asked = F.broadcast(asked) if uses <= BROADCAST_USES else asked
     texts = docs.join(asked, docs["doc_id"].eqNullSafe(asked["_asked"])).select("text", "node", "roles")
 
     def sets(batches):
@@ -174,8 +190,12 @@ def _sets(docs: DataFrame, places: DataFrame, asked: DataFrame, k: int) -> DataF
     return found.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
 
 
-def overlaps(rows: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets: the sparse incidence times its transpose, a block of columns at a time."""
+def overlaps(rows: list[np.ndarray], percent: int) -> np.ndarray:
+    """Sizes of the intersections of the sets: the incidence times its transpose, a block of columns at a time.
+
+    Before each block, sets are left out that can no longer reach the overlap of a link with any other, by what
+    they share so far and the n-grams that they have left; sizes of theirs with others are then too small, and no link.
+    """
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     _, column, times = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # an n-gram of one set alone adds nothing
@@ -183,21 +203,29 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     place = place[place >= 0]
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
+    need = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))
+    np.fill_diagonal(need, 1 << 40)
+    left = np.bincount(row, minlength=len(rows))
     total = np.zeros((len(rows), len(rows)))
     for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        open_rows = (total + np.minimum.outer(left, left) >= need).any(axis=1)
         part = slice(*np.searchsorted(place, (low, low + COLUMNS)))
-        incidence = np.zeros((len(rows), COLUMNS), np.float32)
-        incidence[row[part], place[part] - low] = 1
-        total += incidence @ incidence.T
+        left = left - np.bincount(row[part], minlength=len(rows))
+        if not open_rows.any():
+            break
+        some = open_rows[row[part]]
+        at = np.cumsum(open_rows) - 1
+        incidence = np.zeros((int(open_rows.sum()), COLUMNS), np.float32)
+        incidence[at[row[part][some]], place[part][some] - low] = 1
+        total[np.ix_(open_rows, open_rows)] += incidence @ incidence.T
     return total.astype(np.int64)
 
 
 def block_links(nodes: list[int], rows: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A link from each node to the first of its component in the block: pairs below the size-derived bounds are dropped."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    both = overlaps(rows)
+    both = overlaps(rows, percent)
     linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    linked &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
     first = np.arange(len(rows))
     while True:
         least = np.where(linked, first[None, :], len(rows)).min(axis=1)
@@ -208,6 +236,13 @@ def block_links(nodes: list[int], rows: list[np.ndarray], percent: int) -> list[
     return [(nodes[f], nodes[i]) for i, f in enumerate(first.tolist()) if f != i]
 
 
+def row_overlaps(row: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """A row of the product: the overlaps of one set with each of the others, from one pass over the n-grams of all."""
+    entries = np.concatenate(columns)
+    place = np.minimum(np.searchsorted(row, entries), len(row) - 1)
+    return np.add.reduceat((row[place] == entries).astype(np.int64), np.cumsum([0, *map(len, columns[:-1])]))
+
+
 def _multiplied(docs: DataFrame, places: DataFrame, cells: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of each block of ``cells`` (node, cell, block)."""
 
@@ -234,27 +269,38 @@ def _multiplied(docs: DataFrame, places: DataFrame, cells: DataFrame, k: int, pe
 def _verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The links (a, b) among pairs (head, node): rows of the product, each head by its members.
 
-    A head's set is sent once to each block of its members; a task holds one head's set at a time and
-    takes the overlap with each member that passes.
+    A head's set is sent once to each block of its members; a task holds one head's set at a time, and of its members so
+    many as have ENTRIES n-grams.
     """
     sizes = pairs.groupBy("head").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
     members = pairs.join(sizes, "head").select("node", F.col("head").alias("cell"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
     heads = sizes.select(F.col("head").alias("node"), F.col("head").alias("cell"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("role"))
 
     def multiply(batches):
-        at, row = None, None
+        at, row, nodes, columns, held = None, None, [], [], 0
+
+        def links():
+            linked = []
+            if columns:
+                both = row_overlaps(row, columns)
+                sizes = np.fromiter(map(len, columns), np.int64, len(columns))
+                linked = np.asarray(nodes)[100 * both >= percent * (len(row) + sizes - both)].tolist()
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(linked) if linked else [], pa.int64()), pa.array(linked, pa.int64())], ["a", "b"])
+
         for batch in batches:
-            a, b = [], []
             for head, block, role, node, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                column = np.frombuffer(own, np.uint64)
+                own = np.frombuffer(own, np.uint64)
+                if role == 0 or held > ENTRIES:
+                    if columns:
+                        yield links()
+                    nodes, columns, held = [], [], 0
                 if role == 0:
-                    at, row = (head, block), column
+                    at, row = (head, block), own
                 elif at == (head, block):
-                    overlap = len(np.intersect1d(row, column, assume_unique=True))
-                    if 100 * overlap >= percent * (len(row) + len(column) - overlap):
-                        a.append(head)
-                        b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    nodes.append(node)
+                    columns.append(own)
+                    held += len(own)
+        yield links()
 
     return written(map_batches(_sets(docs, places, members.unionByName(heads), k), multiply, "a long, b long"))
 
@@ -281,12 +327,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col:
     places = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     postings = written(_postings(docs, words, percent, _frequency_levels(described)))
     dealt = postings.repartition("key")
-    # Reading n here too gives both sides of the join the same columns, so that one shuffle serves both.
-    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.max("n").alias("n")).where("low != top and n > 0")
-    met = written(dealt.join(shared.select("key"), "key").distinct())
+    # Reading the spot here too gives both sides of the join the same columns, so that one shuffle serves both.
+    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.max("spot").alias("spot")).where("low != top and spot > 0")
+    met = dealt.join(shared.select("key"), "key").distinct()
+    met = written(met.select("key", "node", F.expr(f"spot div {PLACES}").alias("n"), (F.col("spot") % PLACES).alias("place")))
     by_node = met.repartition("node")
-    able = by_node.groupBy("node").agg(F.count("key").alias("keys"), F.max("n").alias("n")).where(F.col("keys") >= least_shared(F.col("n"), percent)).select("node")
-    able = by_node.join(able, "node").select("key", "node", "n")
+    able = by_node.groupBy("node").agg(F.count("key").alias("keys"), F.max("n").alias("n"), F.max("place").alias("place")).where(F.col("keys") >= least_shared(F.col("n"), percent)).select("node")
+    able = by_node.join(able, "node").select("key", "node", "n", "place")
     met = written(able.join(able.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "key"))
     homes = met.groupBy("node").agg(F.max(F.struct("times", "key"))["key"].alias("cell"))
     sizes = homes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1")
@@ -321,7 +368,7 @@ def _family_cells(large: DataFrame, joined: DataFrame) -> DataFrame:
     nodes = family.join(joined, "node", "left").select("node", "cell", F.coalesce("component", "node").alias("component"))
     sizes = nodes.groupBy("cell", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("cell").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
-    down, across = F.ceil((F.col("all") - F.col("main.size")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    down, across = F.ceil((F.col("all") - F.col("main.size")) / SIDE).cast("int"), F.ceil(F.col("all") / SIDE).cast("int")
     nodes = written(nodes.join(main.select("cell", F.col("main.component").alias("main"), down.alias("down"), across.alias("across")), "cell"))
     own = lambda turn, n: F.pmod(F.xxhash64("node", F.lit(turn)), F.col(n)).cast("int")
     rows = nodes.where("component != main").withColumn("i", own(3, "down")).select("node", "cell", F.explode(F.expr("transform(sequence(0, across - 1), j -> i * across + j)")).alias("block"))
@@ -334,12 +381,12 @@ def _open_pairs(met: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
 
     Only pairs that share no n-gram of more than one block need be found here, and of those all n-grams are counted.
     """
-    lists = met.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = met.select("key", "node", "n", "place").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = lists.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     lists = written(lists.join(main, "key"))
-    strays = lists.where("component != main").select("key", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("component").alias("head_component"))
-    both = strays.join(lists, "key").where((F.col("component") != F.col("head_component")) & ((F.col("component") == F.col("main")) | (F.col("head") < F.col("node"))) & _similar_sizes("n", "head_n", percent))
+    strays = lists.where("component != main").select("key", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("place").alias("head_place"), F.col("component").alias("head_component"))
+    both = strays.join(lists, "key").where((F.col("component") != F.col("head_component")) & ((F.col("component") == F.col("main")) | (F.col("head") < F.col("node"))) & _can_link("n", "place", "head_n", "head_place", percent))
     # Which of a pair is the stray depends on the n-gram, so a pair is counted whichever way round its n-grams give it.
     pair = both.select(F.least("head", "node").alias("low"), F.greatest("head", "node").alias("top"), (F.col("head") < F.col("node")).cast("int").alias("low_heads"), F.least("n", "head_n").alias("n"))
     counted = pair.groupBy("low", "top").agg(F.count("*").alias("keys"), F.sum("low_heads").alias("low_heads"), F.first("n").alias("n")).where(F.col("keys") >= least_shared(F.col("n")))
@@ -355,12 +402,15 @@ def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 def keep_one_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with the smallest id of their group, with the columns of documents.
 
-    Five-word shingles, similarity 0.8. Rows that repeat such an id with the same text are one; a
-    document in no group stays.
+    Five-word shingles, similarity 0.8. Rows that repeat such an id with the same text are one, with the other columns of
+    one of them; a document in no group, as those without words, stays; an empty table gives none.
     """
-    groups = jaccard_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they do not clash with those added
+    text, key = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
+    groups = jaccard_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
+    plain = docs.toDF(*names)
+    kept = plain.join(groups, plain[key].eqNullSafe(groups["kept"]), "left_semi")
+    return kept.dropDuplicates([key, text]).toDF(*docs.columns)
 
 
 #: What op5_ngram_jaccard returns, for DuckDB.
