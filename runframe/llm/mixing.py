@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from ..operators.scan import exclusive_sum
+from .common import quoted, table, written
 
 #: Weights of the sources in code point order (null last), repeating, and the most times a source is used.
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a block, blocks of an output shard, and parts into which a source's offsets are summed.
-BLOCK, SHARD_BLOCKS, PARTS = 128, 65_536, 1_024
+BLOCK, SHARD_BLOCKS, PARTS = 128, 1_024, 1_024
+#: Of so many shards one closes the gap between the draws and the targets.
+CLOSING = 4
+#: Cells of (0, 1) by which draws meet the sources' intervals, and blocks that one window orders.
+GRID, SORTED = 4_096, 65_536
 SEED = 20
-# Two primes that multiply block indexes; one of them has no factor in common with a block count.
-_PRIMES = (15_485_863, 32_452_843)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,36 +47,57 @@ def _hash_share(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
 
 
-def block_uses(sources: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(rank, block, uses): how often the mix takes each block that it takes.
+def shard_slots(sources: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(rank, blocks, shard, base, n): the slots base to base + n - 1 of a source that an output shard has.
 
-    Output slots are dealt in shards. Each shard draws its source counts from the multinomial of the
-    targets, systematically: one random shift places equally spaced points on the sources' intervals, so
-    every slot has the right odds and a count is never off by more than one. A source's slots run on
-    from shard to shard; slot k takes, in epoch k div blocks, the block to which a pseudorandom
-    permutation of that epoch sends k mod blocks. No block is used more than MOST times.
+    Each slot of an open shard draws its source with the odds of the targets, so a shard's counts are multinomial.
+    What a source draws beyond its target goes back, and the closing shards (one in CLOSING, at least one) share what each
+    source then lacks, so every source ends with its target, rounded to a block, and no slot is lost.
     """
     blocks = F.ceil(F.col("source_size") / block).cast("long")
-    sources = sources.where("source_size > 0").select("rank", blocks.alias("blocks"), (F.col("target") * blocks / F.col("source_size")).alias("slots"))
-    whole, before = Window.partitionBy(), Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("slots").over(before) / F.sum("slots").over(whole)
-    last = F.col("rank") == F.max("rank").over(whole)
-    n = F.round(F.sum("slots").over(whole)).cast("long")
-    sources = sources.withColumns({"n": n, "to": F.when(last, F.lit(1.0)).otherwise(share)})
-    sources = sources.withColumn("from", F.lag("to", 1, 0.0).over(Window.orderBy("rank")))
-    shards = sources.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(n - 1, 0) div {shard_blocks}"))))
-    shards = shards.withColumns({"n": F.least(F.lit(shard_blocks).cast("long"), F.col("n") - F.col("shard") * shard_blocks), "shift": _hash_share("shard", F.lit(SEED))})
-    drawn = F.ceil(F.col("n") * F.col("to") - F.col("shift")) - F.ceil(F.col("n") * F.col("from") - F.col("shift"))
-    shards = shards.withColumn("drawn", drawn.cast("long")).where("drawn > 0")
-    base = F.coalesce(F.sum("drawn").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = shards.withColumn("base", base).select("rank", "blocks", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("drawn") - 1)).alias("k"))
-    slots = slots.where(F.col("k") < MOST * F.col("blocks")).withColumn("epoch", F.expr("k div blocks"))
-    prime = F.when(F.col("blocks") % _PRIMES[0] == 0, _PRIMES[1]).otherwise(_PRIMES[0]).cast("long")
-    shift = F.pmod(F.xxhash64("rank", "epoch", F.lit(SEED)), F.col("blocks"))
-    return slots.select("rank", ((F.col("k") % F.col("blocks") * prime + shift) % F.col("blocks")).alias("block")).groupBy("rank", "block").agg(F.count("*").alias("uses"))
-
-
-def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    own = sources.where("source_size > 0").select("rank", blocks.alias("blocks"), F.round(F.col("target") * blocks / F.col("source_size")).cast("long").alias("slots")).where("slots > 0")
+    share = F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("slots").over(Window.partitionBy())  # one row a source
+    own = own.withColumn("to", share)
+    own = written(own.withColumn("from", F.lag("to", 1, 0.0).over(Window.orderBy("rank"))))
+    shards = -(-(own.agg(F.sum("slots")).first()[0] or 0) // shard_blocks)
+    closing = -(-shards // CLOSING)
+    cells = F.expr(f"sequence(cast(floor(from * {GRID}) as int), cast(floor(to * {GRID}) as int))")
+    places = own.select("rank", "blocks", "slots", "from", "to", F.explode(cells).alias("cell"))
+    draws = own.sparkSession.range((shards - closing) * shard_blocks).select(F.expr(f"id div {shard_blocks}").alias("shard"), _hash_share("id", F.lit(SEED)).alias("u"))
+    draws = draws.withColumn("cell", F.floor(F.col("u") * GRID).cast("int")).join(places.hint("merge"), "cell").where("u >= from and u < to")
+    drawn = draws.groupBy("rank", "blocks", "slots", "shard").agg(F.count("*").alias("n"))
+    drawn = exclusive_sum(drawn, ["rank"], "shard", F.col("n"), "base")
+    drawn = written(drawn.withColumn("n", F.least("n", F.col("slots") - F.col("base"))).where("n > 0").select("rank", "blocks", "shard", "base", "n"))
+    done = drawn.groupBy("rank").agg(F.sum("n").alias("done"))
+    lack = own.join(done, "rank", "left").select("rank", "blocks", "slots", F.coalesce("done", F.lit(0)).alias("done")).where("slots > done")
+    groups = lack.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(max(0, closing - 1) // GRID)))).repartition("rank", "g")
+    last = groups.withColumn("j", F.explode(F.expr(f"sequence(g * {GRID}L, least((g + 1) * {GRID}L, {max(1, closing)}L) - 1)")))
+    low, high = (F.floor((F.col("slots") - F.col("done")) * (F.col("j") + i) / max(1, closing)).cast("long") for i in (0, 1))
+    last = last.select("rank", "blocks", (F.col("j") + (shards - closing)).alias("shard"), (F.col("done") + low).alias("base"), (high - low).alias("n")).where("n > 0")
+    return drawn.unionByName(last)
+
+
+def block_uses(sources: DataFrame, blocks: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(rank, block, uses): how often the mix takes each of the ``blocks`` (rank, block) that it takes.
+
+    Slot k of a source is number k mod blocks of epoch k div blocks. Each epoch of each source has a pseudorandom permutation of
+    its own, the blocks' order by a hash, and a slot takes the block with its number. No block is used more than MOST times.
+    """
+    slots = written(shard_slots(sources, block, shard_blocks))
+    numbers = slots.select("rank", "blocks", F.explode(F.expr("sequence(base, base + n - 1)")).alias("k"))
+    numbers = numbers.select("rank", F.expr("k div blocks").alias("epoch"), (F.col("k") % F.col("blocks")).alias("place"))
+    sizes = slots.groupBy("rank").agg(F.max("blocks").alias("blocks"), F.max(F.expr("(base + n - 1) div blocks")).alias("last"))
+    ordered = blocks.join(sizes, "rank").select("rank", "block", "blocks", F.explode(F.expr("sequence(0L, last)")).alias("epoch"))
+    mixed = F.xxhash64("rank", "epoch", "block", F.lit(SEED))
+    ordered = written(ordered.select("rank", "epoch", "block", mixed.alias("h"), F.pmod(mixed, F.expr(f"blocks div {SORTED} + 1")).alias("part")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("rank", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = ordered.groupBy("rank", "epoch", "part").agg(F.count("*").alias("n")).select("rank", "epoch", "part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("rank", "epoch", "part").orderBy("h", "block")) - 1
+    placed = ordered.withColumn("own", own).join(bases, ["rank", "epoch", "part"]).select("rank", "epoch", "block", (F.col("before") + F.col("own")).alias("place"))
+    return numbers.join(placed.hint("merge"), ["rank", "epoch", "place"]).groupBy("rank", "block").agg(F.count("*").alias("uses"))
+
+
+def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, pieces, sources) of the mix.
 
     rows: doc_id, source, text_hash, size, rank and start (its words' offset in its source); pieces: rank, start,
@@ -99,33 +123,38 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     at = F.greatest(F.col("start"), F.col("block") * block)
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - at
     cut = cut.select("rank", "block", "start", (at - F.col("start")).alias("at"), words.alias("words"))
-    return rows, cut.join(block_uses(sources, block), ["rank", "block"]).select("rank", "start", "at", "words", "uses"), sources
+    uses = block_uses(sources, cut.select("rank", "block").distinct(), block, shard_blocks)
+    return rows, cut.join(uses.hint("merge"), ["rank", "block"]).select("rank", "start", "at", "words", "uses"), sources
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of each of the documents."""
     rows, pieces, sources = mix(table(spark, sf_dir, "documents"))
     taken = pieces.groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    found = rows.withColumn("place", F.when(F.col("size") > 0, F.col("start"))).alias("r").join(taken.alias("t"), (F.col("r.rank") == F.col("t.rank")) & (F.col("place") == F.col("t.start")), "left")
+    found = rows.withColumn("place", F.when(F.col("size") > 0, F.col("start"))).alias("r").join(taken.hint("merge").alias("t"), (F.col("r.rank") == F.col("t.rank")) & (F.col("place") == F.col("t.start")), "left")
     found = found.select("doc_id", "r.rank", "size", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     return found.join(sources.select("rank", "source_size", "target"), "rank").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mixed documents, with the columns of documents.
+    """Pipeline stage: the mixed documents, with the columns of documents; n_chars is counted anew.
 
     Copy c of a document is its text less the pieces that the mix uses fewer than c times (the text
     itself if there are none), so all words used are there as often as the mix takes them. Documents
-    without words take no part in a mix and go.
+    without words, null texts too, take no part in a mix and go; an empty table gives none. Rows that repeat an id, a text
+    and a source are mixed each, with the other columns of one of them.
     """
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they do not clash with those added
+    text, key, source = (names[docs.columns.index(c)] for c in ("text", "doc_id", "source"))
     rows, pieces, _ = mix(docs)
     copies = pieces.groupBy("rank", "start").agg(F.array_sort(F.collect_list(F.struct("at", "words", "uses"))).alias("parts"))  # a document's own pieces
-    kept = rows.where("size > 0").join(copies, ["rank", "start"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept_hash"), F.col("size").alias("_size"), F.col("parts").alias("_parts"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "_text_hash"])
-    joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_kept_hash")))
-    joined = joined.withColumn("_copy", F.explode(F.expr("sequence(1L, array_max(transform(_parts, x -> x.uses)))")))
-    joined = joined.withColumn("_used", F.expr("filter(_parts, x -> x.uses >= _copy)"))
-    whole = F.expr("aggregate(_used, 0L, (n, x) -> n + x.words)") == F.col("_size")
-    words = F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_used", lambda x: F.slice(words, (x["at"] + 1).cast("int"), x["words"].cast("int")))), ""))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = rows.where("size > 0").hint("merge").join(copies, ["rank", "start"]).select("doc_id", "source", "text_hash", "size", "parts")
+    hashed = docs.toDF(*names).withColumn("hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([key, source, "hash"])
+    joined = hashed.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("doc_id")) & F.col(source).eqNullSafe(F.col("source")) & (F.col("hash") == F.col("text_hash")))
+    joined = joined.withColumn("copy", F.explode(F.expr("sequence(1L, array_max(transform(parts, x -> x.uses)))")))
+    joined = joined.withColumn("used", F.expr("filter(parts, x -> x.uses >= copy)"))
+    whole = F.expr("aggregate(used, 0L, (n, x) -> n + x.words)") == F.col("size")
+    words = F.regexp_extract_all(F.col(text), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(0))
+    left = F.when(whole, F.col(text)).otherwise(F.array_join(F.flatten(F.transform("used", lambda x: F.slice(words, (x["at"] + 1).cast("int"), x["words"].cast("int")))), ""))
+    found = joined.select(*(left if c == text else F.col(c) for c in names)).toDF(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*quoted(docs))
