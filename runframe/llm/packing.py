@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -19,28 +20,35 @@ WINDOW = 1024
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 END = 0
 #: Rows that one window numbers.
-PART_ROWS = 200_000
+PART_ROWS = 20_000
 
 
 def encoder(ranks: str | None = None, tokenizer: str | None = None):
-    """text -> uint32 ids: those of ``tokenizer`` without special tokens, which are ordinary text here.
+    """text -> uint32 ids of ``tokenizer`` without those that it adds itself.
 
-    The ranks hold the same vocabulary and are several times faster; a text that defeats their pattern
-    (it backtracks over very long runs of spaces) goes to the tokenizer itself.
+    The ranks hold the same vocabulary and are several times faster. Texts that hold the string of one of the tokenizer's
+    special tokens, and those that defeat the ranks' pattern (it backtracks over very long runs of spaces),
+    go to the tokenizer, which is read when the first of them comes.
     """
+    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    with open(path, encoding="utf-8") as file:
+        special = [token["content"] for token in json.load(file)["added_tokens"]]
     with open(ranks or public_tokenizers.path(RANKS), "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    whole: list = []
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
-        except (ValueError, UnicodeError, RuntimeError):
+        if not any(token in text for token in special):
+            try:
+                return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except (ValueError, UnicodeError, RuntimeError):
+                pass
+        if not whole:
             from tokenizers import Tokenizer
 
-            whole = Tokenizer.from_file(tokenizer or public_tokenizers.path(TOKENIZER))
-            whole.encode_special_tokens = True
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            whole.append(Tokenizer.from_file(path))
+        return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -131,14 +139,14 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     ``cut`` needs doc_id, start and length (1 to ``window``) and must be a written table. Only the
     histogram of lengths (``window`` counts) comes to the driver. Within a length, rows are ranked in
     parts by a hash of their id, so a length that many share is not one task's. Repeated rows are packed
-    each; an empty table gives none.
+    each, those with one id and start in the order of ids_crc32; an empty table gives none.
     """
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     parts = F.lit(max(1, -(-max(histogram.values(), default=0) // PART_ROWS)))
     rows = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", F.lit("part")), parts))
     sizes = rows.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "start")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "start", *(["ids_crc32"] if "ids_crc32" in cut.columns else []))) - 1
     ranked = rows.join(sizes.select("length", "_part", before.alias("_before")), ["length", "_part"]).withColumn("_rank", F.col("_before") + own)
     places = cut.sparkSession.createDataFrame(plan(histogram, window), "_length long, _low long, _high long, _sequence long, offset long")
     here = (ranked["length"] == places["_length"]) & (ranked["_rank"] >= places["_low"]) & (ranked["_rank"] < places["_high"])
