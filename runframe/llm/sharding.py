@@ -12,7 +12,7 @@ SHARDS = 24
 #: Atomic groups are ranges of the text's hash, so equal texts are in one; so many groups come to the driver at most.
 GROUP_BITS = 14
 #: Rows of a group that one window sorts; larger groups are numbered in several parts.
-PART_ROWS = 100_000
+PART_ROWS = 20_000
 
 
 def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
