@@ -16,11 +16,13 @@ ORDERS = (1, 2, 3)
 MAX_TRAIN_ROWS = 20_000
 #: Most languages a model holds: languages x 2**BUCKET_BITS floats are broadcast (64 MB at most).
 MAX_LANGS = 512
-#: Characters scored at once; n-grams do not cross such a slice of a longer text.
+#: Characters scored at once.
 SLICE = 1_000_000
 SMOOTH = 0.5
 #: Least score of a document that the pipeline keeps.
-MIN_SCORE = 0.35
+MIN_SCORE = 0.15
+#: How sharply the mean log-probabilities of an n-gram part languages, and how far (in nats) a text's may lie from what is usual.
+SHARP, SLACK = 4.0, 1.0
 UND = "und"
 
 _SPACE = 32
@@ -41,11 +43,12 @@ def _code_points(text: str) -> np.ndarray:
 
 
 def _slices(texts: list[str | None]):
-    """Runs of (row, piece) of about SLICE characters in all, whole texts where they fit."""
+    """Runs of (row, piece) of about SLICE characters in all; a piece has the two characters before it in front (spaces at a text's start)."""
     run, size = [], 0
     for row, text in enumerate(texts):
-        for at in range(0, len(text or ""), SLICE):
-            piece = text[at : at + SLICE].lower()
+        text = "  " + text.lower() if text else ""
+        for at in range(2, len(text), SLICE):
+            piece = text[at - 2 : at + SLICE]
             if run and size + len(piece) > SLICE:
                 yield run
                 run, size = [], 0
@@ -58,12 +61,12 @@ def _slices(texts: list[str | None]):
 def _hashed(run: list[tuple[int, str]], bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Starts of the pieces, a bucket per position for each order, and which pieces have a letter.
 
-    Two pad positions precede every piece; their n-grams get the bucket 2**bits, which scores 0.
+    The first two positions of every piece stand before it; their n-grams get the bucket 2**bits, which scores 0.
     """
-    codes = _letter_table()[_code_points("".join("  " + piece for _, piece in run))]
-    lengths = np.fromiter((len(piece) + 2 for _, piece in run), np.int64, len(run))
+    codes = _letter_table()[_code_points("".join(piece for _, piece in run))]
+    lengths = np.fromiter((len(piece) for _, piece in run), np.int64, len(run))
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    letters = np.add.reduceat((codes != _SPACE).astype(np.int32), starts) > 0
+    letters = np.add.reduceat((codes != _SPACE).astype(np.int32), starts) > 0  # of two pieces of a text, one has them
     mixed = codes * _MIX[0]
     buckets = []
     for order in range(1, max(ORDERS) + 1):
@@ -118,6 +121,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` plus lang_pred and score for every whole text.
 
+    The score is the best language's share of the probabilities of a mean n-gram, to the power SHARP, times
+    exp(SLACK - e) where that n-gram is e > SLACK nats less probable than the language's own are in the mean; so neither a
+    text between languages nor one of unknown n-grams scores high, however long it is.
     lang_pred is ``und`` and score 0 for a null text, a text with no letter (the empty one too), or a
     model without languages. Ties go to the first language in code point order. Rows are never merged:
     repeated rows give repeated results, and extra columns are dropped.
@@ -128,6 +134,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str
 
     def score(batches):
         weights = shared.value
+        usual = (np.exp(weights[:, :-1]) * weights[:, :-1]).sum(axis=1) if langs else np.zeros(0)  # a mean n-gram's log-probability in its own language
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             sums, seen, grams = np.zeros((len(texts), len(langs))), np.zeros(len(texts), bool), np.zeros(len(texts))
@@ -135,14 +142,18 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: str
                 starts, buckets, letters = _hashed(run, bits)
                 rows = np.fromiter((row for row, _ in run), np.int64, len(run))
                 np.logical_or.at(seen, rows, letters)
-                np.add.at(grams, rows, np.diff(np.append(starts, len(buckets[0]))))
+                np.add.at(grams, rows, np.diff(np.append(starts, len(buckets[0]))) - 2)
                 for bucket in buckets:
                     for k in range(len(langs)):
                         np.add.at(sums[:, k], rows, np.add.reduceat(weights[k][bucket], starts, dtype=np.float64))
             best = sums.argmax(axis=1) if langs else np.zeros(len(texts), int)
-            spread = np.exp((sums - sums.max(axis=1, keepdims=True)) / len(ORDERS)).sum(axis=1) if langs else np.ones(len(texts))
+            values = np.zeros(len(texts))
+            if langs:
+                mean = sums / np.maximum(grams, 1)[:, None] / len(ORDERS)
+                top = mean.max(axis=1)
+                values = 1 / np.exp(SHARP * (mean - top[:, None])).sum(axis=1) * np.exp(-np.maximum(0, usual[best] - top - SLACK))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([langs[b] if s else UND for b, s in zip(best, seen, strict=True)], pa.string()), pa.array(np.where(seen, 1 / spread, 0.0), pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([langs[b] if s else UND for b, s in zip(best, seen, strict=True)], pa.string()), pa.array(np.where(seen, values, 0.0), pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return map_batches(kept, score, f"{schema}, lang_pred string, score double")
