@@ -34,10 +34,18 @@ def encode_bmp(samples: bytes, width: int = WIDTH) -> bytes:
 def decode(media: bytes) -> np.ndarray:
     """(height, width[, 3]) uint8 array of a PGM or PPM (P2, P3, P5, P6, maxval up to 255) or of an uncompressed 8- or 24-bit BMP.
 
-    Raises ValueError for anything else.
+    Raises ValueError for anything else: other forms, broken or cut off headers and samples, images without pixels.
     """
-    if media[:2] == b"BM":
-        return _decode_bmp(media)
+    try:
+        pixels = _decode_bmp(media) if media[:2] == b"BM" else _decode_netpbm(media)
+    except (struct.error, OverflowError, IndexError) as broken:
+        raise ValueError("broken image") from broken
+    if not pixels.size:
+        raise ValueError("no pixels")
+    return pixels
+
+
+def _decode_netpbm(media: bytes) -> np.ndarray:
     if media[:2] not in (b"P2", b"P3", b"P5", b"P6"):
         raise ValueError("neither Netpbm nor BMP")
     fields, at = [], 2
@@ -60,7 +68,10 @@ def decode(media: bytes) -> np.ndarray:
     planes = 3 if media[1:2] in b"36" else 1
     n = width * height * planes
     if media[1:2] in b"23":
-        pixels = np.array(media[at:].split()[:n], dtype=np.uint8)
+        pixels = np.array(list(map(int, media[at:].split()[:n])), dtype=np.int64)
+        if len(pixels) < n or n and (pixels.min() < 0 or pixels.max() > top):
+            raise ValueError("broken samples")
+        pixels = pixels.astype(np.uint8)
     else:
         pixels = np.frombuffer(media, np.uint8, n, at + 1)
     return pixels.reshape((height, width, 3) if planes == 3 else (height, width))
@@ -69,7 +80,7 @@ def decode(media: bytes) -> np.ndarray:
 def _decode_bmp(media: bytes) -> np.ndarray:
     (start,) = struct.unpack_from("<I", media, 10)
     size, width, height, _, depth, packed, _, _, _, colours, _ = struct.unpack_from("<IiiHHIIiiII", media, 14)
-    if packed or depth not in (8, 24):
+    if packed or depth not in (8, 24) or width <= 0 or not height:
         raise ValueError("only uncompressed 8- and 24-bit BMP")
     stride = (width * depth + 31) // 32 * 4
     rows = np.frombuffer(media, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
