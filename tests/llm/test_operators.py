@@ -61,7 +61,8 @@ def test_empty_tables(empty):
     assert (taken.count(), pieces.count(), sources.count()) == (0, 0, 0)
 
 
-def test_language(spark, docs, rows):
+def test_language(spark, docs, rows, monkeypatch):
+    rng = random.Random(9)
     found = langid.op1_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = found.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.min("score"), F.max("score")).first()
     assert held[0] >= 0.95 and 0 <= held[1] and held[2] <= 1
@@ -70,6 +71,16 @@ def test_language(spark, docs, rows):
     for r in guess:
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
     assert {r.lang_pred for r in langid.predict(docs, [], np.zeros((0, 2), np.float32)).collect()} == {"und"}
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    junk = ["".join(rng.choice("qxzjkvwbfy") for _ in range(300)), "zzzz " * 80, "\u041f\u0440\u0438\u0432\u0435\u0442 " * 40]
+    assert all(r.score < langid.MIN_SCORE for r in langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string"), *model).collect())
+    scores = langid.predict(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), *model).select("score").toPandas()["score"]
+    assert (scores >= langid.MIN_SCORE).mean() >= 0.99 and scores.min() < 0.999
+    long = [prose(rng, 900) for _ in range(3)]
+    sliced = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
+    whole = langid.predict(sliced, *model).collect()
+    monkeypatch.setattr(langid, "SLICE", 501)
+    assert np.allclose([r.score for r in whole], [r.score for r in langid.predict(sliced, *model).collect()])
     kept = langid.reject(spark, docs, DATA)
     assert kept.columns == docs.columns and kept.where("text is null or text = '123 !!'").count() == 0
 
@@ -130,8 +141,13 @@ def test_media(docs, rows):
     pixels = np.arange(35.0).reshape(5, 7)
     tall = np.repeat(np.repeat(pixels, 3, 0), 4, 1)
     assert np.allclose(media.area_resize(pixels, 3, 4), tall.reshape(3, 5, 4, 7).mean(axis=(1, 3)))
-    with pytest.raises(ValueError):
-        media.decode(b"GIF89a")
+    header = media.encode_bmp(bytes(64))
+    broken = [b"", b"GIF89a", b"BM", b"P2 1 1 255 300", b"P2 1 1 255 -3", b"P2 2 1 255 3", b"P5 0 4 255 ", b"P5 4 4 255 ab", b"P2 1 1 255 x", b"P2 1 1 0 0", b"P2 #", b"P2", header[:60], header[:1060], header[:18] + bytes(4) + header[22:]]
+    for raw in broken:
+        with pytest.raises(ValueError):
+            media.decode(raw)
+    frame = docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate([*broken, None])], "doc_id long, media binary")
+    assert all(r.payload is None and r.tile is None and r.feature is None for r in media.media_features(frame).collect())
 
 
 def test_media_query_makes_tiles(spark):
@@ -171,9 +187,9 @@ def test_jaccard(docs, rows, k, percent, block, monkeypatch):
 
 def test_open_pairs_count_ngrams_of_either_main(spark):
     """Nodes 1 and 2 share ten n-grams: in five node 1's component is the main one, in five node 2's."""
-    met = [(key, node, 100) for key in range(10) for node in (1, 2, 3 if key < 5 else 4)]
+    met = [(key, node, 100, key) for key in range(10) for node in (1, 2, 3 if key < 5 else 4)]
     joined = spark.createDataFrame([(1, 1), (3, 1), (2, 2), (4, 2)], "node long, component long")
-    found = jaccard._open_pairs(spark.createDataFrame(met, "key long, node long, n long"), joined, 85)
+    found = jaccard._open_pairs(spark.createDataFrame(met, "key long, node long, n long, place long"), joined, 85)
     assert [tuple(sorted(r)) for r in found.collect()] == [(1, 2)]
 
 
@@ -187,8 +203,9 @@ def test_components(spark):
     assert all(group[i] == g for i, g in found.items())
 
 
-def test_mixing(docs, rows):
-    taken, pieces, sources = mixing.mix(docs, block=8)
+@pytest.mark.parametrize("shard_blocks", [1024, 16])
+def test_mixing(docs, rows, shard_blocks):
+    taken, pieces, sources = mixing.mix(docs, block=8, shard_blocks=shard_blocks)
     size = lambda t: len(WORDS.findall(t or ""))
     order = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
     sizes = [sum(size(r[1]) for r in rows if r[3] == s) for s in order]
@@ -211,7 +228,7 @@ def test_mixing(docs, rows):
         assert abs(sums.get(r["rank"], 0) - r.target) <= 16 + 0.02 * r.target
     assert pieces.agg(F.max("uses")).first()[0] <= mixing.MOST
     assert taken.count() == len(rows)
-    again = mixing.mix(docs, block=8)[1]
+    again = mixing.mix(docs, block=8, shard_blocks=shard_blocks)[1]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, pieces.collect()))
 
 
@@ -361,8 +378,9 @@ def test_packing(docs, rows):
     import public_tokenizers
 
     whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    whole.encode_special_tokens = True
     encode = packing.encoder()
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext", " " * 3000 + "x", "I'll  don't\n\n\tx\u00a0y"):
+        assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
     for r in rows:
         assert encode(r[1] or "").tolist() == whole.encode(r[1] or "", add_special_tokens=False).ids
     cut = packing.written(packing.pieces(docs, with_ids=True))
