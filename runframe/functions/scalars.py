@@ -16,23 +16,24 @@ def bit_width(value: Column) -> Column:
 
 
 def ceil_div(a: Column, b: Column) -> Column:
-    """a / b rounded up."""
-    return F.floor((a + b - 1) / b).cast("long")
+    """a / b rounded up, for non-negative a and positive b."""
+    return F.call_function("div", a.cast("long"), b.cast("long")) + (a % b > 0).cast("long")
 
 
 def pow2(bits: Column) -> Column:
-    """2 to the power of ``bits``."""
-    return F.pow(F.lit(2.0), bits).cast("long")
+    """2 to the power of ``bits``, which is 63 at most; the last one is the sign bit alone."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
 
 
 def max_val(bits: Column) -> Column:
-    """Largest number of so many bits."""
-    return pow2(bits) - 1
+    """Largest number of so many bits, 64 at most: those of 64 are all ones, as a signed number -1."""
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - bits).cast("int"))
+    return F.when(bits > 0, ones).otherwise(F.lit(0).cast("long"))
 
 
 def mask(bits: Column, shift: Column) -> Column:
     """``bits`` ones above ``shift`` zeros."""
-    return (max_val(bits) * pow2(shift)).cast("long")
+    return F.call_function("shiftleft", max_val(bits), shift.cast("int"))
 
 
 def bytes_to_bits(n: Column) -> Column:

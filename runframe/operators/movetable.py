@@ -34,24 +34,29 @@ def move_table(runs: DataFrame, params: SplitParams | None = None, domain: DataF
 
     Without ``params``, runs with payload columns are not split, and others are by default.
     """
-    runs = encode(runs, domain)
+    runs = encode(runs, domain, ranks=False)
     extra = [c for c in runs.columns if c not in (KEY, *BASE)]
     params = params or (NO_SPLITTING if extra else DEFAULT_SPLITTING)
-    return with_pointers(apply_splitting(runs.drop("image_rank"), params, payload))
+    return with_pointers(apply_splitting(runs, params, payload))
 
 
 def attach_payload(move: DataFrame, payload: DataFrame) -> DataFrame:
     """``move`` with the payload rows (seq_id, interval, …) of exactly its intervals; ValueError otherwise."""
-    unmatched = move.select(KEY, "interval").join(payload.select(KEY, "interval", F.lit(1).alias("_there")), [KEY, "interval"], "full")
-    if not unmatched.join(move.select(KEY, "interval", F.lit(1).alias("_here")), [KEY, "interval"], "full").where("_there is null or _here is null").isEmpty():
-        raise ValueError("the payload must have a row for each interval after splitting")
+    own, given = (x.groupBy(KEY, "interval").agg(F.count("*").alias(n)) for x, n in ((move, "_own"), (payload, "_given")))
+    if not own.join(given, [KEY, "interval"], "full").where("_own is null or _given is null or _given != 1").isEmpty():
+        raise ValueError("the payload must have one row for each interval after splitting")
     return move.join(payload, [KEY, "interval"])
 
 
 def widths(move: DataFrame) -> DataFrame:
-    """Bits of each column of the table, by sequence: primary (relative and absolute), pointer, offset and payload columns."""
+    """Bits of each column of the table, by sequence: primary (relative and absolute), pointer, offset, symbol and payload columns.
+
+    A symbol has as many bits as the largest code of those that occur.
+    """
     extra = [c for c in move.columns if c not in (KEY, *BASE) and dict(move.dtypes)[c] in ("bigint", "int")]
     top = {"w_length": F.max("length"), "w_start": F.sum("length") - 1, "w_pointer": F.max("interval"), "w_off": F.max("length")}
+    if "ch" in move.columns:
+        top["w_ch"] = F.count_distinct("ch") - 1
     return move.groupBy(KEY).agg(*(bit_width(v.cast("long")).alias(k) for k, v in top.items()), *(bit_width(F.max(c).cast("long")).alias(f"w_{c}") for c in extra))
 
 
@@ -72,7 +77,7 @@ def stats(runs: DataFrame, move: DataFrame) -> DataFrame:
 
 def violations(move: DataFrame) -> DataFrame:
     """Rows of a given table that break it: starts and images must tile the domain and pointers hit their images."""
-    again = with_pointers(encode(move.select(KEY, "interval", "length", "image")).drop("image_rank"))
+    again = with_pointers(encode(move.select(KEY, "interval", "length", "image"), ranks=False))
     other = again.select(KEY, "interval", F.col("start").alias("_start"), F.col("pointer").alias("_pointer"), F.col("off").alias("_off"))
     tiled = encode(encode(move.select(KEY, "interval", "length", "image")).select(KEY, "interval", "length", "image_rank"))
     joined = move.join(other, [KEY, "interval"]).join(tiled.select(KEY, "interval", F.col("image").alias("_image")), [KEY, "interval"])

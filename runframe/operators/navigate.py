@@ -75,37 +75,57 @@ def same_position(a: Column, b: Column) -> Column:
     return (a["interval"] == b["interval"]) & (a["off"] == b["off"])
 
 
-def distances(perm: DataFrame, end: Column | None = None) -> DataFrame:
-    """(seq_id, i, dist): steps from i to the element whose next is ``end`` (0), by pointer doubling.
+def _reached(perm: DataFrame, end: Column) -> tuple[list[DataFrame], DataFrame]:
+    """Parts of (…, _next, dist) of the rows that reach the element whose next is ``end``, and the rows that do not.
 
-    Needs a permutation of a single cycle. Each round doubles the reach and is written, so its lineage is
-    one round; there are as many as the longest cycle has bits. Extra columns of ``perm`` stay.
+    Each round doubles the reach of the open rows and writes them alone, so its lineage is one round. There are
+    as many rounds as the longest sequence has bits, which is enough for any cycle.
     """
-    end = F.lit(0) if end is None else end
+    rounds = (perm.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0).bit_length()
     last_one = F.col("pi") == end
-    state = perm.withColumns({"_next": F.when(~last_one, F.col("pi")), "dist": F.when(last_one, F.lit(0)).otherwise(F.lit(1)).cast("long")})
-    state = written(state)
-    while not state.where("_next is not null").isEmpty():
-        ahead = state.select(KEY, F.col("i").alias("_next"), F.col("_next").alias("_far"), F.col("dist").alias("_more"))
-        joined = state.join(ahead, [KEY, "_next"], "left")
-        state = written(joined.select(*perm.columns, F.col("_far").alias("_next"), (F.col("dist") + F.coalesce("_more", F.lit(0))).alias("dist")))
-    return state.drop("_next")
+    state = written(perm.withColumns({"_next": F.when(~last_one, F.col("pi")), "dist": F.when(last_one, F.lit(0)).otherwise(F.lit(1)).cast("long")}))
+    done, rest = [state.where("_next is null")], state.where("_next is not null")
+    for _ in range(rounds):
+        ahead = rest
+        for part in done:
+            ahead = ahead.unionByName(part)
+        ahead = ahead.select(KEY, F.col("i").alias("_next"), F.col("_next").alias("_far"), F.col("dist").alias("_more"))
+        state = rest.join(ahead, [KEY, "_next"]).select(*perm.columns, F.col("_far").alias("_next"), (F.col("dist") + F.col("_more")).alias("dist"))
+        state = written(state)
+        done, rest = [*done, state.where("_next is null")], state.where("_next is not null")
+        if rest.isEmpty():
+            break
+    return done, rest
+
+
+def distances(perm: DataFrame, end: Column | None = None, whole: bool = True) -> DataFrame:
+    """(seq_id, i, dist): steps from i to the element whose next is ``end`` (0), by pointer doubling. Extra columns of ``perm`` stay.
+
+    Elements of other cycles never get there: a ValueError, or with ``whole`` false they are left out.
+    """
+    done, rest = _reached(perm, F.lit(0) if end is None else end)
+    if whole and not rest.isEmpty():
+        raise ValueError("the permutation has more than one cycle")
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return found.drop("_next")
+
 
+def cycle_order(perm: DataFrame) -> DataFrame:
+    """(seq_id, step, i): the positions in the order in which as many steps from 0 as there are elements meet them.
 
-def orbit(perm: DataFrame) -> DataFrame:
-    """(seq_id, step, i): the positions in the order in which stepping from 0 meets them."""
+    Where 0 lies on a cycle of fewer elements, that cycle is repeated.
+    """
     sizes = perm.groupBy(KEY).agg(F.count("*").alias("_n"))
-    return distances(perm).join(sizes, KEY).select(KEY, (F.col("_n") - 1 - F.col("dist")).alias("step"), "i")
+    met = distances(perm.select(KEY, "i", "pi"), whole=False)
+    cycles = met.groupBy(KEY).agg(F.count("*").alias("_size"))
+    rows = met.join(sizes.join(cycles, KEY), KEY).where("dist < _size")
+    return rows.select(KEY, F.explode(F.expr("sequence(_size - 1 - dist, _n - 1, _size)")).alias("step"), "i")
 
 
 def is_single_cycle(perm: DataFrame) -> DataFrame:
-    """(seq_id, ok): whether stepping from 0 meets every element.
-
-    Reach is doubled a fixed number of times, so other cycles do not keep it from ending.
-    """
-    bits = (perm.groupBy(KEY).count().agg(F.max("count")).first()[0] or 1).bit_length()
-    state = perm.select(KEY, "i", F.when(F.col("pi") != 0, F.col("pi")).alias("_next"))
-    for _ in range(bits):
-        ahead = state.select(KEY, F.col("i").alias("_next"), F.col("_next").alias("_far"))
-        state = written(state.join(ahead, [KEY, "_next"], "left").select(KEY, "i", F.col("_far").alias("_next")))
-    return state.groupBy(KEY).agg(F.max("_next").isNull().alias("ok"))
+    """(seq_id, ok): whether stepping from 0 meets every element."""
+    met = distances(perm.select(KEY, "i", "pi"), whole=False).groupBy(KEY).agg(F.count("*").alias("_met"))
+    sizes = perm.groupBy(KEY).agg(F.count("*").alias("_n"))
+    return sizes.join(met, KEY, "left").select(KEY, (F.col("_n") == F.coalesce("_met", F.lit(0))).alias("ok"))

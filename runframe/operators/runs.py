@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KEY
+from ..scratch import written
 from .scan import dense_rank, exclusive_sum, neighbour
 
 
@@ -61,11 +62,11 @@ def ranks_from_inverse(visits: DataFrame) -> DataFrame:
     return visits.select(KEY, "interval", F.col("rank").alias("image_rank"))
 
 
-def encode(runs: DataFrame, domain: DataFrame | None = None) -> DataFrame:
+def encode(runs: DataFrame, domain: DataFrame | None = None, ranks: bool = True) -> DataFrame:
     """Interval rows from any of their descriptions: length or start, and image or image_rank.
 
     Starts need domain(seq_id, domain). All forms of the same permutation give equal rows
-    (seq_id, interval, start, length, image, image_rank); further columns stay.
+    (seq_id, interval, start, length, image, image_rank); further columns stay. Without ``ranks``, image_rank is left out.
     """
     if "length" not in runs.columns:
         if domain is None:
@@ -75,9 +76,11 @@ def encode(runs: DataFrame, domain: DataFrame | None = None) -> DataFrame:
         runs = lengths_to_starts(runs)
     if "image" not in runs.columns:
         runs = images_from_ranks(runs)
-    if "image_rank" not in runs.columns:
+    if not ranks:
+        runs = runs.drop("image_rank")
+    elif "image_rank" not in runs.columns:
         runs = with_image_rank(runs)
-    first = [KEY, "interval", "start", "length", "image", "image_rank"]
+    first = [KEY, "interval", "start", "length", "image", *["image_rank"] * ranks]
     return runs.select(*first, *(c for c in runs.columns if c not in first))
 
 
@@ -88,14 +91,14 @@ def compose(first: DataFrame, then: DataFrame) -> DataFrame:
 
 
 def power(perm: DataFrame, k: int) -> DataFrame:
-    """``perm`` applied k times: a join for each bit of k."""
+    """``perm`` applied k times: a join for each bit of k; each square is written, so the plan does not grow with k."""
     out, square = perm.select(KEY, "i", F.col("i").alias("pi")), perm
     while k:
         if k & 1:
             out = compose(out, square)
         k >>= 1
         if k:
-            square = compose(square, square)
+            square = written(compose(square, square))
     return out
 
 

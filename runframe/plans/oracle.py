@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..model import DEFAULT_SPLITTING
 from .inputs import STRIDE
 from .queries import FACTOR, LF_STEPS, LONGEST, STEPS
 
@@ -28,6 +29,12 @@ PARTS = {
         FROM (SELECT b.*, b."interval" AS run, m, unnest(range(0, (length - 1) // m + 1)) AS k FROM blf b, cap)"""),
     "cut_max": ("blf", f"""SELECT seq_id, row_number() OVER (ORDER BY run, k) - 1 AS "interval", run, whole, k * {LONGEST} AS spot, "start" + k * {LONGEST} AS "start", least(whole - k * {LONGEST}, {LONGEST}) AS length, image + k * {LONGEST} AS image, ch
         FROM (SELECT b.*, b."interval" AS run, length AS whole, unnest(range(0, (length - 1) // {LONGEST} + 1)) AS k FROM blf b)"""),
+    "cap_default": ("blf", f"""SELECT (2 ** length(ltrim(bin(ceil(sum(length) / count(*) * {DEFAULT_SPLITTING.length_capping})::BIGINT), '0')) - 1)::BIGINT AS m FROM blf"""),
+    "cut_default": ("blf cap_default", """SELECT seq_id, row_number() OVER (ORDER BY run, k) - 1 AS "interval", "start" + k * m AS "start", least(length - k * m, m) AS length, image + k * m AS image
+        FROM (SELECT b.*, b."interval" AS run, m, unnest(range(0, (length - 1) // m + 1)) AS k FROM blf b, cap_default)"""),
+    "d5s": ("cut_max bpay", """SELECT c.*, p.val1, p.val2 FROM cut_max c JOIN bpay p USING (run)"""),
+    "letters": ("", """SELECT seq_id, i, row_number() OVER (PARTITION BY seq_id ORDER BY ch, i) - 1 AS pi, count(*) OVER (PARTITION BY seq_id) AS n FROM (
+        SELECT p_partkey AS seq_id, i, substring(p_name, i + 1, 1) AS ch FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS i FROM part))"""),
     "pay": ("rle", """SELECT r.run AS "interval", min(e.user_id) AS val1, max(e.user_id) AS val2 FROM rle r JOIN events e ON e.event_id >= r."start" AND e.event_id < r."start" + r.length GROUP BY r.run"""),
     "bpay": ("brle", """SELECT r.run AS run, min(e.user_id) AS val1, max(e.user_id) AS val2 FROM brle r JOIN events e ON e.event_id >= r."start" AND e.event_id < r."start" + r.length GROUP BY r.run"""),
     "d5": ("lfm pay", """SELECT m.*, p.val1, p.val2 FROM lfm m JOIN pay p USING ("interval")"""),
@@ -76,13 +83,18 @@ def _point(move: str) -> str:
     return f'SELECT x.*, b."interval" AS "interval", x.idx - b."start" AS off FROM x ASOF JOIN {move} b ON x.seq_id = b.seq_id AND x.idx >= b."start"'
 
 
-def _find(column: str, value: str, ahead: bool) -> str:
+def _find(column: str, value: str, ahead: bool, table: str = "d5") -> str:
     agg, compare, off = ("min", ">=", "0") if ahead else ("max", "<=", "b.length - 1")
     return f"""SELECT a."interval", a.found AS found_interval, CASE WHEN a.found IS NULL THEN NULL WHEN a.found = a."interval" THEN 0 ELSE {off} END::BIGINT AS found_off
-        FROM (SELECT c."interval", (SELECT {agg}(m."interval") FROM d5 m WHERE m.{column} = c.value AND m."interval" {compare} c."interval") AS found FROM (SELECT "interval", {value} AS value FROM d5) c) a
-        LEFT JOIN d5 b ON b."interval" = a.found"""
+        FROM (SELECT c."interval", (SELECT {agg}(m."interval") FROM {table} m WHERE m.{column} = c.value AND m."interval" {compare} c."interval") AS found FROM (SELECT "interval", {value} AS value FROM {table}) c) a
+        LEFT JOIN {table} b ON b."interval" = a.found"""
 
 
+def _placed(found: str) -> str:
+    return f"""SELECT f."interval" AS "from", f.found_interval, f.found_off AS off, b."start" + f.found_off AS idx FROM ({found}) f JOIN d5s b ON b."interval" = f.found_interval"""
+
+
+_LETTERS_WALK = "walk AS (SELECT seq_id, 0::BIGINT AS step, 0::BIGINT AS i FROM letters WHERE i = 0 UNION ALL SELECT w.seq_id, w.step + 1, l.pi FROM walk w JOIN letters l ON w.seq_id = l.seq_id AND w.i = l.i WHERE w.step + 1 < l.n)"
 _PHI_MOVE = """SELECT a.seq_id, a."interval", a."start", a.length, a.image, b."interval" AS pointer, a.image - b."start" AS off FROM {0} a ASOF JOIN {0} b ON a.seq_id = b.seq_id AND a.image >= b."start" """
 
 ORACLE_SQL = {
@@ -97,9 +109,9 @@ ORACLE_SQL = {
     "q_move_table": _sql("move", f"SELECT {_MOVE} FROM move"),
     "q_store_roundtrip": _sql("move", f"SELECT {_MOVE} FROM move"),
     "q_violations": "SELECT 0::BIGINT AS broken",
-    "q_widths": _sql("d5", f"""SELECT seq_id, {_width('max(length)')} AS w_length, {_width('sum(length) - 1')} AS w_start, {_width('max("interval")')} AS w_pointer, {_width('max(length)')} AS w_off,
+    "q_widths": _sql("d5", f"""SELECT seq_id, {_width('max(length)')} AS w_length, {_width('sum(length) - 1')} AS w_start, {_width('max("interval")')} AS w_pointer, {_width('max(length)')} AS w_off, {_width('count(DISTINCT ch) - 1')} AS w_ch,
         {_width('max(val1)')} AS w_val1, {_width('max(val2)')} AS w_val2 FROM d5 GROUP BY seq_id"""),
-    "q_bits_needed": _sql("d5", f"""SELECT seq_id, bits, (bits + 7) // 8 AS bytes FROM (SELECT seq_id, ({_width('max(length)')} * 2 + {_width('max("interval")')} + {_width('max(val1)')} + {_width('max(val2)')}) * count(*) AS bits FROM d5 GROUP BY seq_id)"""),
+    "q_bits_needed": _sql("d5", f"""SELECT seq_id, bits, (bits + 7) // 8 AS bytes FROM (SELECT seq_id, ({_width('max(length)')} * 2 + {_width('max("interval")')} + {_width('count(DISTINCT ch) - 1')} + {_width('max(val1)')} + {_width('max(val2)')}) * count(*) AS bits FROM d5 GROUP BY seq_id)"""),
     "q_stats": _sql("blf cut", 'SELECT 0::BIGINT AS seq_id, (SELECT count(*) FROM blf) AS runs, count(*) AS intervals, sum(length)::BIGINT AS domain, max(length) AS max_length, sum(length) / (SELECT count(*) FROM blf) AS n_over_r FROM cut'),
     "q_split_cap": _sql("cut", f"SELECT {_INTERVAL} FROM cut"),
     "q_split_max": _sql("cut_max", f"SELECT {_INTERVAL} FROM cut_max"),
@@ -150,7 +162,15 @@ ORACLE_SQL = {
     "q_text_fl": "SELECT p_partkey AS seq_id, p_name AS text FROM part WHERE p_name != ''",
     "q_sa_phi": _sql("bwt", "SELECT seq_id, i, sa FROM bwt"),
     "q_sa_phi_inv": _sql("bwt", "SELECT seq_id, i, sa FROM bwt"),
-    "q_orbit": _sql("bwt", "SELECT seq_id, count(*) OVER (PARTITION BY seq_id) - 1 - sa AS step, i FROM bwt"),
+    "q_violations_broken": _sql("runs", 'SELECT count(*) AS broken FROM runs WHERE "interval" % 7 = 3'),
+    "q_split_default": _sql("cut_default", 'SELECT a.seq_id, a."interval", a."start", a.length, a.image, b."interval" AS pointer, a.image - b."start" AS off FROM cut_default a ASOF JOIN cut_default b ON a.seq_id = b.seq_id AND a.image >= b."start"'),
+    "q_same_position": _sql("move", 'SELECT "interval" AS "from", pointer = "interval" AND off = 0 AS same FROM move'),
+    "q_pred_split": _sql("d5s", _placed(_find("ch", "'click'", False, "d5s"))),
+    "q_succ_split": _sql("d5s", _placed(_find("ch", "'click'", True, "d5s"))),
+    "q_phi_next": _sql("phi", """SELECT x.seq_id, x.origin AS "from", b."interval", x.idx - b."start" AS off, x.idx FROM x ASOF JOIN phi b ON x.seq_id = b.seq_id AND x.idx >= b."start" """, 'x AS (SELECT seq_id, "interval" AS origin, image AS idx FROM phi)'),
+    "q_cycle_order_any": _sql("letters", "SELECT seq_id, step, i FROM walk", _LETTERS_WALK),
+    "q_single_cycle_any": _sql("letters", "SELECT l.seq_id, count(DISTINCT w.i) = max(l.n) AS ok FROM letters l LEFT JOIN walk w ON l.seq_id = w.seq_id AND l.i = w.i GROUP BY l.seq_id", _LETTERS_WALK),
+    "q_cycle_order": _sql("bwt", "SELECT seq_id, count(*) OVER (PARTITION BY seq_id) - 1 - sa AS step, i FROM bwt"),
     "q_single_cycle": "SELECT p_partkey AS seq_id, true AS ok FROM part",
     "q_payload": _sql("d5", """SELECT y.origin AS "from", y."interval", y.off, y.idx, t.ch, t.val1, t.val2 FROM (SELECT x.*, b."interval" AS "interval", x.idx - b."start" AS off FROM x ASOF JOIN d5 b ON x.seq_id = b.seq_id AND x.idx >= b."start") y JOIN d5 t USING ("interval")""", 'x AS (SELECT seq_id, "interval" AS origin, image AS idx FROM d5)'),
     "q_separate_payload": _sql("d5", 'SELECT "interval", pointer, off, ch, val1, val2 FROM d5'),

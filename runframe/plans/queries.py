@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alphabets, scalars
@@ -84,7 +83,8 @@ def q_image_rank(spark, d):
 
 def q_image_rank_inverse(spark, d):
     ranked = runs.with_image_rank(runs.decompose(_d1(spark, d)))
-    return ranked.select(KEY, F.col("image_rank").alias("rank"), F.col("interval").alias("visited"))
+    visits = ranked.select(KEY, F.col("image_rank").alias("rank"), "interval")
+    return runs.ranks_from_inverse(visits).select(KEY, F.col("image_rank").alias("rank"), F.col("interval").alias("visited"))
 
 
 def q_encodings(spark, d):
@@ -115,6 +115,17 @@ def q_violations(spark, d):
     return movetable.violations(_d1_move(spark, d)).agg(F.count("*").alias("broken"))
 
 
+def q_violations_broken(spark, d):
+    """How many rows of a table with wrong offsets break its invariants."""
+    wrong = _d1_move(spark, d).withColumn("off", F.when(F.col("interval") % 7 == 3, F.col("off") + 1).otherwise(F.col("off")))
+    return movetable.violations(wrong).agg(F.count("*").alias("broken"))
+
+
+def q_split_default(spark, d):
+    """A table split as by default."""
+    return movetable.move_table(_d4(spark, d).drop("ch")).select(*MOVE)
+
+
 def q_split_cap(spark, d):
     return split.split_by_length_capping(_d4(spark, d).drop("ch"), FACTOR).select(KEY, "interval", "start", "length", "image")
 
@@ -152,6 +163,14 @@ def q_next(spark, d):
     return navigate.step(cursors, move).select("i", F.col("idx").alias("next_i"), "interval", "off")
 
 
+def q_same_position(spark, d):
+    """Whether the first position of each interval stays where it is in one step."""
+    move = _d1_move(spark, d)
+    there = navigate.step(_heads(move).withColumn("from", F.col("interval")), move)
+    own = F.struct(F.col("from").alias("interval"), F.lit(0).cast("long").alias("off"))
+    return there.select("from", navigate.same_position(F.struct("interval", "off"), own).alias("same"))
+
+
 def q_next_k(spark, d):
     move = _d1_move(spark, d)
     return navigate.step_k(_heads(move).withColumn("from", F.col("interval")), move, STEPS).select("from", F.col("idx").alias("to"))
@@ -214,6 +233,24 @@ def q_succ_char(spark, d):
     return _search(spark, d, search.succ, "ch", F.lit("click"))
 
 
+def _search_split(spark, d, find):
+    """Search in a table whose intervals are split, with the absolute place of what is found."""
+    rows = inputs.with_users(inputs.block_runs(spark, d), spark, d, inputs.event_blocks(spark, d))
+    move = written(split.split_by_max_length(rlbwt.lf_runs(rows).drop("head_rank", "image_rank"), LONGEST))
+    cursors = move.select(KEY, "interval", F.lit(0).cast("long").alias("off"), F.lit("click").alias("value"), F.col("interval").alias("from"))
+    found = find(cursors, move, "ch").select(KEY, "from", F.col("found_interval").alias("interval"), F.col("found_off").alias("off"))
+    placed = navigate.with_idx(found.where("interval is not null"), move)
+    return placed.select("from", F.col("interval").alias("found_interval"), "off", "idx")
+
+
+def q_pred_split(spark, d):
+    return _search_split(spark, d, search.pred)
+
+
+def q_succ_split(spark, d):
+    return _search_split(spark, d, search.succ)
+
+
 def q_alphabet(spark, d):
     return alphabets.alphabet(inputs.event_symbols(spark, d))
 
@@ -321,6 +358,12 @@ def q_phi_inv_move(spark, d, bwt=_bwt):
     return phi.phi_inv_move(rle, NO_SPLITTING).select(*MOVE)
 
 
+def q_phi_next(spark, d, bwt=_bwt):
+    """One step of φ from the first position of every interval of its table."""
+    move = written(phi.phi_move(rlbwt.run_length_encode(bwt(spark, d).select(KEY, "i", "ch")), NO_SPLITTING))
+    return navigate.step(_heads(move).withColumn("from", F.col("interval")), move).select(KEY, "from", "interval", "off", "idx")
+
+
 def q_text_lf(spark, d, bwt=_bwt):
     return recover.text_by_lf(bwt(spark, d).select(KEY, "i", "ch"))
 
@@ -337,9 +380,23 @@ def q_sa_phi_inv(spark, d, bwt=_bwt):
     return recover.suffix_array_by_phi_inv(runs.expand(phi.phi_inv_runs(bwt(spark, d))))
 
 
-def q_orbit(spark, d, bwt=_bwt):
+def q_cycle_order(spark, d, bwt=_bwt):
     """Positions of each text's BWT in the order in which LF meets them."""
-    return navigate.orbit(rlbwt.lf(bwt(spark, d)).drop("ch"))
+    return navigate.cycle_order(rlbwt.lf(bwt(spark, d)).drop("ch"))
+
+
+def _names_sorted(spark, d):
+    """perm, of several cycles mostly: where each letter of a part's name goes when they are sorted."""
+    letters = inputs.part_names(spark, d).select(KEY, F.posexplode(F.split("text", "")).alias("i", "ch"))
+    return written(rlbwt.lf(letters.where("ch != ''").withColumn("i", F.col("i").cast("long"))).drop("ch"))
+
+
+def q_cycle_order_any(spark, d):
+    return navigate.cycle_order(_names_sorted(spark, d))
+
+
+def q_single_cycle_any(spark, d):
+    return navigate.is_single_cycle(_names_sorted(spark, d))
 
 
 def q_single_cycle(spark, d, bwt=_bwt):
@@ -378,8 +435,6 @@ def _over(query, **source):
 
 
 #: The text queries over whole documents, named doc_ for q_; SQL that sorts suffixes of such texts is too slow, so there is none.
-ON_BWT = [q_bwt, q_phi, q_phi_inv, q_phi_rank, q_phi_inv_rank, q_phi_move, q_phi_inv_move, q_text_lf, q_text_fl, q_sa_phi, q_sa_phi_inv, q_orbit, q_single_cycle]
+ON_BWT = [q_bwt, q_phi, q_phi_inv, q_phi_rank, q_phi_inv_rank, q_phi_move, q_phi_inv_move, q_text_lf, q_text_fl, q_sa_phi, q_sa_phi_inv, q_cycle_order, q_single_cycle]
 ON_TEXTS = [q_suffix_array, q_bwt_long]
 QUERIES |= {f.__name__: f for f in [*(_over(q, bwt=_long_bwt) for q in ON_BWT), *(_over(q, texts=inputs.document_texts) for q in ON_TEXTS)]}
-
-__all__ = ["QUERIES", "DataFrame", "SparkSession"]

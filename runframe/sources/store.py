@@ -12,12 +12,17 @@ EXTENSION = ".move"
 
 
 def save(table: DataFrame, path: str, params: SplitParams | None = None) -> str:
-    """Write a table and what is known of it; rows are clustered, so that readers skip by sequence and interval."""
+    """Write a table and what is known of it: version, splitting, rows and domain (sum of lengths, or rows without them).
+
+    Rows are clustered, so that readers skip by sequence and interval.
+    """
     path = path if path.endswith(EXTENSION) else path + EXTENSION
     order = [c for c in (KEY, "interval", "run", "i") if c in table.columns]
     table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/table")
     capping, balancing = (params.length_capping, params.balancing) if params else (None, None)
-    about = table.sparkSession.range(1).select(F.lit(VERSION).alias("version"), F.lit(capping).cast("double").alias("length_capping"), F.lit(balancing).cast("long").alias("balancing"))
+    domain = F.sum("length") if "length" in table.columns else F.count("*")
+    sizes = table.sparkSession.read.parquet(f"{path}/table").agg(F.count("*").alias("rows"), F.coalesce(domain, F.lit(0)).cast("long").alias("domain"))
+    about = sizes.select("rows", "domain", F.lit(VERSION).alias("version"), F.lit(capping).cast("double").alias("length_capping"), F.lit(balancing).cast("long").alias("balancing"))
     about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     return path
 

@@ -205,3 +205,36 @@ def test_store_and_files(spark, tmp_path):
     (tmp_path / "sa/x.sa").write_bytes(struct.pack("<4I", 3, 1, 0, 2))
     assert [r.sa for r in files.read_suffix_array(spark, str(tmp_path / "sa")).orderBy("i").collect()] == [3, 1, 0, 2]
     assert [r.ch for r in files.read_symbols(spark, str(tmp_path / "sa")).orderBy("i").limit(1).collect()] == [chr(3)]
+
+
+def test_several_cycles(spark):
+    perm = perm_of(spark, [1, 0, 3, 2], [0, 1], [2, 0, 1])
+    found = {(r.seq_id, r.step): r.i for r in navigate.cycle_order(perm).collect()}
+    assert found == {(0, 0): 0, (0, 1): 1, (0, 2): 0, (0, 3): 1, (1, 0): 0, (1, 1): 0, (2, 0): 0, (2, 1): 2, (2, 2): 1}
+    assert [r.ok for r in navigate.is_single_cycle(perm).orderBy("seq_id").collect()] == [False, False, True]
+    with pytest.raises(ValueError, match="more than one cycle"):
+        navigate.distances(perm)
+
+
+def test_power_of_a_thousand(spark):
+    whole = [(i * 7 + 3) % 11 for i in range(11)]
+    at = list(range(11))
+    for _ in range(1000):
+        at = [whole[i] for i in at]
+    assert [r.pi for r in runs.power(perm_of(spark, whole), 1000).orderBy("i").collect()] == at
+
+
+def test_scalars_of_64_bits(spark):
+    large = F.lit((1 << 60) + 1)
+    row = spark.range(1).select(
+        scalars.ceil_div(large, F.lit(1)), scalars.ceil_div(F.lit(7), F.lit(2)), scalars.bits_to_bytes(F.lit((1 << 60) + 8)), scalars.max_val(F.lit(64)), scalars.max_val(F.lit(63)), scalars.max_val(F.lit(0)), scalars.mask(F.lit(3), F.lit(2)), scalars.pow2(F.lit(62))
+    ).first()
+    assert list(row) == [(1 << 60) + 1, 4, (1 << 57) + 1, -1, (1 << 63) - 1, 0, 28, 1 << 62]
+
+
+def test_payload_rows_once(spark):
+    move = movetable.move_table(runs.decompose(perm_of(spark, [2, 3, 0, 1])), NO_SPLITTING)
+    given = move.select("seq_id", "interval", F.lit(5).alias("v"))
+    assert movetable.attach_payload(move, given).count() == 2
+    with pytest.raises(ValueError, match="one row"):
+        movetable.attach_payload(move, given.unionByName(given))

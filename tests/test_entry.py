@@ -20,7 +20,7 @@ def test_entry(spark):
     assert found.count() == 1500
 
 
-@pytest.mark.parametrize("name", ["q_move_table", "q_split_move", "q_next_k", "q_pred", "q_succ_char", "q_fl_move", "q_phi_inv", "q_text_fl", "q_sa_phi", "q_store_roundtrip"])
+@pytest.mark.parametrize("name", ["q_move_table", "q_split_move", "q_next_k", "q_pred", "q_succ_char", "q_fl_move", "q_phi_inv", "q_text_fl", "q_sa_phi", "q_store_roundtrip", "q_violations_broken", "q_pred_split", "q_cycle_order_any", "q_single_cycle_any", "q_phi_next"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for table in ("orders", "events", "part", "benchmark"):
