@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
+
 #: Rows in one Arrow batch handed to Python; texts may be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 512
 
@@ -27,15 +28,6 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut, and any executor can read it."""
     spark = df.sparkSession

@@ -6,116 +6,149 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, table, written
 from .components import components
 
-#: Walks start anew at content-defined cuts: after about MEAN characters, MOST at the latest.
-MEAN, MOST = 128, 512
-#: A walk of L characters makes 3 L steps; each run of SAMPLE of its symbols is one sampled coordinate block.
-STRETCH, SAMPLE = 3, 16
-#: Slots of a fingerprint (8 bits each), and slots of a band.
-SLOTS, BAND = 64, 4
-#: Most edits between texts that are near.
-NEAR_EDITS = 64
-#: Characters embedded at once.
-CHUNK = 2_000_000
+#: Symbols of a sampled coordinate, and coordinates that an octave of steps has at most.
+RUN, SAMPLES = 4, 24
+#: Coordinates of a band, and the octaves at the end of a walk that have bands.
+BAND, OCTAVES = 4, 3
+#: Most coordinates, as a share of the longer fingerprint's, in which near texts differ.
+UNLIKE = 0.5
+#: Characters that walk together, and rows.
+CHUNK, ROWS = 16_000_000, 4_096
 #: Ordered ranges of ids that are put side by side to find each document's next one.
 RANGES = 4_096
 
+_CUT = np.uint32(2654435761)
+_TURNS = 4_096
 _rng = np.random.default_rng(41)
-#: The shared random walks: whether a walk moves on at each step, by step and (hashed) character; 0 marks the end.
-_MOVES = _rng.integers(0, 2, (STRETCH * MOST, 256)).astype(np.int32)
-_MOVES[:, 0] = 0
-_CUT, _FOLD = np.uint32(2654435761), np.uint64(0x9E3779B97F4A7C15)
-
-
-def _cuts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Starts of all pieces: where a hash of the eight characters before says so, and every MOST characters."""
-    mixed = codes.astype(np.uint32) * _CUT
-    rolled = np.zeros(len(codes), np.uint32)
-    for i in range(8):
-        rolled[i:] += (mixed[: len(mixed) - i] >> np.uint32(i)) * np.uint32(2 * i + 1)
-    marks = (rolled * _CUT >> np.uint32(16)) % MEAN == 0
-    is_start = np.zeros(len(codes) + 1, bool)
-    is_start[1:] = marks
-    own = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
-    is_start[:-1][own < 8] = False  # the hash would look into the text before
-    is_start[starts] = True
-    found = np.flatnonzero(is_start[:-1])
-    gaps = np.diff(np.append(found, len(codes)))
-    extra = (gaps - 1) // MOST
-    if extra.any():
-        more = np.repeat(found, extra) + MOST * (np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1)
-        found = np.sort(np.concatenate([found, more]))
-    return found
+#: The shared random walks: whether a walk moves on at a step, by step and (hashed) character, is the sum of two bits; 0 marks the end.
+_BITS = [_rng.integers(0, 2, (period, 256)).astype(np.int64) for period in (4_093, 4_099)]
+for _table in _BITS:
+    _table[:, 0] = 0
+
+
+def walk_steps(n: np.ndarray) -> np.ndarray:
+    """Steps of a walk over n characters: two a character in the mean, and more than any walk's deviation from it."""
+    n = np.asarray(n, np.int64)
+    return np.where(n > 0, 2 * n + 8 * np.sqrt(n).astype(np.int64) + 16, 0)
 
 
-def embed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every sampled block of the embedded pieces of the texts, in lockstep over all pieces.
+def places(steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """First step of each coordinate of a walk of so many steps, in order, and the steps for which it stands.
 
-    A walk emits its current character and, by the shared random bit of (step, character), stays or
-    moves on. Texts that differ by few edits are back in step soon, so edit distance becomes Hamming
-    distance of the emitted strings.
+    Each octave of steps is sampled alike, at places that do not depend on the walk's length.
     """
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    some = np.flatnonzero(lengths)
-    if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = (np.cumsum(lengths) - lengths)[some]
-    cuts = _cuts(codes, starts)
-    sizes = np.diff(np.append(cuts, len(codes)))
-    rows = some[np.searchsorted(starts, cuts, side="right") - 1]
-    order = np.argsort(-sizes, kind="stable")
-    # every piece is followed by the mark 0, on which its walk stays
-    symbols = np.zeros(len(codes) + len(cuts), np.uint8)
-    symbols[np.arange(len(codes)) + np.repeat(np.arange(len(cuts)), sizes)] = (codes * _CUT >> np.uint32(20)) % np.uint32(255) + 1
-    at = (cuts + np.arange(len(cuts)))[order].astype(np.int64)
-    rows, steps = rows[order], STRETCH * sizes[order]
-    blocks = -(-steps // SAMPLE)
-    out_rows, out_hashes = [], []
-    for block in range(int(blocks[0])):
-        active = int(np.searchsorted(-blocks, -block, side="left"))
-        where, total = at[:active], np.full(active, block * 977 + 1, np.uint64)
-        for step in range(block * SAMPLE, min((block + 1) * SAMPLE, STRETCH * MOST)):
-            symbol = symbols[where]
-            total *= _FOLD
-            total += symbol
-            where += _MOVES[step][symbol]
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-        out_rows.append(rows[:active])
-        out_hashes.append(total ^ total >> np.uint64(32))
-    return np.concatenate(out_rows), np.concatenate(out_hashes)
-
-
-def sketch(texts: list[str]) -> np.ndarray:
-    """(texts, SLOTS) uint8: per slot, eight bits of the smallest hash of a sampled block that falls in it.
-
-    An empty slot borrows from the next filled one, at a fixed rotation; a text without characters has zeros.
+    found, weights, low = [0], [4.0], 4
+    while low < steps:
+        count = min(SAMPLES, max(1, low // 8))
+        width = low // count
+        own = low + width * np.arange(count) + np.random.default_rng(low).integers(0, width - RUN + 1, count)
+        found += own.tolist()
+        weights += [low / count] * count
+        low *= 2
+    found, weights = np.array(found, np.int64), np.array(weights)
+    here = found + RUN <= steps
+    return found[here], weights[here]
+
+
+def sketch(texts: list[str]) -> list[bytes]:
+    """The fingerprint of each text: a byte for each sampled coordinate of its embedding, b"" for an empty text.
+
+    A walk emits its current character at each step and, by the shared random bit of (step, character), stays or moves on. Texts
+    that differ by few edits are back in step soon, so the edit distance becomes the Hamming distance of what
+    is emitted, and that of the samples. All texts walk in lockstep, the longest first; a very long text is one walk.
     """
-    best = np.full((len(texts), SLOTS), np.iinfo(np.uint64).max, np.uint64)
-    run, size = [], 0
-    for i, text in enumerate([*texts, None]):
-        if text is None or run and size + len(text) > CHUNK:
-            rows, hashes = embed([texts[j] for j in run])
-            if len(rows):
-                slot = np.asarray(run)[rows] * SLOTS + (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-                np.minimum.at(best.reshape(-1), slot, hashes >> np.uint64(6))
-            run, size = [], 0
-        if text is not None:
-            run.append(i)
-            size += len(text)
-    filled = best != np.iinfo(np.uint64).max
-    out = (best >> np.uint64(3) & np.uint64(255)).astype(np.int64)
-    here = np.arange(SLOTS)
-    place = np.where(filled, here, 4 * SLOTS)
-    ahead = np.minimum.accumulate(np.hstack([place, place + SLOTS])[:, ::-1], axis=1)[:, ::-1][:, :SLOTS]
-    out = (np.take_along_axis(out, ahead % SLOTS, axis=1) + 37 * (ahead - here)) % 256
-    return np.where(filled.any(axis=1, keepdims=True), out, 0).astype(np.uint8)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-lengths, kind="stable")
+    lengths = lengths[order]
+    steps = walk_steps(lengths)
+    some = int((lengths > 0).sum())
+    if not some:
+        return [b""] * len(texts)
+    codes = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = np.zeros(len(codes) + some, np.uint8)  # every text is followed by the mark 0, on which its walk stays
+    symbols[np.arange(len(codes)) + np.repeat(np.arange(some), lengths[:some])] = (codes * _CUT >> np.uint32(20)) % np.uint32(255) + 1
+    del codes
+    at = np.cumsum(lengths[:some] + 1) - lengths[:some] - 1
+    first, _ = places(int(steps[0]))
+    out = np.zeros((some, len(first)), np.uint8)
+    active, turn, step = some, None, 0
+    for j, place in enumerate(first.tolist()):
+        total = None
+        while step < place + RUN:
+            if step % _TURNS == 0:
+                own = np.arange(step, step + _TURNS)
+                turn = _BITS[0][own % len(_BITS[0])] ^ _BITS[1][own % len(_BITS[1])]
+            while steps[active - 1] <= step:
+                active -= 1
+            symbol = symbols[at[:active]]
+            if step >= place:
+                total = symbol.astype(np.uint32) if total is None else total[:active] * np.uint32(0x01000193) + symbol
+            at[:active] += turn[step % _TURNS][symbol]
+            step += 1
+        out[:active, j] = (total[:active] * _CUT >> np.uint32(24)).astype(np.uint8)
+    counts = np.searchsorted(first + RUN, steps[:some], side="right")
+    found = [b""] * len(texts)
+    for row, count in enumerate(counts.tolist()):
+        found[order[row]] = out[row, :count].tobytes()
+    return found
+
+
+def likeness(pairs: list[tuple[bytes, bytes]]) -> list[float]:
+    """For each pair of fingerprints the share of steps, by their samples, at which the walks are alike: 1 for equal ones."""
+    longest = max((max(len(a), len(b)) for a, b in pairs), default=0)
+    weights = places(1 << (longest // SAMPLES + 12))[1] if longest else np.zeros(0)
+    found = []
+    for a, b in pairs:
+        both, all_of = min(len(a), len(b)), max(len(a), len(b))
+        alike = np.frombuffer(a, np.uint8, both) == np.frombuffer(b, np.uint8, both)
+        found.append(float(weights[:both][alike].sum() / weights[:all_of].sum()) if all_of else 1.0)
+    return [min(1.0, x) for x in found]
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Hamming distance of two fingerprints; what one has beyond the other differs."""
+    both = min(len(a), len(b))
+    return max(len(a), len(b)) - int((np.frombuffer(a, np.uint8, both) == np.frombuffer(b, np.uint8, both)).sum())
+
+
+def band_keys(prints: list[bytes]) -> list[list[int]]:
+    """Hashes of BAND sampled coordinates each, from the last OCTAVES octaves that a fingerprint reaches."""
+    starts, low, at = [0], 4, 1  # where the octaves begin in a fingerprint
+    longest = max(map(len, prints), default=0)
+    while at <= longest:
+        starts.append(at)
+        at += min(SAMPLES, max(1, low // 8))
+        low *= 2
+    found = []
+    for own in prints:
+        last = max((i for i, x in enumerate(starts) if x < len(own)), default=0)
+        begin = starts[max(0, last - OCTAVES + 1)] if own else 0
+        if last < OCTAVES + 4:  # a short walk: all its coordinates
+            begin = 0
+        cuts = range(begin, max(begin + 1, len(own) - BAND + 1), BAND) if own else ()
+        found.append([xxhash.xxh64_intdigest(own[i : i + BAND], seed=i) - (1 << 63) for i in cuts])
+    return found
+
+
+def _gathered(batches):
+    """Arrow batches put together, up to CHUNK characters (or bytes) or ROWS rows; the text is the last column."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        size += batch.column(batch.num_columns - 1).nbytes
+        if rows >= ROWS or size >= CHUNK:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def edited(text: str, following: str) -> str:
@@ -144,110 +177,123 @@ def side_by_side(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and fingerprint (hex, SLOTS bytes) of every whole text; null counts as empty, equal texts have equal fingerprints."""
+    """``keep`` and print (the bytes of the fingerprint) of every whole text; null counts as empty, equal texts have equal fingerprints.
+
+    One row for each input row; extra columns go; an empty table gives no row. A text that is very long takes one task
+    a time in proportion to its length.
+    """
     kept = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def make(batches):
-        for batch in batches:
-            found = [x.tobytes().hex() for x in sketch(batch.column(batch.num_columns - 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], [*batch.schema.names[:-1], "fingerprint"])
+        for batch in _gathered(batches):
+            found = sketch(batch.column(batch.num_columns - 1).to_pylist())
+            out = pa.Table.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.column_names[:-1], "print"])
+            yield from out.to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return map_batches(kept, make, f"{schema}, fingerprint string")
+    return map_batches(kept, make, f"{schema}, print binary")
 
 
 def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row: its fingerprint, that of its edited text, and their likeness.
+    """One row per row: its fingerprint (hex), that of its edited text, and their likeness.
 
     Rows are in the order of id (null first), then text; the last one's next is the first. Null texts
-    are empty; an empty text has the fingerprint of zeros. A single row is its own next. An empty table
+    are empty; an empty text has the empty fingerprint, which is like another empty one only. A single row is its own next. An empty table
     gives no row; extra columns go.
     """
 
     def walk(batches):
         held = None  # the last row of the batch before, whose next one is still to come
-        for batch in batches:
-            ranges, tails, ids, texts = (c.to_pylist() for c in batch.columns)
+        for batch in _gathered(batches):
+            ranges, tails, ids, texts = (c.to_pylist() for c in (batch.column(n) for n in ("_range", "_tail", "doc_id", "_text")))
             if held:
-                ranges, tails, ids, texts = ([h, *c] for h, c in zip(held[:4], (ranges, tails, ids, texts), strict=True))
-            own = sketch(texts[1:] if held else texts)
-            own = np.vstack([held[4][None], own]) if held else own
-            held = (ranges[-1], tails[-1], ids[-1], texts[-1], own[-1]) if ranges else held
+                ranges, tails, ids, texts = ([h, *c] for h, c in zip(held, (ranges, tails, ids, texts), strict=True))
+            held = (ranges[-1], tails[-1], ids[-1], texts[-1]) if ranges else held
             at = [i for i in range(len(ranges) - 1) if not tails[i] and ranges[i] == ranges[i + 1]]
             after = [edited(texts[i], texts[i + 1]) for i in at]
-            theirs = sketch(after)
-            mine, following = own[at], own[[i + 1 for i in at]]
-            yield pa.RecordBatch.from_arrays(
+            found = sketch(texts + after)  # the last row's is found again with the next batch
+            own, theirs = found[: len(texts)], found[len(texts) :]
+            out = pa.Table.from_arrays(
                 [
                     pa.array([ids[i] for i in at], pa.int64()),
                     pa.array([len(texts[i]) for i in at], pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in after], pa.string()),
-                    pa.array([x.tobytes().hex() for x in mine], pa.string()),
-                    pa.array([x.tobytes().hex() for x in theirs], pa.string()),
-                    pa.array((mine == theirs).mean(axis=1), pa.float64()),
-                    pa.array((mine == following).mean(axis=1), pa.float64()),
+                    pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in after], pa.string()),
+                    pa.array([own[i].hex() for i in at], pa.string()),
+                    pa.array([x.hex() for x in theirs], pa.string()),
+                    pa.array(likeness([(own[i], x) for i, x in zip(at, theirs, strict=True)]), pa.float64()),
+                    pa.array(likeness([(own[i], own[i + 1]) for i in at]), pa.float64()),
                 ],
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
+            yield from out.to_batches()
 
     return map_batches(side_by_side(docs, text_col, id_col), walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+def _node(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
 
+def _compared(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b, differ, size) of the pairs (a, b) of nodes: coordinates that differ, and those of the longer fingerprint."""
+    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("print").alias("_a")), "a").join(prints.select(F.col("node").alias("b"), F.col("print").alias("_b")), "b")
 
-def _checked(pairs: DataFrame, texts: DataFrame, most_edits: int) -> DataFrame:
-    """(a, b, edits) of the pairs (a, b) of nodes whose texts are within ``most_edits``."""
-    pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    one = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    both = pairs.join(one.select(F.col("node").alias("a"), F.col("text").alias("_a")), "a").join(one.select(F.col("node").alias("b"), F.col("text").alias("_b")), "b")
-    return written(both.withColumn("edits", F.levenshtein("_a", "_b", most_edits)).where("edits >= 0").select("a", "b", "edits"))
+    def compare(batches):
+        for batch in batches:
+            mine, theirs = (batch.column(i).to_pylist() for i in (2, 3))
+            differ = [differing(x, y) for x, y in zip(mine, theirs, strict=True)]
+            size = [max(len(x), len(y)) for x, y in zip(mine, theirs, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ, pa.int64()), pa.array(size, pa.int64())], ["a", "b", "differ", "size"])
+
+    return written(map_batches(both.select("a", "b", "_a", "_b"), compare, "a long, b long, differ long, size long"))
 
 
-def near_links(docs: DataFrame, most_edits: int, text_col: str = "text") -> DataFrame:
-    """(a, b, edits) of links between near texts, each text by its node, the hash of the text; empty texts have none.
+def near_links(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text") -> DataFrame:
+    """(a, b) of links between near texts, each text by its node, the hash of the text; empty texts have none.
 
-    Every band of BAND slots names candidates. Each member of a band's bucket is first verified against one head;
-    then all pairs of a bucket that are still in different components are, so the links join
-    all texts that any verified pair of a bucket would join. Pairs inside a component are not all listed.
+    Texts that share a band are candidates, and near if their whole fingerprints differ in at most ``unlike`` of the coordinates.
+    Each text of a band is compared with the band's first, its head. Then texts of different components are
+    compared, where their distances from the head do not rule it out: they are no further apart than the texts are. So the
+    links join all texts that any near pair of a band would join.
+    """
+    prints = fingerprints(docs, text_col, keep=(_node(text_col).alias("node"),)).where("octet_length(print) > 0")
+    prints = written(prints.dropDuplicates(["node"]))
+
+    def cut(batches):
+        for batch in batches:
+            keys = band_keys(batch.column(1).to_pylist())
+            rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array([k for x in keys for k in x], pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], ["key", "node"])
+
+    dealt = map_batches(prints.select("node", "print"), cut, "key long, node long").repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("top")).where("head != top").select("key", "head")
+    bands = written(dealt.join(shared, "key"))
+    tried = _compared(bands.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), prints.join(bands.select("node").distinct(), "node", "left_semi"))
+    near = F.col("differ") <= F.col("size") * unlike
+    links = tried.where(near).select("a", "b")
+    told = bands.join(tried.select(F.col("a").alias("head"), F.col("b").alias("node"), "differ", "size"), ["head", "node"], "left").withColumns({"differ": F.coalesce("differ", F.lit(0)), "size": F.coalesce("size", F.lit(0))})  # the head itself is at no distance
+    lists = told.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = lists.groupBy("key", "component").agg(F.count("*").alias("texts"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("texts", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
+    lists = written(lists.join(main, "key").select("key", "node", "differ", "size", "component", "main"))
+    strays = lists.where("component != main").select("key", F.col("node").alias("stray"), F.col("differ").alias("stray_differ"), F.col("size").alias("stray_size"), F.col("component").alias("stray_component"))
+    apart = F.abs(F.col("differ") - F.col("stray_differ")) <= F.greatest("size", "stray_size") * unlike
+    both = strays.join(lists, "key").where((F.col("component") != F.col("stray_component")) & ((F.col("component") == F.col("main")) | (F.col("stray") < F.col("node"))) & apart)
+    left = written(both.select(F.least("stray", "node").alias("a"), F.greatest("stray", "node").alias("b")).distinct())
+    return links if left.isEmpty() else links.unionByName(_compared(left, prints).where(near).select("a", "b"))
+
+
+def near_ids(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, near_id) of every row: near_id is the smallest id of the texts that are equal or joined by links.
+
+    Null ids are no smallest unless there is no other; null texts are empty; repeated rows repeat; an empty table gives no row.
     """
-    texts = _texts(docs, text_col)
-    found = fingerprints(texts, keep=("node", F.length("text").alias("n"))).where("n > 0").dropDuplicates(["node"])
-    width = 2 * BAND
-    bands = written(found.select("node", "n", F.posexplode(F.expr(f"transform(sequence(0, {SLOTS // BAND - 1}), i -> substring(fingerprint, i * {width} + 1, {width}))")).alias("band", "key")))
-    heads = bands.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").select("band", "key", "head")
-    bands = written(bands.join(heads, ["band", "key"]))
-    close = lambda n, m: F.abs(F.col(n) - F.col(m)) <= most_edits
-    tried = written(bands.where((F.col("node") > F.col("head.node")) & close("n", "head.n")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _checked(tried, texts, most_edits)
-    lists = bands.select("band", "key", "node", "n").join(components(links.select("a", "b")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = lists.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("band", "key", "main")
-    lists = written(lists.join(main, ["band", "key"]))
-    strays = lists.where("component != main").select("band", "key", F.col("node").alias("stray"), F.col("n").alias("stray_n"), F.col("component").alias("stray_component"))
-    both = strays.join(lists, ["band", "key"]).where((F.col("component") != F.col("stray_component")) & ((F.col("component") == F.col("main")) | (F.col("stray") < F.col("node"))) & close("n", "stray_n"))
-    left = both.select(F.least("stray", "node").alias("a"), F.greatest("stray", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_checked(left, texts, most_edits))
-
-
-def near_pairs(docs: DataFrame, most_edits: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_a, id_b, edits) of the links of ``near_links``; equal texts go by their smallest id."""
-    ids = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(id_col).alias("id")).groupBy("node").agg(F.min("id").alias("id"))
-    links = near_links(docs, most_edits, text_col)
-    pairs = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("_a")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("_b")), "b")
-    return pairs.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"), "edits")
-
-
-def near_ids(docs: DataFrame, most_edits: int = NEAR_EDITS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, node, near_id) of every row: near_id is the smallest id of the texts that are equal or joined by links."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"))
-    joined = components(near_links(docs, most_edits, text_col).select("a", "b"))
-    rows = written(rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _node(text_col).alias("node"))
+    joined = components(near_links(docs, unlike, text_col))
+    rows = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = written(rows.select("doc_id", "component"))
     least = rows.groupBy("component").agg(F.min("doc_id").alias("near_id"))
-    return rows.join(least, "component").select("doc_id", "node", "near_id")
+    return rows.join(least, "component").select("doc_id", "near_id")
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:

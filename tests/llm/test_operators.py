@@ -246,34 +246,55 @@ def test_fingerprints(docs, rows):
     alone = fingerprint.fingerprints(docs, keep=("text",)).collect()
     by_text = {}
     for r in alone:
-        assert by_text.setdefault(r.text or "", r.fingerprint) == r.fingerprint
+        assert by_text.setdefault(r.text or "", bytes(r.print).hex()) == bytes(r.print).hex()
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
+    for r in found:  # each text alone gives what it gives among others
+        if r.doc_id is not None and r.doc_id != 3:
+            assert r.fingerprint == by_text[rows[r.doc_id][1] or ""]
     rng = random.Random(4)
     text = prose(rng, 600)
     near = text[:900] + "X" + text[900:]
     a, b, c = fingerprint.sketch([text, near, prose(rng, 600)])
-    assert (a == b).mean() > 0.8 and (a == c).mean() < 0.1
-
-
-def test_near_pairs(docs):
-    found = {(r.id_a, r.id_b): r.edits for r in fingerprint.near_pairs(docs, 30).collect()}
-    assert found and all(0 < n <= 30 for n in found.values())
-
-
-def test_near_pairs_behind_a_far_head(spark, monkeypatch):
-    """One bucket whose smallest id, and smallest hash, is far from the other two, which are near each other."""
-    monkeypatch.setattr(fingerprint, "fingerprints", lambda docs, text_col="text", keep=("doc_id",): docs.select(*keep, F.lit("00" * fingerprint.SLOTS).alias("fingerprint")))
-    bodies = spark.createDataFrame([(f"{i} {'abcdefgh' * 9}",) for i in range(40)], "text string").select("text", F.xxhash64("text").alias("node")).orderBy("node").collect()
-    near = [bodies[-1].text, bodies[-2].text]
-    far = next(t for t in ("".join(random.Random(i).choice("xyz") for _ in range(75)) for i in range(99)) if spark.range(1).select((F.xxhash64(F.lit(t)) < bodies[-2].node).alias("x")).first().x)
-    frame = spark.createDataFrame([(1, far), (2, near[0]), (3, near[1])], "doc_id long, text string")
-    assert [(r.id_a, r.id_b) for r in fingerprint.near_pairs(frame, 5).collect()] == [(2, 3)]
-    assert {r.doc_id: r.near_id for r in fingerprint.near_ids(frame, 5).collect()} == {1: 1, 2: 2, 3: 2}
+    assert a == fingerprint.sketch([text])[0] and fingerprint.likeness([(a, a), (b"", b""), (a, b"")]) == [1.0, 1.0, 0.0]
+    (same,), (other,) = fingerprint.likeness([(a, b)]), fingerprint.likeness([(a, c)])
+    assert same > 0.8 and other < 0.2
+
+
+def walked(text):
+    """What the walk over a text emits, step by step."""
+    codes = [(ord(c) * 2654435761 % 2**32 >> 20) % 255 + 1 for c in text] + [0]
+    at, out = 0, []
+    for step in range(int(fingerprint.walk_steps(len(text)))):
+        out.append(codes[at])
+        at += int(fingerprint._BITS[0][step % 4093][codes[at]] ^ fingerprint._BITS[1][step % 4099][codes[at]])
+    assert at == len(text)
+    return out
+
+
+def test_walk(rows):
+    for text in [t for t in texts() if t and len(t) < 4000]:
+        steps = walked(text)
+        want = []
+        for place in fingerprint.places(len(steps))[0].tolist():
+            total = 0
+            for symbol in steps[place : place + fingerprint.RUN]:
+                total = (total * 0x01000193 + symbol) % 2**32
+            want.append(total * 2654435761 % 2**32 >> 24)
+        assert fingerprint.sketch([text])[0] == bytes(want)
+
+
+def test_near_links(docs):
+    """All texts that share a band and whose fingerprints are near are joined, and no others."""
+    prints = {r.node: bytes(r.print) for r in fingerprint.fingerprints(docs, keep=(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"),)).collect()}
+    keys = {n: set(k) for n, k in zip(prints, fingerprint.band_keys(list(prints.values())), strict=True)}
+    want = [(a, b) for a in prints for b in prints if a < b and keys[a] & keys[b] and fingerprint.differing(prints[a], prints[b]) <= fingerprint.UNLIKE * max(len(prints[a]), len(prints[b]))]
+    got = [(r.a, r.b) for r in fingerprint.near_links(docs).collect()]
+    assert want and joined(got) == joined(want) and {tuple(sorted(x)) for x in got} <= set(want)
 
 
 def test_near_recall(spark, docs):
     """Texts of 200 characters or more within 30 edits, by brute force, and the share of them that have one near_id."""
-    near = {r.doc_id: r.near_id for r in fingerprint.near_ids(docs.where("doc_id != 3"), 30).collect()}
+    near = {r.doc_id: r.near_id for r in fingerprint.near_ids(docs.where("doc_id != 3")).collect()}
     rows = docs.where("doc_id != 3 and length(text) between 200 and 4000").select("doc_id", "text")
     true = rows.alias("a").join(rows.alias("b"), F.expr("a.doc_id < b.doc_id and levenshtein(a.text, b.text, 30) >= 0")).select("a.doc_id", F.col("b.doc_id").alias("other")).collect()
     recall = sum(near[r.doc_id] == near[r.other] for r in true) / len(true)
