@@ -15,10 +15,12 @@ from .components import components
 
 #: Symbols of a sampled coordinate, and coordinates that an octave of steps has at most.
 RUN, SAMPLES = 4, 24
-#: Coordinates of a band, and the octaves at the end of a walk that have bands.
-BAND, OCTAVES = 4, 3
+#: Coordinates of a band, whole octaves of a short walk, and coordinates behind a whole octave that leave it only just whole.
+BAND, SHORT, MARGIN = 4, 3, 4
 #: Most coordinates, as a share of the longer fingerprint's, in which near texts differ.
-UNLIKE = 0.5
+UNLIKE = 0.6
+#: Texts of a band with which its others are compared first.
+PIVOTS = 2
 #: Characters that walk together, and rows.
 CHUNK, ROWS = 16_000_000, 4_096
 #: Ordered ranges of ids that are put side by side to find each document's next one.
@@ -58,7 +60,7 @@ def places(steps: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(texts: list[str]) -> list[bytes]:
-    """The fingerprint of each text: a byte for each sampled coordinate of its embedding, b"" for an empty text.
+    """The fingerprint of each text: a byte for each sampled coordinate of its embedding up to where the walk ends, b"" for an empty text.
 
     A walk emits its current character at each step and, by the shared random bit of (step, character), stays or moves on. Texts
     that differ by few edits are back in step soon, so the edit distance becomes the Hamming distance of what
@@ -96,7 +98,7 @@ def sketch(texts: list[str]) -> list[bytes]:
     counts = np.searchsorted(first + RUN, steps[:some], side="right")
     found = [b""] * len(texts)
     for row, count in enumerate(counts.tolist()):
-        found[order[row]] = out[row, :count].tobytes()
+        found[order[row]] = out[row, :count].tobytes().rstrip(b"\0")  # the mark at the end gives zeros, which are as many for any text of that length
     return found
 
 
@@ -119,19 +121,24 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def band_keys(prints: list[bytes]) -> list[list[int]]:
-    """Hashes of BAND sampled coordinates each, from the last OCTAVES octaves that a fingerprint reaches."""
-    starts, low, at = [0], 4, 1  # where the octaves begin in a fingerprint
+    """Hashes of bands, BAND neighbouring sampled coordinates each.
+
+    Bands lie in the last whole octave and behind it, so a passage at the beginning of texts gives them none in common; the
+    octave before has bands too where the last is only just whole, as it may not be whole in a somewhat shorter text.
+    Short walks, with at most SHORT octaves of some size, have bands everywhere.
+    """
+    octaves, low, at = [], 4, 1  # (first coordinate, coordinates) of the octaves of a fingerprint
     longest = max(map(len, prints), default=0)
     while at <= longest:
-        starts.append(at)
-        at += min(SAMPLES, max(1, low // 8))
+        octaves.append((at, min(SAMPLES, max(1, low // 8))))
+        at += octaves[-1][1]
         low *= 2
     found = []
     for own in prints:
-        last = max((i for i, x in enumerate(starts) if x < len(own)), default=0)
-        begin = starts[max(0, last - OCTAVES + 1)] if own else 0
-        if last < OCTAVES + 4:  # a short walk: all its coordinates
-            begin = 0
+        whole = [x for x in octaves if x[1] >= SAMPLES // 3 and sum(x) <= len(own)]
+        begin = 0
+        if len(whole) > SHORT:
+            begin = whole[-1][0] if len(own) - sum(whole[-1]) > MARGIN else whole[-2][0]
         cuts = range(begin, max(begin + 1, len(own) - BAND + 1), BAND) if own else ()
         found.append([xxhash.xxh64_intdigest(own[i : i + BAND], seed=i) - (1 << 63) for i in cuts])
     return found
@@ -252,35 +259,44 @@ def near_links(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text")
     """(a, b) of links between near texts, each text by its node, the hash of the text; empty texts have none.
 
     Texts that share a band are candidates, and near if their whole fingerprints differ in at most ``unlike`` of the coordinates.
-    Each text of a band is compared with the band's first, its head. Then texts of different components are
-    compared, where their distances from the head do not rule it out: they are no further apart than the texts are. So the
-    links join all texts that any near pair of a band would join.
+    Each text of a band is compared with a few pivots: the band's first text, then others of the band's
+    largest component. After that, texts of different components are compared, where their distances from the pivots do not
+    rule it out: those differ by no more than the texts do. So the links join all texts that any near pair of a band would join.
     """
     prints = fingerprints(docs, text_col, keep=(_node(text_col).alias("node"),)).where("octet_length(print) > 0")
     prints = written(prints.dropDuplicates(["node"]))
 
     def cut(batches):
         for batch in batches:
-            keys = band_keys(batch.column(1).to_pylist())
+            own = batch.column(1).to_pylist()
+            keys = band_keys(own)
             rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array([k for x in keys for k in x], pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], ["key", "node"])
-
-    dealt = map_batches(prints.select("node", "print"), cut, "key long, node long").repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("top")).where("head != top").select("key", "head")
-    bands = written(dealt.join(shared, "key"))
-    tried = _compared(bands.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), prints.join(bands.select("node").distinct(), "node", "left_semi"))
-    near = F.col("differ") <= F.col("size") * unlike
-    links = tried.where(near).select("a", "b")
-    told = bands.join(tried.select(F.col("a").alias("head"), F.col("b").alias("node"), "differ", "size"), ["head", "node"], "left").withColumns({"differ": F.coalesce("differ", F.lit(0)), "size": F.coalesce("size", F.lit(0))})  # the head itself is at no distance
-    lists = told.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = lists.groupBy("key", "component").agg(F.count("*").alias("texts"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("texts", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    lists = written(lists.join(main, "key").select("key", "node", "differ", "size", "component", "main"))
-    strays = lists.where("component != main").select("key", F.col("node").alias("stray"), F.col("differ").alias("stray_differ"), F.col("size").alias("stray_size"), F.col("component").alias("stray_component"))
-    apart = F.abs(F.col("differ") - F.col("stray_differ")) <= F.greatest("size", "stray_size") * unlike
-    both = strays.join(lists, "key").where((F.col("component") != F.col("stray_component")) & ((F.col("component") == F.col("main")) | (F.col("stray") < F.col("node"))) & apart)
-    left = written(both.select(F.least("stray", "node").alias("a"), F.greatest("stray", "node").alias("b")).distinct())
-    return links if left.isEmpty() else links.unionByName(_compared(left, prints).where(near).select("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array([k for x in keys for k in x], pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.fromiter(map(len, own), np.int64, len(own))[rows])], ["key", "node", "n"])
+
+    dealt = map_batches(prints.select("node", "print"), cut, "key long, node long, n long").repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.max("n").alias("most")).where("pivot != top and most > 0").select("key", "pivot")
+    rows, links, joined = written(dealt.join(shared, "key")), None, None
+    prints = written(prints.join(rows.select("node").distinct(), "node", "left_semi"))
+    for turn in range(PIVOTS):
+        told = _compared(rows.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), prints)
+        found = told.where(F.col("differ") <= F.col("size") * unlike).select("a", "b")
+        links = found if links is None else links.unionByName(found)
+        joined = components(links)
+        rows = rows.join(told.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("differ").alias(f"d{turn}")), ["pivot", "node"], "left").fillna(0, [f"d{turn}"])  # the pivot is at no distance
+        rows = rows.drop("component", "main", "pivot").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = rows.groupBy("key", "component").agg(F.count("*").alias("texts"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("texts", "component", "pivot")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+        rows = written(rows.join(main.select("key", F.col("m.component").alias("main"), F.col("m.pivot").alias("pivot")), "key"))
+        if rows.isEmpty():
+            return links
+    marks = [f"d{turn}" for turn in range(PIVOTS)]
+    strays = rows.where("component != main").select("key", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "component", *marks)))
+    both = (F.col("component") != F.col("_component")) & ((F.col("component") == F.col("main")) | (F.col("_node") < F.col("node")))
+    for mark in marks:
+        both &= F.abs(F.col(mark) - F.col(f"_{mark}")) <= F.greatest("n", "_n") * unlike
+    left = strays.join(rows, "key").where(both).select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b"))
+    left = written(left.distinct())
+    return links if left.isEmpty() else links.unionByName(_compared(left, prints).where(F.col("differ") <= F.col("size") * unlike).select("a", "b"))
 
 
 def near_ids(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

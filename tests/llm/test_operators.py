@@ -280,7 +280,7 @@ def test_walk(rows):
             for symbol in steps[place : place + fingerprint.RUN]:
                 total = (total * 0x01000193 + symbol) % 2**32
             want.append(total * 2654435761 % 2**32 >> 24)
-        assert fingerprint.sketch([text])[0] == bytes(want)
+        assert fingerprint.sketch([text])[0] == bytes(want).rstrip(b"\0")
 
 
 def test_near_links(docs):
