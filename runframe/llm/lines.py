@@ -59,14 +59,14 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 
 def _before(bands) -> Column:
-    """Hashes of the segments before the segment i, where a found line's might be met with the same shift."""
+    """Hashes of the segments before the segment i, where a found line's might be met with the same shift; else null."""
     found = []
     for j in range(max(edits for _, edits in bands)):
         start, size = _segment(F.lit(j))
         low, high = F.greatest(F.lit(-j), F.col("d") - F.col("edits") + j), F.least(F.lit(j), F.col("d") + F.col("edits") - j)
         here = (F.col("i") > j) & F.col("shift").between(low, high)
         found.append(F.when(here, F.xxhash64("key", F.substring(F.col("rest"), start + F.col("shift") + 1, size), F.lit(j))))
-    return F.array_compact(F.array(*found))
+    return F.array(*found)
 
 
 def signatures(lines: DataFrame, bands=BANDS) -> DataFrame:
@@ -89,13 +89,19 @@ def signatures(lines: DataFrame, bands=BANDS) -> DataFrame:
     return rows.select(key.alias("key"), "id", F.col("_place").alias("place"))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """The rows of keys with a line that is found and another one, each once; (key, id, place) and what comes with them."""
+def _met(rows: DataFrame, marks: int = 0) -> DataFrame:
+    """The rows of keys with a line that is found and another one, each once; (key, id, place) and what comes with them.
+
+    Keys all of whose rows share one of the ``marks`` hashes of ``before`` go too: their pairs are all left to that segment.
+    """
     dealt = rows.repartition("key")
     # Every column is read here too, so that both sides of the join are the same shuffle.
     more = [c for c in dealt.columns if c not in ("key", "id", "place")]
-    seen = dealt.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_top"), F.max(F.col("place") % 2).alias("_own"), *(F.max(c).alias(f"_{c}") for c in more))
-    shared = seen.where(" and ".join(["_low != _top and _own = 1", *(f"_{c} is not null" for c in more)])).select("key")
+    told = F.lit(False)
+    for one in (F.get("before", F.lit(i)) for i in range(marks)):
+        told |= F.coalesce((F.min(one) == F.max(one)) & (F.count(one) == F.count("*")), F.lit(False))
+    seen = dealt.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_top"), F.max(F.col("place") % 2).alias("_own"), told.alias("_told"), *(F.max(c).alias(f"_{c}") for c in more))
+    shared = seen.where(" and ".join(["_low != _top and _own = 1 and not _told", *(f"_{c} is not null" for c in more)])).select("key")
     return _placed(written(dealt.join(shared, "key").distinct()))
 
 
@@ -107,7 +113,7 @@ def _split_hot(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = written(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
     few = met.join(many, "key", "left_anti").select("key", "id", "d", "own", *(["before"] if "before" in met.columns else [F.array().cast("array<bigint>").alias("before")]))
     found = few.where("own").select("key", F.col("id").alias("a"), F.col("before").alias("before_a"))
-    meets = found.join(few, "key").where("a != id and (d > 0 or not own or a < id) and not arrays_overlap(before, before_a)")
+    meets = found.join(few, "key").where("a != id and (d > 0 or not own or a < id) and not coalesce(arrays_overlap(before, before_a), false)")
     return meets.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), met.join(many, "key")
 
 
@@ -209,9 +215,11 @@ def near_lines(lines: DataFrame, bands=BANDS) -> DataFrame:
     texts = written(own.join(wanted, "id").groupBy("id").agg(F.first("line").alias("line")).withColumn("code", coded(F.col("line"))))
     hot = written(_cut(hot.join(texts.select("id", F.col("line").alias("rest")), "id")).select("key", "id", "edits", "d", "own", _before(bands).alias("before"), _rest().alias("rest")))
     short = F.length("rest") - F.col("d") <= F.col("edits")
+    marks = most = max(edits for _, edits in bands)
     while not hot.isEmpty():
         found.append(written(_last_pairs(hot.where(short))))
-        met = _met(_narrowed(hot.where(~short), bands))
+        marks += most
+        met = _met(_narrowed(hot.where(~short), bands), marks)
         pairs, hot = _split_hot(met)
         found.append(written(pairs))
         hot = written(hot)
