@@ -93,6 +93,7 @@ def _met(rows: DataFrame, marks: int = 0) -> DataFrame:
     """The rows of keys with a line that is found and another one, each once; (key, id, place) and what comes with them.
 
     Keys all of whose rows share one of the ``marks`` hashes of ``before`` go too: their pairs are all left to that segment.
+    With marks, where no row comes twice, n counts the rows of the key.
     """
     dealt = rows.repartition("key")
     # Every column is read here too, so that both sides of the join are the same shuffle.
@@ -100,8 +101,8 @@ def _met(rows: DataFrame, marks: int = 0) -> DataFrame:
     told = F.lit(False)
     for one in (F.get("before", F.lit(i)) for i in range(marks)):
         told |= F.coalesce((F.min(one) == F.max(one)) & (F.count(one) == F.count("*")), F.lit(False))
-    seen = dealt.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_top"), F.max(F.col("place") % 2).alias("_own"), told.alias("_told"), *(F.max(c).alias(f"_{c}") for c in more))
-    shared = seen.where(" and ".join(["_low != _top and _own = 1 and not _told", *(f"_{c} is not null" for c in more)])).select("key")
+    seen = dealt.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_top"), F.max(F.col("place") % 2).alias("_own"), told.alias("_told"), F.count("*").alias("n"), *(F.max(c).alias(f"_{c}") for c in more))
+    shared = seen.where(" and ".join(["_low != _top and _own = 1 and not _told", *(f"_{c} is not null" for c in more)])).select("key", *(["n"] if marks else []))
     return _placed(written(dealt.join(shared, "key").distinct()))
 
 
@@ -110,11 +111,12 @@ def _split_hot(met: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A pair that shares an earlier segment too is left to that segment's key.
     """
-    many = written(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
-    few = met.join(many, "key", "left_anti").select("key", "id", "d", "own", *(["before"] if "before" in met.columns else [F.array().cast("array<bigint>").alias("before")]))
+    if "n" not in met.columns:
+        met = written(met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key"))
+    few = met.where(F.col("n") <= HOT).select("key", "id", "d", "own", *(["before"] if "before" in met.columns else [F.array().cast("array<bigint>").alias("before")]))
     found = few.where("own").select("key", F.col("id").alias("a"), F.col("before").alias("before_a"))
     meets = found.join(few, "key").where("a != id and (d > 0 or not own or a < id) and not coalesce(arrays_overlap(before, before_a), false)")
-    return meets.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), met.join(many, "key")
+    return meets.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), met.where(F.col("n") > HOT)
 
 
 def _narrowed(hot: DataFrame, bands) -> DataFrame:
