@@ -11,7 +11,8 @@ from .components import components
 #: (least characters, edits): how many edits near lines are apart at most, by the length of the shorter one.
 BANDS = ((24, 1), (400, 2))
 #: Rows of a segment that are compared pair by pair; larger groups are split by further segments of what the segment leaves.
-HOT = 16
+#: A row that is split makes some 40 rows in all rounds, and one of a group of n rows (n - 1) / 2 pairs: they cost the same near here.
+HOT = 64
 #: Characters in front of a coded line (as many as edits at most), and characters of a block that is compared at once.
 PAD, STEP = 8, 32
 #: So many ids of lines to be verified are broadcast at most; more are joined by a shuffle.
