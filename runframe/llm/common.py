@@ -42,11 +42,17 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], names: dict[str, pa.DataType], make) -> Iterator[pa.RecordBatch]:
-    """Apply ``make(batch) -> dict of columns`` to each batch and give the result its Arrow types."""
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows``, but for the last one."""
+    held, size = [], 0
     for batch in batches:
-        out = make(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], type=t) for k, t in names.items()], names=list(names))
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
 
 
 def quoted(df: DataFrame) -> list[Column]:

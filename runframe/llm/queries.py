@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, langid, lines, media, mixing, packing, sharding, tokencount, toxicity
+from . import chat, fingerprint, jaccard, langid, lines, media, mixing, packing, phrases, sharding, spelling, tokencount, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_chat": chat.op12_chat,
+    "op13_spelling": spelling.op13_spelling,
 }
 
-ORACLE_SQL = {"op5_ngram_jaccard": jaccard.SQL, "op8_line_dedup": lines.SQL}
+ORACLE_SQL = {"op5_ngram_jaccard": jaccard.SQL, "op8_line_dedup": lines.SQL, "op11_phrases": phrases.SQL, "op12_chat": chat.SQL}
