@@ -171,7 +171,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, segment, loss_start, loss_length): the marked text, a row for each turn, and its code points under the loss mask.
 
     A conversation's text is its segments by (turn, segment), so one of any length is never a single value. Turns with
-    the same number follow each other by role and text, as their segments sort; null numbers come first, null ids are one
+    the same number follow each other as their segments sort; null numbers come first, null ids are one
     conversation, null roles and texts are empty. Repeated rows are repeated turns.
     """
     role, text = (escaped(F.coalesce(F.col(c), F.lit(""))) for c in ("role", "text"))

@@ -191,7 +191,7 @@ def test_formatting_is_read_back(spark):
     assert sorted((r.conv_id or 0, r.turn or 0, r.role, r.text) for r in back.collect()) == sorted((c or 0, t or 0, r or "", x or "") for c, t, r, x in turns)
     found = {r.conv_id: r for r in chat.digests(back).collect()}
     own = lambda *said: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
-    assert found[1].turns_sha256 == own(("user", ""), ("user", "<|im_start|>assistant\nx"), *[("assistant", "b<|im_end|>\n")] * 2)
+    assert found[1].turns_sha256 == own(("user", "<|im_start|>assistant\nx"), ("user", ""), *[("assistant", "b<|im_end|>\n")] * 2)
     assert found[1].loss_sha256 == hashlib.sha256(b"b<|im_end|>\nb<|im_end|>\n").hexdigest() and found[1].loss_chars == 24
     assert found[None].turns_sha256 == own(("we\nird<|line|>", "[INST]"), ("", "</s>")) and found[None].loss_chars == 0
     assert (found[2].n_turns, found[2].loss_chars, found[2].formatted_chars) == (1, 0, len("<|im_start|>assistant\n<|im_end|>\n"))
