@@ -17,8 +17,10 @@ from .common import map_batches, table, written
 LEAST, DEPTH, TOP = 30, 4, 2000
 #: A candidate goes if a longer one that contains it has this share of its occurrences, in percent.
 COVERED = 80
-#: Hash buckets of word pairs (a power of two) and buckets of one row of their table: a byte for each is broadcast, 16 MB.
+#: Hash buckets of word pairs, and as many of triples (a power of two), and buckets of one row of their tables: a byte for each is broadcast, 32 MB.
 PAIR_BITS, BLOCK_BITS = 24, 12
+#: Routes are dealt by so many bits: the suffixes of one chunk and one of these parts travel as one row.
+ROUTE_BITS = 14
 #: Bytes of text that are split at once, and rows that are sorted at once.
 CHUNK, RUN = 16 << 20, 1 << 20
 #: Occurrences of a leading pair above which its suffixes are dealt to several tasks, as a power of two.
@@ -51,8 +53,25 @@ class _Words:
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """For each word but the last: whether the next is of the same piece, and a hash of both."""
         own = self.hashes[self.codes]
-        mixed = (own[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ own[1:]
-        return self.piece[:-1] == self.piece[1:], (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return self.piece[:-1] == self.piece[1:], _mixed(own[:-1], own[1:])
+
+    def frequent_pairs(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word but the last: the bits of its pair's count (0 at a piece's end too), and the pair's hash."""
+        same, mixed = self.pairs()
+        return np.where(same, sizes[_bucket(mixed)], 0) if len(same) else np.zeros(0, np.uint8), mixed
+
+    def triples(self, mixed: np.ndarray) -> np.ndarray:
+        """For each word but the last two: a hash of it and the next two."""
+        return _mixed(mixed[:-1], self.hashes[self.codes[2:]])
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _bucket(mixed: np.ndarray) -> np.ndarray:
+    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
@@ -74,20 +93,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
         yield _Words(lang, b"\n".join(texts))
 
 
+def _blocks(bucket: np.ndarray) -> list[pa.Array]:
+    """(block, places, counts) of bucket numbers: how often each occurs, sparse in blocks of buckets."""
+    bucket, n = np.unique(bucket.astype(np.uint32), return_counts=True)
+    block, first = np.unique(bucket >> np.uint32(BLOCK_BITS), return_index=True)
+    cuts = np.append(first, len(bucket))
+    at, n = (bucket & np.uint32((1 << BLOCK_BITS) - 1)).astype("<u2"), n.astype("<u4")
+    packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (at, n)]
+    return [pa.array(block.astype(np.int32)), *packed]
+
+
 def _count_words(batches):
-    """Of each chunk: words with their counts, and the counts of pair buckets, sparse in blocks of buckets."""
+    """Of each chunk: words with their counts, and the counts of pair buckets."""
     for words in _chunks(batches):
         n = np.bincount(words.codes, minlength=len(words.names))
         yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(n), pa.string()), words.names.cast(pa.string()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], _COUNTED)
         same, mixed = words.pairs()
-        bucket, n = np.unique((mixed[same] >> np.uint64(64 - PAIR_BITS)).astype(np.uint32), return_counts=True)
-        block, first = np.unique(bucket >> np.uint32(BLOCK_BITS), return_index=True)
-        cuts = np.append(first, len(bucket))
-        at, n = (bucket & np.uint32((1 << BLOCK_BITS) - 1)).astype("<u2"), n.astype("<u4")
-        places = [at[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        counts = [n[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        none = len(block)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.string()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64()), pa.array(block.astype(np.int32)), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], _COUNTED)
+        found = _blocks(_bucket(mixed[same]))
+        none = len(found[0])
+        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.string()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64()), *found], _COUNTED)
 
 
 _COUNTED = ["lang", "phrase", "n", "block", "places", "counts"]
@@ -112,8 +136,8 @@ def _sizes(batches):
         yield made()
 
 
-def pair_sizes(counted: DataFrame) -> np.ndarray:
-    """The bits of each pair bucket's count (0: fewer than LEAST): 2**PAIR_BITS bytes, whatever the input's size."""
+def bucket_sizes(counted: DataFrame) -> np.ndarray:
+    """The bits of each bucket's count (0: fewer than LEAST): 2**PAIR_BITS bytes, whatever the input's size."""
     rows = counted.where("block is not null").select("block", "places", "counts").repartition("block").sortWithinPartitions("block")
     found = map_batches(rows, _sizes, "block int, bits binary").toArrow()
     table_ = np.zeros((1 << (PAIR_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
@@ -122,20 +146,22 @@ def pair_sizes(counted: DataFrame) -> np.ndarray:
     return table_.ravel()
 
 
-def _suffixes(words: _Words, sizes: np.ndarray):
-    """(route, split, phrase, n) of the chunk's distinct suffixes: at most DEPTH words, cut before a pair that is too rare.
+def _suffixes(words: _Words, pairs: np.ndarray, triples: np.ndarray):
+    """(route, split, phrase, n) of the chunk's distinct suffixes: at most DEPTH words, cut before a pair or triple that is too rare.
 
     A route is a leading pair; that of a hot pair also holds a part of the words that follow (split).
     """
-    same, mixed = words.pairs()
-    bits = np.where(same, sizes[(mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)], 0) if len(same) else np.zeros(0, np.uint8)
+    bits, mixed = words.frequent_pairs(pairs)
     good = np.append(bits > 0, np.zeros(DEPTH, bool))
     at = np.flatnonzero(good)
     if not len(at):
         return None
+    longer = np.zeros(len(good), bool)
+    if len(mixed) > 1:
+        longer[: len(mixed) - 1] = good[: len(mixed) - 1] & good[1 : len(mixed)] & (triples[_bucket(words.triples(mixed))] > 0)
     length = np.full(len(at), 2)
     for k in range(1, DEPTH - 1):
-        length += (length == k + 1) & good[at + k]
+        length += (length == k + 1) & longer[at + k - 1]
     codes = np.append(words.codes.astype(np.int64), np.zeros(DEPTH, np.int64))
     many = np.int64(len(words.names) + 1)
     key = codes[at] * many + codes[at + 1]
@@ -182,50 +208,63 @@ def frequent_prefixes(words: np.ndarray, weights: np.ndarray, least: int) -> lis
     return found
 
 
+def _routed(words: _Words, found) -> pa.RecordBatch:
+    """One row (lang, part, split, phrases, counts) for each part of the routes that the chunk's suffixes take."""
+    route, split, phrase, n = found
+    part = (route.view(np.uint64) >> np.uint64(64 - ROUTE_BITS)).astype(np.int64) * 2 + split
+    order = np.argsort(part, kind="stable")
+    part, first = np.unique(part[order], return_index=True)
+    offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order))) for x in (phrase.cast(pa.string()), pa.array(n, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array([words.lang] * len(part), pa.string()), pa.array(part >> 1), pa.array((part & 1).astype(bool)), *lists], _ROUTED)
+
+
+_ROUTED = ["lang", "part", "split", "phrases", "counts"]
+
+
+def _counted(rows: list[pa.RecordBatch], loose: bool) -> pa.RecordBatch:
+    """(lang, phrase, n) of the prefixes of rows' suffixes; of split and ``loose`` ones all, which are parts of a sum, of others those of LEAST or more."""
+    whole = pa.concat_batches(rows)
+    size = pc.list_value_length(whole.column("phrases")).to_numpy()
+    langs = whole.column("lang").dictionary_encode()
+    code = np.repeat(langs.indices.to_numpy(zero_copy_only=False), size)
+    split = np.repeat(whole.column("split").to_numpy(zero_copy_only=False), size) | loose
+    weights = pc.list_flatten(whole.column("counts")).to_numpy()
+    parts = pc.split_pattern(pc.list_flatten(whole.column("phrases")), " ")
+    flat = pc.list_flatten(parts).dictionary_encode()
+    size = pc.list_value_length(parts).to_numpy()
+    words = np.full((len(parts), DEPTH), -1, np.int32)
+    words[np.repeat(np.arange(len(parts)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat.indices.to_numpy(zero_copy_only=False)
+    names = flat.dictionary.to_pylist()
+    out: tuple[list, list, list] = [], [], []
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        for some, least in ((split, 1), (~split, LEAST)):
+            own = np.flatnonzero(some & (code == k))
+            for at, depth, n in frequent_prefixes(words[own], weights[own], least) if len(own) else ():
+                for column, x in zip(out, (lang, " ".join(names[w] for w in words[own[at], :depth]), n), strict=True):
+                    column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["lang", "phrase", "n"])
+
+
 def _sorted_counts(batches):
-    """(lang, phrase, n) from suffixes that come by route. Routes that are whole in a run give phrases of LEAST or more; parts give all they have."""
-    held: list[pa.RecordBatch] = []
-
-    def counted(rows: pa.Table):
-        lang, route = rows.column("lang").combine_chunks(), rows.column("route").to_numpy()
-        split = rows.column("split").to_numpy(zero_copy_only=False) | np.isin(route, loose)
-        weights = rows.column("n").to_numpy()
-        parts = pc.split_pattern(rows.column("phrase").combine_chunks(), " ")
-        flat = pc.list_flatten(parts).dictionary_encode()
-        sizes = pc.list_value_length(parts).to_numpy()
-        words = np.full((len(rows), DEPTH), -1, np.int32)
-        row = np.repeat(np.arange(len(rows)), sizes)
-        words[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat.indices.to_numpy(zero_copy_only=False)
-        langs = lang.dictionary_encode()
-        code, names = langs.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-        out = [], [], []
-        for k, name in enumerate(langs.dictionary.to_pylist()):
-            for part, least in ((split, 1), (~split, LEAST)):
-                own = np.flatnonzero(part & (code == k))
-                for at, depth, n in frequent_prefixes(words[own], weights[own], least) if len(own) else ():
-                    out[0].append(name)
-                    out[1].append(" ".join(names[w] for w in words[own[at], :depth]))
-                    out[2].append(n)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["lang", "phrase", "n"])
-
-    loose: list[int] = []  # routes that run over the end of a run
-    rows = 0
+    """(lang, phrase, n) from routed suffixes that come by part, about RUN at a time; a part of more than RUN is counted in parts of a sum."""
+    held, size, loose, now = [], 0, False, None
     for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= RUN:
-            whole = pa.Table.from_batches(held)
-            route = whole.column("route").to_numpy()
-            last = int(np.searchsorted(route, route[-1]))
-            if last == 0:  # one route fills the run: its counts are parts of a sum
-                loose.append(int(route[-1]))
-                last = len(route)
-            yield counted(whole.slice(0, last))
-            held = whole.slice(last).to_batches() if last < len(route) else []
-            rows = len(route) - last
-            loose = [r for r in loose if r == route[-1]]
-    if rows:
-        yield counted(pa.Table.from_batches(held))
+        for k, (part, n) in enumerate(zip(batch.column("part").to_pylist(), pc.list_value_length(batch.column("phrases")).to_pylist(), strict=True)):
+            if part != now:
+                if loose or size >= RUN:
+                    yield _counted(held, loose)
+                    held, size = [], 0
+                loose, now, own = False, part, len(held)
+            held.append(batch.slice(k, 1))
+            size += n
+            if size >= 2 * RUN:  # this part alone is large: what came before it is whole
+                if own:
+                    yield _counted(held[:own], False)
+                yield _counted(held[own:], True)
+                held, size, loose, own = [], 0, True, 0
+    if held:
+        yield _counted(held, loose)
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang: Column | str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -238,17 +277,23 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang: Column | str =
     texts = docs.select(F.coalesce(lang.cast("string"), F.lit(UND)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counted = written(map_batches(texts, _count_words, "lang string, phrase string, n long, block int, places binary, counts binary"))
     single = written(counted.where("block is null").groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
-    shared = docs.sparkSession.sparkContext.broadcast(pair_sizes(counted))
+    send = docs.sparkSession.sparkContext.broadcast
+    pairs = send(bucket_sizes(counted))
+
+    def count_triples(batches):
+        for words in _chunks(batches):
+            bits, mixed = words.frequent_pairs(pairs.value)
+            if len(mixed) > 1:
+                yield pa.RecordBatch.from_arrays(_blocks(_bucket(words.triples(mixed)[(bits[:-1] > 0) & (bits[1:] > 0)])), _COUNTED[3:])
+
+    triples = send(bucket_sizes(map_batches(texts, count_triples, "block int, places binary, counts binary")))
 
     def cut(batches):
         for words in _chunks(batches):
-            if (found := _suffixes(words, shared.value)) is not None:
-                route, split, phrase, n = found
-                for a in range(0, len(n), 1 << 16):
-                    b = min(a + (1 << 16), len(n))
-                    yield pa.RecordBatch.from_arrays([pa.array([words.lang] * (b - a), pa.string()), pa.array(route[a:b]), pa.array(split[a:b]), phrase.slice(a, b - a).cast(pa.string()), pa.array(n[a:b], pa.int64())], ["lang", "route", "split", "phrase", "n"])
+            if (found := _suffixes(words, pairs.value, triples.value)) is not None:
+                yield _routed(words, found)
 
-    routed = map_batches(texts, cut, "lang string, route long, split boolean, phrase string, n long").repartition("route").sortWithinPartitions("route")
+    routed = map_batches(texts, cut, "lang string, part long, split boolean, phrases array<string>, counts array<long>").repartition("part").sortWithinPartitions("part")
     longer = map_batches(routed, _sorted_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return single.groupBy("lang").agg(F.sum("n").alias("n")), single.unionByName(longer).where(F.col("n") >= LEAST)
 

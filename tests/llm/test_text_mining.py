@@ -107,28 +107,34 @@ def test_routes_over_several_runs(monkeypatch):
     text = " ".join(rnd.choice("aaab") + rnd.choice("cd") for _ in range(4000)).encode()
     words = phrases._Words("en", text)
     sizes = np.full(1 << phrases.PAIR_BITS, 7, np.uint8)
-    route, split, phrase, n = phrases._suffixes(words, sizes)
+    found = phrases._suffixes(words, sizes, sizes)
+    route, split, phrase, n = found
     assert split.all() and len(set(route)) > 16
-    order = np.argsort(route, kind="stable")
-    rows = pa.table({"lang": ["en"] * len(n), "route": route[order], "split": split[order], "phrase": phrase.take(pa.array(order)).cast(pa.string()), "n": n[order]})
+    own = text.decode().split()
+    wanted = Counter(" ".join(own[i : i + k]) for k in (2, 3, 4) for i in range(len(own) - k + 1))
     for flags in (split, ~split):
+        monkeypatch.setattr(phrases, "LEAST", 1 if flags.all() else 30)
+        rows = phrases._routed(words, (route, flags, phrase, n))
+        rows = pa.Table.from_batches([rows]).to_batches(max_chunksize=3)
         sums = Counter()
-        if flags.any():
-            rows = rows.set_column(2, "split", pa.array(flags[order]))
-            for batch in phrases._sorted_counts(rows.to_batches(max_chunksize=30)):
-                for p, k in zip(batch.column("phrase").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                    sums[p] += k
-            own = text.decode().split()
-            wanted = Counter(" ".join(own[i : i + k]) for k in (2, 3, 4) for i in range(len(own) - k + 1))
+        for batch in phrases._sorted_counts(rows):
+            for p, k in zip(batch.column("phrase").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                sums[p] += k
+        if flags.all():
             assert sums == wanted
-    whole = _Rows("a b", 40, 1), _Rows("a b", 25, 2), _Rows("c d", 29, 3)
-    batches = [pa.record_batch({"lang": ["en"], "route": [r.route], "split": [False], "phrase": [r.phrase], "n": [r.n]}) for r in whole]
-    assert [b.to_pydict() for b in phrases._sorted_counts(batches)] == [{"lang": ["en"], "phrase": ["a b"], "n": [65]}]
-
-
-class _Rows:
-    def __init__(self, phrase, n, route):
-        self.phrase, self.n, self.route = phrase, n, route
+        else:  # parts of hot routes that are taken for whole ones lose rare phrases only
+            assert all(sums[p] <= wanted[p] for p in sums)
+
+
+def test_parts_larger_than_a_run(monkeypatch):
+    monkeypatch.setattr(phrases, "RUN", 4)
+    rows = [("en", 1, "a b", 9), ("en", 1, "a b c", 21), *[("fr", 2, "c d", 1)] * 40, ("en", 3, "x y", 29), ("fr", 3, "x y", 30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part]), pa.array([False]), pa.array([[p]]), pa.array([[n]])], phrases._ROUTED) for lang, part, p, n in rows]
+    sums = Counter()
+    for batch in phrases._sorted_counts(batches):
+        for lang, p, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase", "n")), strict=True):
+            sums[lang, p] += n
+    assert sums == {("en", "a b"): 30, ("fr", "c d"): 40, ("fr", "x y"): 30}
 
 
 # --- chat
