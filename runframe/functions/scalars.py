@@ -15,7 +15,7 @@ def bit_width(value: Column) -> Column:
     return F.length(F.bin(value)).cast("long")
 
 
-def ceil_div(a: Column, b: Column) -> Column:
+def div_up(a: Column, b: Column) -> Column:
     """a / b rounded up, for non-negative a and positive b."""
     return F.call_function("div", a.cast("long"), b.cast("long")) + (a % b > 0).cast("long")
 
@@ -25,7 +25,7 @@ def pow2(bits: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
 
 
-def max_val(bits: Column) -> Column:
+def all_ones(bits: Column) -> Column:
     """Largest number of so many bits, 64 at most: those of 64 are all ones, as a signed number -1."""
     ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - bits).cast("int"))
     return F.when(bits > 0, ones).otherwise(F.lit(0).cast("long"))
@@ -33,7 +33,7 @@ def max_val(bits: Column) -> Column:
 
 def mask(bits: Column, shift: Column) -> Column:
     """``bits`` ones above ``shift`` zeros."""
-    return F.call_function("shiftleft", max_val(bits), shift.cast("int"))
+    return F.call_function("shiftleft", all_ones(bits), shift.cast("int"))
 
 
 def bytes_to_bits(n: Column) -> Column:
@@ -41,7 +41,7 @@ def bytes_to_bits(n: Column) -> Column:
 
 
 def bits_to_bytes(n: Column) -> Column:
-    return ceil_div(n, F.lit(8))
+    return div_up(n, F.lit(8))
 
 
 def complement(symbol: Column) -> Column:

@@ -24,7 +24,7 @@ class SplitParams:
     balancing: int | None = 16
 
 
-NO_SPLITTING = SplitParams(None, None)
-DEFAULT_SPLITTING = SplitParams()
-ONLY_LENGTH_CAPPING = SplitParams(8.0, None)
-ONLY_BALANCING = SplitParams(None, 16)
+UNSPLIT = SplitParams(None, None)
+USUAL = SplitParams()
+CAPPED = SplitParams(8.0, None)
+BALANCED = SplitParams(None, 16)

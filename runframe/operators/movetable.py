@@ -6,26 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bit_width, bits_to_bytes
-from ..model import DEFAULT_SPLITTING, KEY, NO_SPLITTING, SplitParams
-from .runs import encode
-from .scan import last_known
-from .split import Payload, apply_splitting
+from ..model import USUAL, KEY, UNSPLIT, SplitParams
+from ..scratch import written
+from .runs import encode, lengths_to_starts
+from .scan import as_of
+from .split import Payload, split_runs
 
 BASE = ("interval", "start", "length", "image", "image_rank", "pointer", "off")
 
 
-def as_of(points: DataFrame, at: str, intervals: DataFrame, interval: str = "_interval", start: str = "_start") -> DataFrame:
-    """``points`` with the interval that covers ``at`` and its start: one ordered scan over both tables."""
-    carried = F.struct(*points.columns)
-    marks = intervals.select(KEY, F.col("start").alias("_v"), F.lit(0).alias("_kind"), F.struct("interval", "start").alias("_mark"), F.lit(None).cast(points.schema).alias("_row"))
-    asked = points.select(KEY, F.col(at).alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<interval:bigint,start:bigint>").alias("_mark"), carried.alias("_row"))
-    found = last_known(marks.unionByName(asked), [KEY], "_v", "_kind", "_mark", "_found").where("_kind = 1")
-    return found.select("_row.*", F.col("_found.interval").alias(interval), F.col("_found.start").alias(start))
-
-
 def with_pointers(runs: DataFrame) -> DataFrame:
     """``runs`` with pointer and off: the interval in which each image lies, and how far into it."""
-    found = as_of(runs, "image", runs.select(KEY, "interval", "start"))
+    found = as_of(runs, "image", runs, {"interval": "_interval", "start": "_start"})
     return found.withColumns({"pointer": F.col("_interval"), "off": F.col("image") - F.col("_start")}).drop("_interval", "_start")
 
 
@@ -36,8 +28,8 @@ def move_table(runs: DataFrame, params: SplitParams | None = None, domain: DataF
     """
     runs = encode(runs, domain, ranks=False)
     extra = [c for c in runs.columns if c not in (KEY, *BASE)]
-    params = params or (NO_SPLITTING if extra else DEFAULT_SPLITTING)
-    return with_pointers(apply_splitting(runs, params, payload))
+    params = params or (UNSPLIT if extra else USUAL)
+    return with_pointers(written(split_runs(runs, params, payload)))
 
 
 def attach_payload(move: DataFrame, payload: DataFrame) -> DataFrame:
@@ -53,14 +45,14 @@ def widths(move: DataFrame) -> DataFrame:
 
     A symbol has as many bits as the largest code of those that occur.
     """
-    extra = [c for c in move.columns if c not in (KEY, *BASE) and dict(move.dtypes)[c] in ("bigint", "int")]
+    extra = [c for c in move.columns if c not in (KEY, "code", *BASE) and dict(move.dtypes)[c] in ("bigint", "int")]
     top = {"w_length": F.max("length"), "w_start": F.sum("length") - 1, "w_pointer": F.max("interval"), "w_off": F.max("length")}
     if "ch" in move.columns:
         top["w_ch"] = F.count_distinct("ch") - 1
     return move.groupBy(KEY).agg(*(bit_width(v.cast("long")).alias(k) for k, v in top.items()), *(bit_width(F.max(c).cast("long")).alias(f"w_{c}") for c in extra))
 
 
-def bits_needed(move: DataFrame, absolute: bool = False) -> DataFrame:
+def table_bits(move: DataFrame, absolute: bool = False) -> DataFrame:
     """(seq_id, bits, bytes) of the packed table."""
     sized = widths(move).join(move.groupBy(KEY).agg(F.count("*").alias("rows")), KEY)
     columns = [c for c in sized.columns if c.startswith("w_") and c != ("w_length" if absolute else "w_start")]
@@ -76,12 +68,30 @@ def stats(runs: DataFrame, move: DataFrame) -> DataFrame:
 
 
 def violations(move: DataFrame) -> DataFrame:
-    """Rows of a given table that break it: starts and images must tile the domain and pointers hit their images."""
-    again = with_pointers(encode(move.select(KEY, "interval", "length", "image"), ranks=False))
-    other = again.select(KEY, "interval", F.col("start").alias("_start"), F.col("pointer").alias("_pointer"), F.col("off").alias("_off"))
-    tiled = encode(encode(move.select(KEY, "interval", "length", "image")).select(KEY, "interval", "length", "image_rank"))
-    joined = move.join(other, [KEY, "interval"]).join(tiled.select(KEY, "interval", F.col("image").alias("_image")), [KEY, "interval"])
-    return joined.where("start != _start or image != _image or pointer != _pointer or off != _off").select(*move.columns)
+    """Rows of a given table that break it.
+
+    Interval ids must be 0 to r - 1, each once, lengths positive, starts and images tile the domain, and pointers hit their
+    images. Nulls in any of these columns, and in the key, break a row; other rows of a sequence with a broken row may be named too.
+    """
+    given = move.select(*(F.col(c).cast("long").alias(c) for c in (KEY, "interval", "start", "length", "image", "pointer", "off")))
+    keyed = given.withColumn("_row", F.xxhash64(*given.columns))
+    sizes = keyed.groupBy(F.col(KEY).alias("_k1")).agg(F.count("*").alias("_n"))
+    repeats = keyed.groupBy(F.col(KEY).alias("_k2"), F.col("interval").alias("_id")).agg(F.count("*").alias("_same"))
+    ids = keyed.join(sizes, F.col(KEY).eqNullSafe(F.col("_k1"))).join(repeats, F.col(KEY).eqNullSafe(F.col("_k2")) & F.col("interval").eqNullSafe(F.col("_id")))
+    bad_id = F.coalesce((F.col("_same") > 1) | (F.col("interval") < 0) | (F.col("interval") >= F.col("_n")) | (F.col("length") <= 0), F.lit(True)) | F.col(KEY).isNull()
+    sound = written(ids.withColumn("_bad", bad_id).drop("_k1", "_k2", "_id", "_n", "_same"))
+    usable = sound.where("not _bad").select(KEY, "interval", "length", "image")
+    placed = lengths_to_starts(usable, "_start").select(KEY, "interval", "length", F.col("_start").alias("start"), "image")
+    tiles = lengths_to_starts(usable.where("image is not null").select(KEY, F.col("image").alias("interval"), "length"), "_image").select(KEY, F.col("interval").alias("image"), "_image").distinct()
+    again = as_of(placed, "image", placed, {"interval": "_pointer", "start": "_from"}).join(tiles, [KEY, "image"], "left")
+    again = again.select(KEY, "interval", F.col("start").alias("_start"), "_image", "_pointer", (F.col("image") - F.col("_from")).alias("_off"))
+    joined = sound.join(again, [KEY, "interval"], "left")
+    same = F.lit(True)
+    for own, wanted in (("start", "_start"), ("image", "_image"), ("pointer", "_pointer"), ("off", "_off")):
+        same &= F.coalesce(F.col(own) == F.col(wanted), F.lit(False))
+    broken = joined.where(F.col("_bad") | ~same).select("_row").distinct()
+    own = move.withColumn("_row", F.xxhash64(*(F.col(c).cast("long") for c in given.columns)))
+    return own.join(broken, "_row").select(*move.columns)
 
 
 def checked(move: DataFrame) -> DataFrame:

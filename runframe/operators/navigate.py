@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..model import KEY
 from ..scratch import written
-from .movetable import as_of
-from .scan import neighbour
+from . import lookup, powers
+from .scan import as_of, neighbour
 
 
 def first(move: DataFrame) -> DataFrame:
@@ -23,10 +23,17 @@ def last(move: DataFrame) -> DataFrame:
     return ends.select(KEY, "e.interval", (F.col("e.length") - 1).alias("off"), (F.col("e.start") + F.col("e.length") - 1).alias("idx"))
 
 
-def locate(points: DataFrame, move: DataFrame, at: str = "idx") -> DataFrame:
-    """``points`` with interval and off of the index in ``at``."""
-    found = as_of(points.drop("interval", "off"), at, move.select(KEY, "interval", "start"))
-    return found.withColumns({"interval": F.col("_interval"), "off": F.col(at) - F.col("_start")}).drop("_interval", "_start")
+def locate(points: DataFrame, move: DataFrame, at: str = "idx", strategy: str | None = None) -> DataFrame:
+    """``points`` with interval and off of the index in ``at``.
+
+    ``strategy`` is "scan" (one ordered pass over points and intervals), "search" (a binary search in the starts, sent to all tasks)
+    or None: a search if the starts are few enough to be sent, by their count.
+    """
+    rest = points.drop("interval", "off")
+    if strategy == "search" or strategy is None and lookup.fits(move):
+        return lookup.searched(rest, move, at)
+    found = as_of(rest, at, move, {"interval": "interval", "start": "_start"})
+    return found.withColumn("off", F.col(at) - F.col("_start")).drop("_start")
 
 
 def with_idx(cursors: DataFrame, move: DataFrame) -> DataFrame:
@@ -35,24 +42,18 @@ def with_idx(cursors: DataFrame, move: DataFrame) -> DataFrame:
     return rest.join(move.select(KEY, "interval", "start"), [KEY, "interval"]).withColumn("idx", F.col("start") + F.col("off")).select(*rest.columns, "idx")
 
 
-def step(cursors: DataFrame, move: DataFrame) -> DataFrame:
-    """``cursors`` moved on by the permutation, with the new idx: a join for the image, a scan for where it lies."""
+def step(cursors: DataFrame, move: DataFrame, strategy: str | None = None) -> DataFrame:
+    """``cursors`` moved on by the permutation, with the new idx: a join for the image, then locate."""
     rest = cursors.drop("idx")
     there = rest.join(move.select(KEY, "interval", "image"), [KEY, "interval"]).withColumn("idx", F.col("image") + F.col("off")).drop("image")
-    return locate(there, move).select(*rest.columns, "idx")
+    return locate(there, move, strategy=strategy).select(*rest.columns, "idx")
 
 
 def step_k(cursors: DataFrame, move: DataFrame, k: int) -> DataFrame:
-    """``cursors`` moved on k times: the table is squared for each bit of k, on the expanded permutation."""
-    from .runs import compose, expand
-
-    out, square = with_idx(cursors, move), expand(move)
-    while k:
-        if k & 1:
-            out = out.join(square.select(KEY, F.col("i").alias("idx"), "pi"), [KEY, "idx"]).withColumn("idx", F.col("pi")).drop("pi")
-        k >>= 1
-        if k:
-            square = written(compose(square, square))
+    """``cursors`` moved on k times: they take a step by the table's power for each bit of k, and powers stay interval tables."""
+    out = with_idx(cursors, move)
+    for square in powers.squares(move, k):
+        out = powers.mapped(out, square)
     return locate(out, move).select(*cursors.drop("idx").columns, "idx")
 
 
@@ -75,7 +76,7 @@ def same_position(a: Column, b: Column) -> Column:
     return (a["interval"] == b["interval"]) & (a["off"] == b["off"])
 
 
-def _reached(perm: DataFrame, end: Column) -> tuple[list[DataFrame], DataFrame]:
+def _reached(perm: DataFrame, end: Column, weight: Column) -> tuple[list[DataFrame], DataFrame]:
     """Parts of (…, _next, dist) of the rows that reach the element whose next is ``end``, and the rows that do not.
 
     Each round doubles the reach of the open rows and writes them alone, so its lineage is one round. There are
@@ -83,7 +84,7 @@ def _reached(perm: DataFrame, end: Column) -> tuple[list[DataFrame], DataFrame]:
     """
     rounds = (perm.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0).bit_length()
     last_one = F.col("pi") == end
-    state = written(perm.withColumns({"_next": F.when(~last_one, F.col("pi")), "dist": F.when(last_one, F.lit(0)).otherwise(F.lit(1)).cast("long")}))
+    state = written(perm.withColumns({"_next": F.when(~last_one, F.col("pi")), "dist": F.when(last_one, weight - 1).otherwise(weight).cast("long")}))
     done, rest = [state.where("_next is null")], state.where("_next is not null")
     for _ in range(rounds):
         ahead = rest
@@ -98,12 +99,14 @@ def _reached(perm: DataFrame, end: Column) -> tuple[list[DataFrame], DataFrame]:
     return done, rest
 
 
-def distances(perm: DataFrame, end: Column | None = None, whole: bool = True) -> DataFrame:
+def distances(perm: DataFrame, end: Column | None = None, whole: bool = True, weight: Column | None = None) -> DataFrame:
     """(seq_id, i, dist): steps from i to the element whose next is ``end`` (0), by pointer doubling. Extra columns of ``perm`` stay.
 
+    With ``weight``, a step counts for as many, but for one in the last.
+
     Elements of other cycles never get there: a ValueError, or with ``whole`` false they are left out.
     """
-    done, rest = _reached(perm, F.lit(0) if end is None else end)
+    done, rest = _reached(perm, F.lit(0) if end is None else end, F.lit(1) if weight is None else weight)
     if whole and not rest.isEmpty():
         raise ValueError("the permutation has more than one cycle")
     found = done[0]

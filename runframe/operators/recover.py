@@ -9,7 +9,10 @@ from ..model import KEY, TERMINATOR
 from ..scratch import written
 from .navigate import distances
 from .rlbwt import fl, lf
-from .scan import dense_rank, neighbour
+from .scan import exclusive_sum, neighbour
+
+#: Symbols of a text that are exploded in one row, and of one row of a recovered text.
+PART, CHUNK = 1 << 16, 1 << 16
 
 
 def suffix_sort(texts: DataFrame) -> DataFrame:
@@ -21,55 +24,87 @@ def suffix_sort(texts: DataFrame) -> DataFrame:
     return rows.select(KEY, (place - 1).cast("long").alias("i"), before.alias("ch"), "sa")
 
 
+def symbols_of(texts: DataFrame, part: int = PART, after: int = 0) -> DataFrame:
+    """(seq_id, sa, ch, code) of (seq_id, text) with its end mark, and code1, code2, … of ``after`` symbols behind (0 beyond the end).
+
+    Texts are cut into parts before they are exploded, so that a long one is the work of many tasks. Null texts are empty.
+    """
+    marked = texts.select(KEY, F.concat(F.coalesce("text", F.lit("")), F.lit(TERMINATOR)).alias("text"))
+    parts = marked.withColumn("_part", F.explode(F.expr(f"sequence(0L, (length(text) - 1) div {part})")))
+    cut = parts.select(KEY, "_part", F.expr(f"substring(text, int(_part * {part} + 1), {part + after})").alias("_text")).repartition(KEY, "_part")
+    rows = cut.select(KEY, "_part", "_text", F.posexplode(F.split("_text", "")).alias("_at", "ch")).where(f"ch != '' and _at < {part}")
+    return rows.select(KEY, (F.col("_part") * part + F.col("_at")).alias("sa"), "ch", F.ascii("ch").cast("long").alias("code"), *(F.ascii(F.substring("_text", F.col("_at") + 1 + k, F.lit(1))).cast("long").alias(f"code{k}") for k in range(1, after + 1)))
+
+
 def suffix_array(texts: DataFrame) -> DataFrame:
-    """(seq_id, i, sa) of long texts by prefix doubling: ranks by 1, 2, 4, … symbols, until all differ.
+    """(seq_id, i, sa) of long texts by prefix doubling over the suffixes that are still open.
 
-    Ranks count smaller pairs, so each round is a sum over the pairs' counts, not a sort of suffixes;
-    rounds are written and as many as the bits of the longest repeated substring.
+    A rank is how many suffixes are smaller by the symbols seen so far: 3 at first, then twice as many each round. A suffix whose rank no
+    other has is done, and only keeps being looked up; open ones are told apart within their rank by the rank as many
+    symbols on, whose counts are summed in blocks, so no task gets a whole rank or text. Rounds are as many as
+    the bits of the longest repeated substring, and each is written.
     """
-    symbols = texts.select(KEY, F.posexplode(F.split(F.concat("text", F.lit(TERMINATOR)), "")).alias("at", "ch"))
-    state = symbols.where("ch != ''").select(KEY, F.col("at").cast("long").alias("sa"), F.struct(F.ascii("ch").alias("a"), F.lit(-1).cast("long").alias("b")).alias("pair"))
-    state = written(_ranked(state.withColumn("pair", F.struct(F.col("pair.a").cast("long").alias("a"), F.col("pair.b").alias("b")))))
-    reach = 1
-    while not state.groupBy(KEY, "rank").count().where("count > 1").isEmpty():
-        far = state.select(KEY, (F.col("sa") - reach).alias("sa"), F.col("rank").alias("_far"))
-        pairs = state.join(far, [KEY, "sa"], "left").withColumn("pair", F.struct(F.col("rank").alias("a"), F.coalesce("_far", F.lit(-1).cast("long")).alias("b")))
-        state = written(_ranked(pairs.select(KEY, "sa", "pair")))
-        reach *= 2
-    return state.select(KEY, F.col("rank").alias("i"), "sa")
-
-
-def _ranked(state: DataFrame) -> DataFrame:
-    """(seq_id, sa, rank): how many suffixes have a smaller pair."""
-    counts = state.groupBy(KEY, "pair").agg(F.count("*").alias("n"))
-    by_first = counts.groupBy(KEY, "pair.a").agg(F.sum("n").alias("n"))
-    smaller = F.coalesce(F.sum("n").over(Window.partitionBy(KEY).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = by_first.select(KEY, "a", smaller.alias("_base"))
-    own = F.coalesce(F.sum("n").over(Window.partitionBy(KEY, "pair.a").orderBy("pair.b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(KEY, "pair", F.col("pair.a").alias("a"), own.alias("_own")).join(base, [KEY, "a"]).select(KEY, "pair", (F.col("_base") + F.col("_own")).cast("long").alias("rank"))
-    return state.join(ranks, [KEY, "pair"]).select(KEY, "sa", "rank")
+    bits = 21  # of a code point
+    codes = symbols_of(texts, after=2)
+    packed = sum((F.col(c) * (1 << bits * k) for k, c in ((1, "code1"), (0, "code2"))), F.col("code") * (1 << 2 * bits))
+    first = codes.select(KEY, "sa", packed.alias("key"))
+    counts = written(first.groupBy(KEY, "key").agg(F.count("*").alias("n")))
+    ranks = exclusive_sum(counts, [KEY], "key", F.col("n"), "rank", block=1 << 2 * bits)
+    state = written(first.join(ranks, [KEY, "key"]).select(KEY, "sa", "rank", "n"))
+    done, open_, reach = [state.where("n = 1").select(KEY, "sa", "rank")], state.where("n > 1").select(KEY, "sa", "rank"), 3
+    while not open_.isEmpty():
+        known = open_
+        for part in done:
+            known = known.unionByName(part)
+        ahead = known.select(KEY, (F.col("sa") - reach).alias("sa"), F.col("rank").alias("_far"))
+        told = written(open_.join(ahead, [KEY, "sa"], "left").select(KEY, "sa", "rank", F.coalesce("_far", F.lit(-1).cast("long")).alias("_far")))
+        counts = told.groupBy(KEY, "rank", "_far").agg(F.count("*").alias("n"))
+        smaller = exclusive_sum(counts, [KEY, "rank"], "_far", F.col("n"), "_less", block=1 << 16)
+        moved = told.join(smaller, [KEY, "rank", "_far"]).select(KEY, "sa", (F.col("rank") + F.col("_less")).alias("rank"), "n")
+        state = written(moved)
+        done, open_, reach = [*done, state.where("n = 1").select(KEY, "sa", "rank")], state.where("n > 1").select(KEY, "sa", "rank"), 2 * reach
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(KEY, F.col("rank").alias("i"), "sa")
 
 
 def bwt_of(texts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """bwt(seq_id, i, ch) with sa, of (seq_id, i, sa): the symbol before each suffix."""
-    symbols = texts.select(KEY, F.posexplode(F.split(F.concat("text", F.lit(TERMINATOR)), "")).alias("at", "ch")).where("ch != ''")
-    before = neighbour(symbols.select(KEY, F.col("at").cast("long").alias("sa"), "ch"), [KEY], "sa", -1, {"ch": "_ch"}, wrap=True)
+    before = neighbour(symbols_of(texts).select(KEY, "sa", "ch"), [KEY], "sa", -1, {"ch": "_ch"}, wrap=True)
     return suffixes.join(before.select(KEY, "sa", F.col("_ch").alias("ch")), [KEY, "sa"]).select(KEY, "i", "ch", "sa")
 
 
-def _joined(rows: DataFrame) -> DataFrame:
-    """(seq_id, text) of (seq_id, at, ch): a text is its own group, as a string is one value."""
-    return rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("at", "ch"))).alias("s")).select(KEY, F.array_join(F.transform("s", lambda x: x["ch"]), "").alias("text"))
+def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(seq_id, part, text) of (seq_id, at, ch), at from 0: texts in numbered chunks of ``size`` symbols, so none is a single value."""
+    cut = rows.groupBy(KEY, F.floor(F.col("at") / size).alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "ch"))).alias("s"))
+    return cut.select(KEY, "part", F.array_join(F.transform("s", lambda x: x["ch"]), "").alias("text"))
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """(seq_id, text) of chunks: a text is its own group, as a string is one value."""
+    return parts.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("s")).select(KEY, F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"))
+
+
+def chunks_by_lf(bwt: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(seq_id, part, text) without the end mark, from the distances along LF; an empty text gives no row."""
+    return chunks(distances(lf(bwt)).where("dist > 0").select(KEY, (F.col("dist") - 1).alias("at"), "ch"), size)
+
+
+def chunks_by_fl(bwt: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(seq_id, part, text) without the end mark, from the distances along FL, which run the other way."""
+    sizes = bwt.groupBy(KEY).agg(F.count("*").alias("_n"))
+    return chunks(distances(fl(bwt)).where("i > 0").join(sizes, KEY).select(KEY, (F.col("_n") - 2 - F.col("dist")).alias("at"), "ch"), size)
 
 
 def text_by_lf(bwt: DataFrame) -> DataFrame:
-    """(seq_id, text) without the end mark, from the distances along LF; an empty text gives no row."""
-    return _joined(distances(lf(bwt)).where("dist > 0").select(KEY, F.col("dist").alias("at"), "ch"))
+    """(seq_id, text) of chunks_by_lf."""
+    return _joined(chunks_by_lf(bwt))
 
 
 def text_by_fl(bwt: DataFrame) -> DataFrame:
-    """(seq_id, text) without the end mark, from the distances along FL, which run the other way."""
-    return _joined(distances(fl(bwt)).where("i > 0").select(KEY, (-F.col("dist")).alias("at"), "ch"))
+    """(seq_id, text) of chunks_by_fl."""
+    return _joined(chunks_by_fl(bwt))
 
 
 def suffix_array_by_phi(phi: DataFrame) -> DataFrame:
@@ -84,8 +119,3 @@ def suffix_array_by_phi_inv(phi_inv: DataFrame) -> DataFrame:
     sizes = phi_inv.groupBy(KEY).agg(F.count("*").alias("_n"))
     rows = distances(phi_inv.join(sizes, KEY), F.col("_n") - 1)
     return rows.select(KEY, (F.col("_n") - 1 - F.col("dist")).alias("i"), F.col("i").alias("sa"))
-
-
-def numbered(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
-    """``df`` with dense numbers by a key column."""
-    return dense_rank(df, keys, order, out)

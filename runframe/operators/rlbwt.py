@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEY, SplitParams
+from ..functions.alphabets import alphabet
+from ..model import KEY, UNSPLIT, USUAL, SplitParams
 from .movetable import move_table
 from .runs import lengths_to_starts
-from .scan import exclusive_sum, neighbour
+from .scan import exclusive_sum, exclusive_sums, islands
 
 
 def run_length_encode(bwt: DataFrame) -> DataFrame:
     """rlbwt(seq_id, run, ch, length) of bwt(seq_id, i, ch)."""
-    before = neighbour(bwt.select(KEY, "i", "ch"), [KEY], "i", -1, {"ch": "_before"})
-    marked = before.withColumn("_break", (~F.col("ch").eqNullSafe(F.col("_before"))).cast("long"))
-    runs = exclusive_sum(marked, [KEY], "i", F.col("_break"), "_runs").withColumn("run", F.col("_runs") + F.col("_break") - 1)
-    return runs.groupBy(KEY, "run").agg(F.first("ch").alias("ch"), F.count("*").alias("length"))
+    new = F.col("_before").isNull() | ~F.col("ch").eqNullSafe(F.col("_before.ch"))
+    return islands(bwt.select(KEY, "i", "ch"), "i", ["ch"], new, "run", {"length": F.lit(1)}, {"ch": "ch"}).select(KEY, "run", "ch", "length")
 
 
 def expand_symbols(rlbwt: DataFrame) -> DataFrame:
@@ -34,8 +33,7 @@ def char_counts(rlbwt: DataFrame) -> DataFrame:
 
 def lf_runs(rlbwt: DataFrame) -> DataFrame:
     """Interval rows of LF: each run's start, image and image_rank, in the runs' own order."""
-    ranked = exclusive_sum(rlbwt, [KEY, "ch"], "run", F.col("length"), "head_rank")
-    ranked = exclusive_sum(ranked, [KEY, "ch"], "run", 1, "_place").join(char_counts(rlbwt).select(KEY, "ch", "before", "heads_before"), [KEY, "ch"])
+    ranked = exclusive_sums(rlbwt, [KEY, "ch"], "run", {"head_rank": F.col("length"), "_place": 1}).join(char_counts(rlbwt).select(KEY, "ch", "before", "heads_before"), [KEY, "ch"])
     rows = ranked.select(KEY, F.col("run").alias("interval"), "ch", "length", "head_rank", (F.col("before") + F.col("head_rank")).alias("image"), (F.col("heads_before") + F.col("_place")).alias("image_rank"), *(c for c in rlbwt.columns if c not in (KEY, "run", "ch", "length")))
     return lengths_to_starts(rows)
 
@@ -47,21 +45,23 @@ def fl_runs(rlbwt: DataFrame) -> DataFrame:
     return rows.drop("head_rank").select(*(F.col(names.get(c, c)).alias(c) for c in rows.drop("head_rank").columns))
 
 
-def lf_move(rlbwt: DataFrame, params: SplitParams | None = None) -> DataFrame:
-    """Move table of LF, with symbols; payload columns of ``rlbwt`` go along and keep it from being split by default."""
-    return _mapped(lf_runs(rlbwt).drop("head_rank"), rlbwt, params)
+def lf_move(rlbwt: DataFrame, params: SplitParams | None = None, codes: bool = False) -> DataFrame:
+    """Move table of LF, with symbols; payload columns of ``rlbwt`` go along and keep it from being split by default.
 
+    With ``codes``, the table also has each symbol's dense code.
+    """
+    return _mapped(lf_runs(rlbwt).drop("head_rank"), rlbwt, params, codes)
 
-def fl_move(rlbwt: DataFrame, params: SplitParams | None = None) -> DataFrame:
-    """Move table of FL, with symbols."""
-    return _mapped(fl_runs(rlbwt), rlbwt, params)
 
+def fl_move(rlbwt: DataFrame, params: SplitParams | None = None, codes: bool = False) -> DataFrame:
+    """Move table of FL, with symbols, and their dense codes with ``codes``."""
+    return _mapped(fl_runs(rlbwt), rlbwt, params, codes)
 
-def _mapped(runs: DataFrame, rlbwt: DataFrame, params: SplitParams | None) -> DataFrame:
-    from ..model import DEFAULT_SPLITTING, NO_SPLITTING
 
-    plain = len(rlbwt.columns) == 4
-    return move_table(runs, params or (DEFAULT_SPLITTING if plain else NO_SPLITTING))
+def _mapped(runs: DataFrame, rlbwt: DataFrame, params: SplitParams | None, codes: bool) -> DataFrame:
+    plain = not set(rlbwt.columns) - {KEY, "run", "ch", "length"}
+    move = move_table(runs, params or (USUAL if plain else UNSPLIT))
+    return move.join(alphabet(rlbwt, "length").select(KEY, "ch", "code"), [KEY, "ch"]) if codes else move
 
 
 def lf(bwt: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KEY
-from ..scratch import written
-from .scan import dense_rank, exclusive_sum, neighbour
+from .scan import dense_rank, exclusive_sum, islands, neighbour
 
 
 def decompose(perm: DataFrame) -> DataFrame:
@@ -15,10 +14,9 @@ def decompose(perm: DataFrame) -> DataFrame:
 
     That the input is a permutation is not checked; see is_permutation.
     """
-    before = neighbour(perm, [KEY], "i", -1, {"pi": "_before"})
-    marked = before.withColumn("_break", (F.col("_before").isNull() | (F.col("pi") != F.col("_before") + 1)).cast("long"))
-    numbered = exclusive_sum(marked, [KEY], "i", F.col("_break"), "_runs").withColumn("interval", F.col("_runs") + F.col("_break") - 1)
-    return numbered.groupBy(KEY, "interval").agg(F.min("i").alias("start"), F.count("*").alias("length"), F.min("pi").alias("image"))
+    new = F.col("_before").isNull() | (F.col("pi") != F.col("_before.pi") + 1)
+    found = islands(perm.select(KEY, "i", "pi"), "i", ["pi"], new, "interval", {"length": F.lit(1)}, {"start": "i", "image": "pi"})
+    return found.select(KEY, "interval", "start", "length", "image")
 
 
 def expand(runs: DataFrame) -> DataFrame:
@@ -42,7 +40,7 @@ def lengths_to_starts(runs: DataFrame, out: str = "start") -> DataFrame:
     return exclusive_sum(runs, [KEY], "interval", F.col("length"), out)
 
 
-def sum_and_max(runs: DataFrame) -> DataFrame:
+def domain_and_longest(runs: DataFrame) -> DataFrame:
     """(seq_id, domain, max_length)."""
     return runs.groupBy(KEY).agg(F.sum("length").cast("long").alias("domain"), F.max("length").alias("max_length"))
 
@@ -62,10 +60,10 @@ def ranks_from_inverse(visits: DataFrame) -> DataFrame:
     return visits.select(KEY, "interval", F.col("rank").alias("image_rank"))
 
 
-def encode(runs: DataFrame, domain: DataFrame | None = None, ranks: bool = True) -> DataFrame:
+def encode(runs: DataFrame, domain: DataFrame | None = None, ranks: bool = True, longest: DataFrame | None = None) -> DataFrame:
     """Interval rows from any of their descriptions: length or start, and image or image_rank.
 
-    Starts need domain(seq_id, domain). All forms of the same permutation give equal rows
+    With ``longest`` (seq_id, max_length), a ValueError is raised if a sequence's longest interval is another, or the sequence is missing. Starts need domain(seq_id, domain). All forms of the same permutation give equal rows
     (seq_id, interval, start, length, image, image_rank); further columns stay. Without ``ranks``, image_rank is left out.
     """
     if "length" not in runs.columns:
@@ -80,28 +78,14 @@ def encode(runs: DataFrame, domain: DataFrame | None = None, ranks: bool = True)
         runs = runs.drop("image_rank")
     elif "image_rank" not in runs.columns:
         runs = with_image_rank(runs)
+    if longest is not None:
+        own = runs.groupBy(KEY).agg(F.max("length").alias("_own"))
+        if not own.join(longest, KEY, "full").where("not (_own <=> max_length)").isEmpty():
+            raise ValueError("the longest interval is not as given")
     first = [KEY, "interval", "start", "length", "image", *["image_rank"] * ranks]
     return runs.select(*first, *(c for c in runs.columns if c not in first))
 
 
-def compose(first: DataFrame, then: DataFrame) -> DataFrame:
-    """perm of ``then`` after ``first``."""
-    after = then.select(KEY, F.col("i").alias("pi"), F.col("pi").alias("_to"))
-    return first.join(after, [KEY, "pi"]).select(KEY, "i", F.col("_to").alias("pi"))
-
-
-def power(perm: DataFrame, k: int) -> DataFrame:
-    """``perm`` applied k times: a join for each bit of k; each square is written, so the plan does not grow with k."""
-    out, square = perm.select(KEY, "i", F.col("i").alias("pi")), perm
-    while k:
-        if k & 1:
-            out = compose(out, square)
-        k >>= 1
-        if k:
-            square = written(compose(square, square))
-    return out
-
-
 def is_permutation(perm: DataFrame) -> DataFrame:
     """(seq_id, ok): whether i and pi each are 0 to n - 1."""
     whole = lambda c: (F.min(c) == 0) & (F.max(c) == F.count("*") - 1) & (F.count_distinct(c) == F.count("*"))

@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bit_width
-from ..model import KEY, NO_SPLITTING, SplitParams
+from ..model import KEY, UNSPLIT, SplitParams
 from .scan import exclusive_sum
 
-Payload = Callable[[Column, Column, Column, Column], dict[str, Column]]
+Columns = Callable[[Column, Column, Column, Column], dict[str, Column]]
+
+
+@dataclass(frozen=True)
+class Vectorised:
+    """A payload in Python: a function of four Arrow arrays (interval, its length, chunk's offset, chunk's length) to the arrays of ``schema``, in its order."""
+
+    function: Callable[[pa.Array, pa.Array, pa.Array, pa.Array], list[pa.Array]]
+    schema: str
+
+
+Payload = Columns | Vectorised
 
 
 def caps(runs: DataFrame, factor: float) -> DataFrame:
@@ -22,7 +35,7 @@ def caps(runs: DataFrame, factor: float) -> DataFrame:
     return runs.groupBy(KEY).agg((F.pow(F.lit(2.0), bit_width(mean)).cast("long") - 1).alias("cap"))
 
 
-def split_by_max_length(runs: DataFrame, longest: int | DataFrame, payload: Payload | None = None) -> DataFrame:
+def cut_longer(runs: DataFrame, longest: int | DataFrame, payload: Payload | None = None) -> DataFrame:
     """Intervals of at most ``longest`` (a number, or (seq_id, cap)): each run in chunks, the rest last, renumbered in order.
 
     Payload columns go to every chunk, unless ``payload`` (of the run's interval and length, the
@@ -33,26 +46,45 @@ def split_by_max_length(runs: DataFrame, longest: int | DataFrame, payload: Payl
     pieces = exclusive_sum(pieces, [KEY], "interval", F.col("_pieces"), "_first").withColumn("_k", F.explode(F.expr("sequence(0L, _pieces - 1)")))
     at = F.col("_k") * F.col("cap")
     size = F.least(F.col("length") - at, F.col("cap"))
+    if isinstance(payload, Vectorised):
+        return _in_python(runs, pieces, at, size, payload)
     fresh = payload(F.col("interval"), F.col("length"), at, size) if payload else {}
     moved = {"start": F.col("start") + at, "image": F.col("image") + at, "interval": F.col("_first") + F.col("_k"), "length": size}
     names = [c for c in runs.columns if c not in fresh and c != "image_rank"]
     return pieces.select(*((moved[c] if c in moved else F.col(c)).alias(c) for c in names), *(v.alias(c) for c, v in fresh.items()))
 
 
-def split_by_length_capping(runs: DataFrame, factor: float, payload: Payload | None = None) -> DataFrame:
+def _in_python(runs: DataFrame, pieces: DataFrame, at: Column, size: Column, payload: Vectorised) -> DataFrame:
+    """The chunks with the columns that ``payload`` gives for whole batches of them."""
+    moved = {"start": F.col("start") + at, "image": F.col("image") + at, "interval": F.col("_first") + F.col("_k"), "length": size}
+    new = payload.schema.split(",")
+    fresh = [field.split()[0] for field in new]
+    names = [c for c in runs.columns if c not in fresh and c != "image_rank"]
+    rows = pieces.select(*((moved[c] if c in moved else F.col(c)).alias(c) for c in names), F.col("interval").alias("_a"), F.col("length").alias("_b"), at.alias("_c"), size.alias("_d"))
+
+    def add(batches):
+        for batch in batches:
+            own = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*own, *payload.function(*(batch.column(c) for c in ("_a", "_b", "_c", "_d")))], [*names, *fresh])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
+    return rows.mapInArrow(add, f"{kept}, {payload.schema}")
+
+
+def cap_by_mean(runs: DataFrame, factor: float, payload: Payload | None = None) -> DataFrame:
     """Intervals of at most the cap of ``factor``."""
-    return split_by_max_length(runs, caps(runs, factor), payload)
+    return cut_longer(runs, caps(runs, factor), payload)
 
 
-def split_by_balancing(runs: DataFrame, factor: int) -> DataFrame:
+def balanced(runs: DataFrame, factor: int) -> DataFrame:
     """The runs as they are: the balancing factor is accepted, and no interval is split for it."""
     return runs
 
 
-def apply_splitting(runs: DataFrame, params: SplitParams = NO_SPLITTING, payload: Payload | None = None) -> DataFrame:
+def split_runs(runs: DataFrame, params: SplitParams = UNSPLIT, payload: Payload | None = None) -> DataFrame:
     """Length capping, then balancing, as far as ``params`` asks for them."""
     if params.length_capping is not None:
-        runs = split_by_length_capping(runs, params.length_capping, payload)
+        runs = cap_by_mean(runs, params.length_capping, payload)
     if params.balancing is not None:
-        runs = split_by_balancing(runs, params.balancing)
+        runs = balanced(runs, params.balancing)
     return runs

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import KEY
 from ..operators.rlbwt import char_counts, run_length_encode
 from ..operators.scan import dense_rank, exclusive_sum
+from ..scratch import written
 
 #: Neighbouring events that share a symbol in the sequence of long runs.
 STRIDE = 50
@@ -22,7 +23,7 @@ def orders_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(_zero(), "o_orderkey", F.col("o_orderstatus").alias("ch"))
     ranked = exclusive_sum(dense_rank(orders, [KEY], "o_orderkey", "i"), [KEY, "ch"], "o_orderkey", 1, "own")
     before = char_counts(orders.select(KEY, "ch", F.lit(1).cast("long").alias("length"))).select(KEY, "ch", "before")
-    return ranked.join(before, [KEY, "ch"]).select(KEY, "i", (F.col("before") + F.col("own")).alias("pi"))
+    return written(ranked.join(before, [KEY, "ch"]).select(KEY, "i", (F.col("before") + F.col("own")).alias("pi")))
 
 
 def event_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +49,11 @@ def with_users(runs: DataFrame, spark: SparkSession, sf_dir: str, symbols: DataF
 
 
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_length_encode(event_symbols(spark, sf_dir))
+    return written(run_length_encode(event_symbols(spark, sf_dir)))
 
 
 def block_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_length_encode(event_blocks(spark, sf_dir))
+    return written(run_length_encode(event_blocks(spark, sf_dir)))
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:

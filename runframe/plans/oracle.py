@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..model import DEFAULT_SPLITTING
+from ..model import USUAL
 from .inputs import STRIDE
-from .queries import FACTOR, LF_STEPS, LONGEST, STEPS
+from .queries import FACTOR, LF_STEPS, LONGEST, REPEATS, STEPS
 
 #: Named parts; each is used with those that it names itself.
 PARTS = {
@@ -29,7 +29,7 @@ PARTS = {
         FROM (SELECT b.*, b."interval" AS run, m, unnest(range(0, (length - 1) // m + 1)) AS k FROM blf b, cap)"""),
     "cut_max": ("blf", f"""SELECT seq_id, row_number() OVER (ORDER BY run, k) - 1 AS "interval", run, whole, k * {LONGEST} AS spot, "start" + k * {LONGEST} AS "start", least(whole - k * {LONGEST}, {LONGEST}) AS length, image + k * {LONGEST} AS image, ch
         FROM (SELECT b.*, b."interval" AS run, length AS whole, unnest(range(0, (length - 1) // {LONGEST} + 1)) AS k FROM blf b)"""),
-    "cap_default": ("blf", f"""SELECT (2 ** length(ltrim(bin(ceil(sum(length) / count(*) * {DEFAULT_SPLITTING.length_capping})::BIGINT), '0')) - 1)::BIGINT AS m FROM blf"""),
+    "cap_default": ("blf", f"""SELECT (2 ** length(ltrim(bin(ceil(sum(length) / count(*) * {USUAL.length_capping})::BIGINT), '0')) - 1)::BIGINT AS m FROM blf"""),
     "cut_default": ("blf cap_default", """SELECT seq_id, row_number() OVER (ORDER BY run, k) - 1 AS "interval", "start" + k * m AS "start", least(length - k * m, m) AS length, image + k * m AS image
         FROM (SELECT b.*, b."interval" AS run, m, unnest(range(0, (length - 1) // m + 1)) AS k FROM blf b, cap_default)"""),
     "d5s": ("cut_max bpay", """SELECT c.*, p.val1, p.val2 FROM cut_max c JOIN bpay p USING (run)"""),
@@ -41,6 +41,8 @@ PARTS = {
     "lf": ("sym", """SELECT seq_id, i, row_number() OVER (ORDER BY ch, i) - 1 AS pi, ch FROM sym"""),
     "suffixes": ("", """SELECT p_partkey AS seq_id, p_name || chr(1) AS text, unnest(range(0, length(p_name) + 1)) AS sa FROM part"""),
     "bwt": ("suffixes", """SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY substring(text, sa + 1)) - 1 AS i, substring(text, CASE WHEN sa = 0 THEN length(text) ELSE sa END, 1) AS ch, sa FROM suffixes"""),
+    "more_suffixes": ("", f"""SELECT p_partkey AS seq_id, repeat(p_name, {REPEATS}) || chr(1) AS text, unnest(range(0, length(p_name) * {REPEATS} + 1)) AS sa FROM part"""),
+    "more_bwt": ("more_suffixes", """SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY substring(text, sa + 1)) - 1 AS i, substring(text, CASE WHEN sa = 0 THEN length(text) ELSE sa END, 1) AS ch, sa FROM more_suffixes"""),
     "phi": ("bwt", """SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY sa) - 1 AS "interval", sa AS "start", coalesce(lead(sa) OVER (PARTITION BY seq_id ORDER BY sa), n) - sa AS length, image FROM (
         SELECT seq_id, i, sa, ch, count(*) OVER (PARTITION BY seq_id) AS n, lag(ch) OVER w AS other, coalesce(lag(sa) OVER w, last_value(sa) OVER (PARTITION BY seq_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS image
         FROM bwt WINDOW w AS (PARTITION BY seq_id ORDER BY i)) WHERE ch IS DISTINCT FROM other"""),
@@ -51,6 +53,8 @@ PARTS = {
     "bench_bwt": ("bench", """SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY substring(text, sa + 1)) - 1 AS i, substring(text, CASE WHEN sa = 0 THEN length(text) ELSE sa END, 1) AS ch, sa FROM bench"""),
 }
 
+PARTS |= {f"more_{name}": ("more_bwt", PARTS[name][1].replace("FROM bwt", "FROM more_bwt")) for name in ("phi", "phi_inv")}
+
 
 def _needs(name: str, seen: list[str]) -> None:
     for part in PARTS[name][0].split():
@@ -94,6 +98,7 @@ def _placed(found: str) -> str:
     return f"""SELECT f."interval" AS "from", f.found_interval, f.found_off AS off, b."start" + f.found_off AS idx FROM ({found}) f JOIN d5s b ON b."interval" = f.found_interval"""
 
 
+_CHUNKS = "SELECT p_partkey AS seq_id, part, substring(p_name, part * 5 + 1, 5) AS text FROM (SELECT *, unnest(range(0, (length(p_name) + 4) // 5)) AS part FROM part)"
 _LETTERS_WALK = "walk AS (SELECT seq_id, 0::BIGINT AS step, 0::BIGINT AS i FROM letters WHERE i = 0 UNION ALL SELECT w.seq_id, w.step + 1, l.pi FROM walk w JOIN letters l ON w.seq_id = l.seq_id AND w.i = l.i WHERE w.step + 1 < l.n)"
 _PHI_MOVE = """SELECT a.seq_id, a."interval", a."start", a.length, a.image, b."interval" AS pointer, a.image - b."start" AS off FROM {0} a ASOF JOIN {0} b ON a.seq_id = b.seq_id AND a.image >= b."start" """
 
@@ -145,7 +150,7 @@ ORACLE_SQL = {
         FROM (SELECT seq_id, ch, count(*) AS heads, sum(length)::BIGINT AS cnt, max(length) AS max_length FROM rle GROUP BY seq_id, ch) WINDOW w AS (ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
     "q_lf_images": _sql("lfr", 'SELECT seq_id, "interval", ch, "start", length, image, image_rank, head_rank FROM lfr'),
     "q_lf": _sql("lf", "SELECT seq_id, i, pi, ch FROM lf"),
-    "q_lf_move": _sql("lfm", f"SELECT {_MOVE}, ch FROM lfm"),
+    "q_lf_move": _sql("lfm", f"SELECT {_MOVE}, ch, dense_rank() OVER (ORDER BY ch) - 1 AS code FROM lfm"),
     "q_fl_runs": _sql("flr", f"SELECT {_INTERVAL}, image_rank, ch FROM flr"),
     "q_fl": _sql("lf", "SELECT seq_id, pi AS i, i AS pi, ch FROM lf"),
     "q_fl_move": _sql("flr", 'SELECT a.seq_id, a."interval", a."start", a.length, a.image, b."interval" AS pointer, a.image - b."start" AS off, a.ch FROM flr a ASOF JOIN flr b ON a.seq_id = b.seq_id AND a.image >= b."start"'),
@@ -158,6 +163,21 @@ ORACLE_SQL = {
     "q_phi_inv_rank": _sql("phi_inv", 'SELECT seq_id, "interval", length, row_number() OVER (PARTITION BY seq_id ORDER BY image) - 1 AS image_rank FROM phi_inv'),
     "q_phi_move": _sql("phi", _PHI_MOVE.format("phi")),
     "q_phi_inv_move": _sql("phi_inv", _PHI_MOVE.format("phi_inv")),
+    "q_phi_move_repeats": _sql("more_phi", _PHI_MOVE.format("more_phi")),
+    "q_phi_inv_move_repeats": _sql("more_phi_inv", _PHI_MOVE.format("more_phi_inv")),
+    "q_chunks_lf": _CHUNKS,
+    "q_chunks_fl": _CHUNKS,
+    "doc_text_lf": "SELECT doc_id AS seq_id, text FROM documents WHERE text != ''",
+    "doc_text_fl": "SELECT doc_id AS seq_id, text FROM documents WHERE text != ''",
+    "doc_single_cycle": "SELECT doc_id AS seq_id, true AS ok FROM documents",
+    "q_violations_null": _sql("runs", 'SELECT count(*) AS broken FROM runs WHERE "interval" % 5 IN (2, 3)'),
+    "q_power_table": _sql("perm", """SELECT 0::BIGINT AS seq_id, min(i) AS "start", count(*) AS length, min(pi) AS image FROM (
+        SELECT *, sum(brk) OVER (ORDER BY i) AS run FROM (SELECT origin AS i, spot AS pi, CASE WHEN lag(spot) OVER (ORDER BY origin) = spot - 1 THEN 0 ELSE 1 END AS brk FROM walk WHERE k = """ + str(LF_STEPS) + """)) GROUP BY run""", _walk("perm", LF_STEPS)),
+    "q_split_callback_python": _sql("cut_max", 'SELECT seq_id, "interval", "start", length, run AS origin, spot * 1000 + length AS part, whole - spot - length AS rest FROM cut_max'),
+    "q_position_search": _sql("sym lfr", f"""SELECT idx, "interval", off FROM ({_point("lfr")})""", "x AS (SELECT seq_id, i AS idx FROM sym)"),
+    "q_store_points": _sql("move", f'SELECT {_MOVE} FROM move WHERE "interval" % 97 = 0'),
+    "q_store_about": _sql("blf cut", f"SELECT (SELECT count(*) FROM cut) AS rows, (SELECT count(*) FROM blf) AS runs, (SELECT sum(length)::BIGINT FROM cut) AS domain, {FACTOR}::DOUBLE AS length_capping, NULL::BIGINT AS balancing"),
+    "q_file_bytes": _sql("sym", "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(ch || chr(10), '')) AS ch FROM sym) GROUP BY ch"),
     "q_text_lf": "SELECT p_partkey AS seq_id, p_name AS text FROM part WHERE p_name != ''",
     "q_text_fl": "SELECT p_partkey AS seq_id, p_name AS text FROM part WHERE p_name != ''",
     "q_sa_phi": _sql("bwt", "SELECT seq_id, i, sa FROM bwt"),

@@ -7,16 +7,18 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import alphabets, scalars
-from ..model import KEY, NO_SPLITTING, ONLY_BALANCING, SplitParams
-from ..operators import movetable, navigate, phi, recover, rlbwt, runs, search, split
+from ..model import KEY, UNSPLIT, BALANCED, SplitParams
+from ..operators import movetable, navigate, phi, powers, recover, rlbwt, runs, search, split
 from ..scratch import shared_dir, written
-from ..sources import store
+from ..sources import files, store
 from . import inputs
 
 MOVE = [KEY, "interval", "start", "length", "image", "pointer", "off"]
 #: Steps of the k-step queries, longest interval and capping factor of the splitting queries.
 STEPS, LONGEST, FACTOR = 37, 16, 1.0
 LF_STEPS = 5
+#: How often texts are repeated to have few runs.
+REPEATS = 30
 
 
 def _d1(spark, d):
@@ -24,7 +26,7 @@ def _d1(spark, d):
 
 
 def _d1_move(spark, d):
-    return written(movetable.move_table(runs.decompose(_d1(spark, d)), NO_SPLITTING))
+    return written(movetable.move_table(runs.decompose(_d1(spark, d)), UNSPLIT))
 
 
 def _d4(spark, d):
@@ -60,7 +62,7 @@ def q_runs(spark, d):
 
 
 def q_sum_and_max(spark, d):
-    return runs.sum_and_max(runs.decompose(_d1(spark, d)))
+    return runs.domain_and_longest(runs.decompose(_d1(spark, d)))
 
 
 def q_inverse(spark, d):
@@ -102,7 +104,7 @@ def q_widths(spark, d):
 
 
 def q_bits_needed(spark, d):
-    return movetable.bits_needed(_d5_move(spark, d))
+    return movetable.table_bits(_d5_move(spark, d))
 
 
 def q_stats(spark, d):
@@ -121,21 +123,27 @@ def q_violations_broken(spark, d):
     return movetable.violations(wrong).agg(F.count("*").alias("broken"))
 
 
+def q_violations_null(spark, d):
+    """How many rows of a table with null pointers in some rows, and null ids in others, break its invariants."""
+    wrong = _d1_move(spark, d).withColumns({"pointer": F.expr("if(interval % 5 = 2, null, pointer)"), "off": F.expr("if(interval % 5 = 3, null, off)")})
+    return movetable.violations(wrong).agg(F.count("*").alias("broken"))
+
+
 def q_split_default(spark, d):
     """A table split as by default."""
     return movetable.move_table(_d4(spark, d).drop("ch")).select(*MOVE)
 
 
 def q_split_cap(spark, d):
-    return split.split_by_length_capping(_d4(spark, d).drop("ch"), FACTOR).select(KEY, "interval", "start", "length", "image")
+    return split.cap_by_mean(_d4(spark, d).drop("ch"), FACTOR).select(KEY, "interval", "start", "length", "image")
 
 
 def q_split_max(spark, d):
-    return split.split_by_max_length(_d4(spark, d).drop("ch"), LONGEST).select(KEY, "interval", "start", "length", "image")
+    return split.cut_longer(_d4(spark, d).drop("ch"), LONGEST).select(KEY, "interval", "start", "length", "image")
 
 
 def q_split_balancing(spark, d):
-    return split.apply_splitting(_d4(spark, d), ONLY_BALANCING).select(KEY, "interval", "start", "length", "image")
+    return split.split_runs(_d4(spark, d), BALANCED).select(KEY, "interval", "start", "length", "image")
 
 
 def q_split_move(spark, d):
@@ -144,17 +152,29 @@ def q_split_move(spark, d):
 
 def q_split_payload(spark, d):
     rows = inputs.with_users(inputs.block_runs(spark, d), spark, d, inputs.event_blocks(spark, d))
-    return split.split_by_max_length(rlbwt.lf_runs(rows).drop("head_rank", "image_rank"), LONGEST).select(KEY, "interval", "start", "length", "ch", "val1", "val2")
+    return split.cut_longer(rlbwt.lf_runs(rows).drop("head_rank", "image_rank"), LONGEST).select(KEY, "interval", "start", "length", "ch", "val1", "val2")
 
 
 def q_split_callback(spark, d):
     fresh = lambda run, whole, at, size: {"origin": run, "part": at * 1000 + size, "rest": whole - at - size}
-    return split.split_by_max_length(_d4(spark, d).drop("ch"), LONGEST, fresh).select(KEY, "interval", "start", "length", "origin", "part", "rest")
+    return split.cut_longer(_d4(spark, d).drop("ch"), LONGEST, fresh).select(KEY, "interval", "start", "length", "origin", "part", "rest")
+
+
+def q_split_callback_python(spark, d):
+    """The same payload from a function of Arrow arrays."""
+
+    def fresh(run, whole, at, size):
+        import pyarrow.compute as pc
+
+        return [run, pc.add(pc.multiply(at, 1000), size), pc.subtract(pc.subtract(whole, at), size)]
+
+    given = split.Vectorised(fresh, "origin long, part long, rest long")
+    return split.cut_longer(_d4(spark, d).drop("ch"), LONGEST, given).select(KEY, "interval", "start", "length", "origin", "part", "rest")
 
 
 def q_split_same(spark, d):
     """Positions whose image a split table gives, which is the permutation of the unsplit one."""
-    return runs.expand(split.split_by_max_length(_d4(spark, d), LONGEST))
+    return runs.expand(split.cut_longer(_d4(spark, d), LONGEST))
 
 
 def q_next(spark, d):
@@ -176,8 +196,13 @@ def q_next_k(spark, d):
     return navigate.step_k(_heads(move).withColumn("from", F.col("interval")), move, STEPS).select("from", F.col("idx").alias("to"))
 
 
+def q_power_table(spark, d):
+    """The interval table of the permutation applied several times."""
+    return powers.power(written(runs.decompose(_d1(spark, d))), LF_STEPS)
+
+
 def q_power(spark, d):
-    return runs.power(_d1(spark, d), LF_STEPS)
+    return powers.permutation_power(_d1(spark, d), LF_STEPS)
 
 
 def q_up(spark, d):
@@ -196,13 +221,20 @@ def q_first_last(spark, d):
 
 
 def q_position(spark, d):
-    move = rlbwt.lf_move(inputs.event_runs(spark, d), NO_SPLITTING)
+    move = rlbwt.lf_move(inputs.event_runs(spark, d), UNSPLIT)
     points = inputs.event_symbols(spark, d).select(KEY, F.col("i").alias("idx"))
-    return navigate.locate(points, move).select("idx", "interval", "off")
+    return navigate.locate(points, move, strategy="scan").select("idx", "interval", "off")
+
+
+def q_position_search(spark, d):
+    """The same by binary search in the starts."""
+    move = rlbwt.lf_move(inputs.event_runs(spark, d), UNSPLIT)
+    points = inputs.event_symbols(spark, d).select(KEY, F.col("i").alias("idx"))
+    return navigate.locate(points, written(move), strategy="search").select("idx", "interval", "off")
 
 
 def q_position_idx(spark, d):
-    move = rlbwt.lf_move(inputs.event_runs(spark, d), NO_SPLITTING)
+    move = rlbwt.lf_move(inputs.event_runs(spark, d), UNSPLIT)
     return navigate.with_idx(move.select(KEY, "interval", (F.col("length") - 1).alias("off")), move).select("interval", "idx")
 
 
@@ -236,7 +268,7 @@ def q_succ_char(spark, d):
 def _search_split(spark, d, find):
     """Search in a table whose intervals are split, with the absolute place of what is found."""
     rows = inputs.with_users(inputs.block_runs(spark, d), spark, d, inputs.event_blocks(spark, d))
-    move = written(split.split_by_max_length(rlbwt.lf_runs(rows).drop("head_rank", "image_rank"), LONGEST))
+    move = written(split.cut_longer(rlbwt.lf_runs(rows).drop("head_rank", "image_rank"), LONGEST))
     cursors = move.select(KEY, "interval", F.lit(0).cast("long").alias("off"), F.lit("click").alias("value"), F.col("interval").alias("from"))
     found = find(cursors, move, "ch").select(KEY, "from", F.col("found_interval").alias("interval"), F.col("found_off").alias("off"))
     placed = navigate.with_idx(found.where("interval is not null"), move)
@@ -276,7 +308,7 @@ def q_bit_functions(spark, d):
     v = F.col("o_orderkey").cast("long")
     w = scalars.bit_width(v)
     return spark.read.parquet(f"{d}/orders.parquet").select(
-        v.alias("v"), w.alias("width"), scalars.ceil_div(v, F.lit(7)).alias("sevenths"), scalars.pow2(w).alias("power"), scalars.max_val(w).alias("top"),
+        v.alias("v"), w.alias("width"), scalars.div_up(v, F.lit(7)).alias("sevenths"), scalars.pow2(w).alias("power"), scalars.all_ones(w).alias("top"),
         scalars.mask(w, F.lit(3)).alias("mask"), scalars.bytes_to_bits(v).alias("bits"), scalars.bits_to_bytes(v).alias("bytes"),
     )
 
@@ -298,11 +330,11 @@ def q_lf(spark, d):
 
 
 def q_lf_move(spark, d):
-    return rlbwt.lf_move(inputs.event_runs(spark, d), NO_SPLITTING).select(*MOVE, "ch")
+    return rlbwt.lf_move(inputs.event_runs(spark, d), UNSPLIT, codes=True).select(*MOVE, "ch", "code")
 
 
 def q_lf_k(spark, d):
-    return runs.power(rlbwt.lf(inputs.event_symbols(spark, d)).drop("ch"), LF_STEPS)
+    return powers.permutation_power(rlbwt.lf(inputs.event_symbols(spark, d)).drop("ch"), LF_STEPS)
 
 
 def q_fl_runs(spark, d):
@@ -314,7 +346,7 @@ def q_fl(spark, d):
 
 
 def q_fl_move(spark, d):
-    return rlbwt.fl_move(inputs.event_runs(spark, d), NO_SPLITTING).select(*MOVE, "ch")
+    return rlbwt.fl_move(inputs.event_runs(spark, d), UNSPLIT).select(*MOVE, "ch")
 
 
 def q_bwt(spark, d, bwt=_bwt):
@@ -350,17 +382,32 @@ def q_phi_inv_rank(spark, d, bwt=_bwt):
 def q_phi_move(spark, d, bwt=_bwt):
     """The move table of φ from the runs of the BWT alone."""
     rle = rlbwt.run_length_encode(bwt(spark, d).select(KEY, "i", "ch"))
-    return phi.phi_move(rle, NO_SPLITTING).select(*MOVE)
+    return phi.phi_move(rle, UNSPLIT).select(*MOVE)
 
 
 def q_phi_inv_move(spark, d, bwt=_bwt):
     rle = rlbwt.run_length_encode(bwt(spark, d).select(KEY, "i", "ch"))
-    return phi.phi_inv_move(rle, NO_SPLITTING).select(*MOVE)
+    return phi.phi_inv_move(rle, UNSPLIT).select(*MOVE)
+
+
+def _repeats(spark, d):
+    """rlbwt: runs of the BWTs of part names repeated, whose runs are far fewer than their symbols."""
+    texts = inputs.part_names(spark, d).select(KEY, F.repeat("text", F.lit(REPEATS)).alias("text"))
+    return written(rlbwt.run_length_encode(recover.suffix_sort(texts)))
+
+
+def q_phi_move_repeats(spark, d):
+    """Over repeated part names, where LF's domain is contracted before it is ranked."""
+    return phi.phi_move(_repeats(spark, d), UNSPLIT).select(*MOVE)
+
+
+def q_phi_inv_move_repeats(spark, d):
+    return phi.phi_inv_move(_repeats(spark, d), UNSPLIT).select(*MOVE)
 
 
 def q_phi_next(spark, d, bwt=_bwt):
     """One step of φ from the first position of every interval of its table."""
-    move = written(phi.phi_move(rlbwt.run_length_encode(bwt(spark, d).select(KEY, "i", "ch")), NO_SPLITTING))
+    move = written(phi.phi_move(rlbwt.run_length_encode(bwt(spark, d).select(KEY, "i", "ch")), UNSPLIT))
     return navigate.step(_heads(move).withColumn("from", F.col("interval")), move).select(KEY, "from", "interval", "off", "idx")
 
 
@@ -372,6 +419,15 @@ def q_text_fl(spark, d, bwt=_bwt):
     return recover.text_by_fl(bwt(spark, d).select(KEY, "i", "ch"))
 
 
+def q_chunks_lf(spark, d, bwt=_bwt):
+    """Texts in numbered chunks of 5 symbols."""
+    return recover.chunks_by_lf(bwt(spark, d).select(KEY, "i", "ch"), 5)
+
+
+def q_chunks_fl(spark, d, bwt=_bwt):
+    return recover.chunks_by_fl(bwt(spark, d).select(KEY, "i", "ch"), 5)
+
+
 def q_sa_phi(spark, d, bwt=_bwt):
     return recover.suffix_array_by_phi(runs.expand(phi.phi_runs(bwt(spark, d))))
 
@@ -404,10 +460,31 @@ def q_single_cycle(spark, d, bwt=_bwt):
 
 
 def q_store_roundtrip(spark, d):
-    path = store.save(_d1_move(spark, d), f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", NO_SPLITTING)
+    path = store.save(_d1_move(spark, d), f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", UNSPLIT)
     return store.load(spark, path)[0].select(*MOVE)
 
 
+def q_store_about(spark, d):
+    """What is stored about a split table."""
+    rows = _d4(spark, d)
+    path = store.save(movetable.move_table(rows, SplitParams(FACTOR, None)), f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", SplitParams(FACTOR, None), rows)
+    return store.about(spark, path).select("rows", "runs", "domain", "length_capping", "balancing")
+
+
+def q_store_points(spark, d):
+    """The rows of a stored table at every 97th interval, from the files that hold them."""
+    path = store.save(_d1_move(spark, d), f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", UNSPLIT, file_rows=1000)
+    cursors = _d1_move(spark, d).where("interval % 97 = 0").select(KEY, "interval")
+    return store.load_at(spark, path, cursors).select(*MOVE)
+
+
+def q_file_bytes(spark, d):
+    """How often each byte occurs in files of the event types, a line each, read in byte ranges."""
+    path = f"{shared_dir(spark)}/bytes-{uuid.uuid4().hex}"
+    inputs.event_symbols(spark, d).select("ch").write.text(path)
+    return files.read_symbols(spark, path, 1 << 14).groupBy("ch").agg(F.count("*").alias("n"))
+
+
 def q_payload(spark, d):
     """The payload of every cursor's interval after one LF step."""
     move = _d5_move(spark, d)
@@ -418,7 +495,7 @@ def q_payload(spark, d):
 def q_separate_payload(spark, d):
     """The table with its payload kept apart and joined."""
     rows = _d5(spark, d)
-    plain = rlbwt.lf_move(rows.drop("val1", "val2"), NO_SPLITTING)
+    plain = rlbwt.lf_move(rows.drop("val1", "val2"), UNSPLIT)
     kept = movetable.attach_payload(plain, rows.select(KEY, F.col("run").alias("interval"), "val1", "val2"))
     return kept.select("interval", "pointer", "off", "ch", "val1", "val2")
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from runframe.plans import QUERIES
 from runframe.functions import alphabets, scalars
-from runframe.model import NO_SPLITTING, ONLY_BALANCING, SplitParams
-from runframe.operators import movetable, navigate, phi, recover, rlbwt, runs, scan, search, split
+from runframe.model import UNSPLIT, BALANCED, SplitParams
+from runframe.operators import movetable, navigate, phi, powers, recover, rlbwt, runs, scan, search, split
 from runframe.sources import files, store
 
+# Permutations, texts and the lists expected of them in this file (lengths, ranks, pointers, images, suffixes) that any
+# implementation of these structures must give.
 P16 = [1, 2, 9, 10, 11, 3, 12, 13, 4, 5, 14, 0, 15, 6, 7, 8]
 TEXT = "GATTACATGATTACATAGATTACATT"
 SUFFIXES = [26, 12, 4, 21, 16, 14, 6, 23, 9, 1, 18, 13, 5, 22, 8, 0, 17, 25, 11, 3, 20, 15, 7, 24, 10, 2, 19]
@@ -44,10 +46,10 @@ def test_run_decomposition(spark):
 
 
 def test_move_table(spark):
-    move = movetable.move_table(runs.decompose(perm_of(spark, P16)), NO_SPLITTING)
+    move = movetable.move_table(runs.decompose(perm_of(spark, P16)), UNSPLIT)
     assert column(move, "pointer") == [0, 4, 1, 7, 1, 8, 0, 8, 3]
     assert column(move, "off") == [1, 1, 1, 0, 2, 1, 0, 2, 0]
-    move = movetable.move_table(runs_of(spark, [3, 2, 1, 2, 2], [4, 0, 9, 2, 7]), NO_SPLITTING)
+    move = movetable.move_table(runs_of(spark, [3, 2, 1, 2, 2], [4, 0, 9, 2, 7]), UNSPLIT)
     assert (column(move, "pointer"), column(move, "off")) == ([1, 0, 4, 0, 3], [1, 0, 1, 2, 1])
     assert movetable.checked(move).count() == 5
     with pytest.raises(ValueError):
@@ -58,7 +60,7 @@ def test_encodings_agree(spark):
     whole = runs.encode(runs.decompose(perm_of(spark, P16)))
     ranks = spark.createDataFrame([(0, r, i) for r, i in enumerate([6, 0, 2, 4, 8, 1, 3, 5, 7])], "seq_id long, rank long, interval long")
     assert sorted(runs.ranks_from_inverse(ranks).collect()) == sorted(whole.select("seq_id", "interval", "image_rank").collect())
-    domain = runs.sum_and_max(whole)
+    domain = runs.domain_and_longest(whole)
     for columns in (["length", "image"], ["start", "image"], ["length", "image_rank"], ["start", "image_rank"]):
         assert sorted(runs.encode(whole.select("seq_id", "interval", *columns), domain.select("seq_id", "domain")).collect()) == sorted(whole.collect())
     with pytest.raises(ValueError):
@@ -67,19 +69,19 @@ def test_encodings_agree(spark):
 
 def test_splitting(spark):
     rows = runs.encode(runs.decompose(perm_of(spark, P16)))
-    cut = split.split_by_max_length(rows, 2)
+    cut = split.cut_longer(rows, 2)
     assert column(cut, "length") == [2, 2, 1, 1, 2, 2, 1, 1, 1, 2, 1]
     assert sorted(runs.expand(cut).collect()) == sorted(perm_of(spark, P16).collect())
     ranks = runs.with_image_rank(cut)
     assert [r[0] for r in ranks.orderBy("image_rank").select("interval").collect()] == [7, 0, 3, 5, 9, 10, 1, 2, 4, 6, 8]
     rows = runs.encode(runs_of(spark, [1, 16, 2], [0, 1, 17]))
-    assert column(split.split_by_length_capping(rows, 0.5), "length") == [1, 7, 7, 2, 2]
+    assert column(split.cap_by_mean(rows, 0.5), "length") == [1, 7, 7, 2, 2]
     rows = runs.encode(runs_of(spark, [2, 1, 8], [9, 0, 1], val=[5, 6, 7]))
     cut = movetable.move_table(rows, SplitParams(1.0, None))
     assert (column(cut, "length"), column(cut, "pointer"), column(cut, "off"), column(cut, "val")) == ([2, 1, 7, 1], [2, 0, 0, 2], [6, 0, 1, 5], [5, 6, 7, 7])
     assert movetable.move_table(rows).count() == 3  # payload keeps runs whole by default
-    assert split.apply_splitting(rows, ONLY_BALANCING).count() == 3
-    fresh = split.split_by_max_length(rows, 4, lambda run, whole, at, size: {"val": run * 100 + at * 10 + size})
+    assert split.split_runs(rows, BALANCED).count() == 3
+    fresh = split.cut_longer(rows, 4, lambda run, whole, at, size: {"val": run * 100 + at * 10 + size})
     assert column(fresh, "val") == [2, 101, 204, 244]
     with pytest.raises(ValueError):
         split.caps(rows, 0)
@@ -96,7 +98,7 @@ def test_navigation(spark):
     twice = {(r.seq_id, r.i, r.idx) for r in navigate.step_k(cursors, move, 3).collect()}
     assert twice == {(s, i, x[x[x[i]]]) for s, x in enumerate(perms) for i in range(len(x))}
     assert {(r.seq_id, r.i, r.idx) for r in navigate.step_k(cursors, move, 0).collect()} == {(s, i, i) for s, x in enumerate(perms) for i in range(len(x))}
-    move = movetable.move_table(runs.decompose(perm_of(spark, [1, 0, 3, 2])), NO_SPLITTING)
+    move = movetable.move_table(runs.decompose(perm_of(spark, [1, 0, 3, 2])), UNSPLIT)
     first, last = navigate.first(move), navigate.last(move)
     assert navigate.up(first, move).first()[1:3] == (3, 0) and navigate.down(last, move).first()[1:3] == (0, 0)
     assert last.first()["idx"] == 3
@@ -105,7 +107,7 @@ def test_navigation(spark):
 
 
 def test_search(spark):
-    move = movetable.move_table(runs.decompose(perm_of(spark, [1, 0, 3, 2])), NO_SPLITTING).withColumn("val", F.col("interval") % 2)
+    move = movetable.move_table(runs.decompose(perm_of(spark, [1, 0, 3, 2])), UNSPLIT).withColumn("val", F.col("interval") % 2)
     cursors = spark.createDataFrame([(0, 0, 0, 1), (0, 3, 0, 0), (0, 2, 0, 42)], "seq_id long, interval long, off long, value long")
     after = {r.value: r.found_interval for r in search.succ(cursors, move, "val").collect()}
     before = {r.value: r.found_interval for r in search.pred(cursors, move, "val").collect()}
@@ -119,18 +121,18 @@ def test_rlbwt_and_phi(spark):
     assert [r.length for r in coded.orderBy("run").collect()] == [5, 3, 3, 3, 1, 1, 1, 4, 6]
     lf = rlbwt.lf_runs(coded)
     assert column(lf, "image") == [17, 11, 14, 1, 22, 0, 4, 23, 5]
-    move = rlbwt.lf_move(coded, NO_SPLITTING).cache()
+    move = rlbwt.lf_move(coded, UNSPLIT).cache()
     assert column(move, "pointer") == [7, 3, 4, 0, 8, 0, 0, 8, 1]
     assert column(rlbwt.fl_runs(coded), "image") == [15, 11, 16, 21, 5, 8, 0, 14, 17]
     assert column(phi.phi_runs(bwt), "image") == [8, 22, 23, 18, 16, 20, 0, 17, 19]
     assert column(phi.phi_inv_runs(bwt), "length") == [8, 8, 1, 1, 1, 1, 2, 1, 4]
-    assert sorted(phi.phi_move(coded, NO_SPLITTING).select("start", "length", "image").collect()) == sorted(phi.phi_runs(bwt).select("start", "length", "image").collect())
+    assert sorted(phi.phi_move(coded, UNSPLIT).select("start", "length", "image").collect()) == sorted(phi.phi_runs(bwt).select("start", "length", "image").collect())
     for found in (recover.text_by_lf(bwt), recover.text_by_fl(bwt), recover.text_by_lf(rlbwt.expand_symbols(coded))):
         assert found.first()["text"] == TEXT
     for found in (recover.suffix_array_by_phi(runs.expand(phi.phi_runs(bwt))), recover.suffix_array_by_phi_inv(runs.expand(phi.phi_inv_runs(bwt)))):
         assert [r.sa for r in found.orderBy("i").collect()] == SUFFIXES
-    back = runs.compose(rlbwt.lf(bwt).drop("ch"), rlbwt.fl(bwt).drop("ch"))
-    assert back.where("i != pi").count() == 0
+    back = powers.compose(lf, rlbwt.fl_runs(coded))
+    assert back.where("start != image").count() == 0
     cursors = spark.createDataFrame([(0, 4, 0, "A"), (0, 4, 0, "T"), (0, 1, 2, "\x01")], "seq_id long, interval long, off long, value string")
     assert {r.value: (r.found_interval, r.found_off) for r in search.pred(cursors, move, "ch").collect()} == {"A": (3, 2), "T": (4, 0), "\x01": (None, None)}
     with pytest.raises(ValueError):
@@ -194,7 +196,7 @@ def test_payload_and_widths(spark):
 
 
 def test_store_and_files(spark, tmp_path):
-    move = movetable.move_table(runs.decompose(perm_of(spark, P16)), NO_SPLITTING)
+    move = movetable.move_table(runs.decompose(perm_of(spark, P16)), UNSPLIT)
     path = store.save(move, str(tmp_path / "p16"), SplitParams(8.0, 16))
     again, params = store.load(spark, path)
     assert sorted(again.collect()) == sorted(move.collect()) and params == SplitParams(8.0, 16)
@@ -221,19 +223,19 @@ def test_power_of_a_thousand(spark):
     at = list(range(11))
     for _ in range(1000):
         at = [whole[i] for i in at]
-    assert [r.pi for r in runs.power(perm_of(spark, whole), 1000).orderBy("i").collect()] == at
+    assert [r.pi for r in powers.permutation_power(perm_of(spark, whole), 1000).orderBy("i").collect()] == at
 
 
 def test_scalars_of_64_bits(spark):
     large = F.lit((1 << 60) + 1)
     row = spark.range(1).select(
-        scalars.ceil_div(large, F.lit(1)), scalars.ceil_div(F.lit(7), F.lit(2)), scalars.bits_to_bytes(F.lit((1 << 60) + 8)), scalars.max_val(F.lit(64)), scalars.max_val(F.lit(63)), scalars.max_val(F.lit(0)), scalars.mask(F.lit(3), F.lit(2)), scalars.pow2(F.lit(62))
+        scalars.div_up(large, F.lit(1)), scalars.div_up(F.lit(7), F.lit(2)), scalars.bits_to_bytes(F.lit((1 << 60) + 8)), scalars.all_ones(F.lit(64)), scalars.all_ones(F.lit(63)), scalars.all_ones(F.lit(0)), scalars.mask(F.lit(3), F.lit(2)), scalars.pow2(F.lit(62))
     ).first()
     assert list(row) == [(1 << 60) + 1, 4, (1 << 57) + 1, -1, (1 << 63) - 1, 0, 28, 1 << 62]
 
 
 def test_payload_rows_once(spark):
-    move = movetable.move_table(runs.decompose(perm_of(spark, [2, 3, 0, 1])), NO_SPLITTING)
+    move = movetable.move_table(runs.decompose(perm_of(spark, [2, 3, 0, 1])), UNSPLIT)
     given = move.select("seq_id", "interval", F.lit(5).alias("v"))
     assert movetable.attach_payload(move, given).count() == 2
     with pytest.raises(ValueError, match="one row"):
