@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KEY
 
-#: Most bytes of starts and interval numbers (two longs each) that are sent.
-MOST_BYTES = 16 << 20
+#: Most bytes of intervals (sequence, number, start and length, four longs) that are sent.
+MOST_BYTES = 32 << 20
 
 
 def fits(move: DataFrame, most: int = MOST_BYTES) -> bool:
-    """Whether the starts of ``move`` are at most ``most`` bytes, by their count; counting ends where there are too many."""
-    return move.select(KEY).limit(most // 16 + 1).count() <= most // 16
+    """Whether the intervals of ``move`` are at most ``most`` bytes, by their count; counting ends where there are too many."""
+    return move.select(KEY).limit(most // 32 + 1).count() <= most // 32
 
 
 def searched(points: DataFrame, move: DataFrame, at: str) -> DataFrame:
-    """``points`` with interval and off: each sequence's sorted starts are an array, halved until one is left. Points outside have nulls."""
-    ends = F.array_sort(F.collect_list(F.struct("start", "interval", "length")))
-    starts = move.where("length > 0").groupBy(KEY).agg(ends.alias("_starts"))
-    rows = points.join(F.broadcast(starts), KEY, "left")
-    middle = lambda a: F.floor((a["low"] + a["high"] + 1) / 2).cast("int")
-    below = lambda a: F.element_at("_starts", middle(a) + 1)["start"] <= F.col(at)
-    halved = lambda a, _: F.struct(F.when(below(a), middle(a)).otherwise(a["low"]).alias("low"), F.when(below(a), a["high"]).otherwise(middle(a) - 1).alias("high"))
-    steps = F.sequence(F.lit(1), F.length(F.bin(F.size("_starts").cast("long"))))
-    whole = F.struct(F.lit(0).alias("low"), (F.size("_starts") - 1).alias("high"))
-    found = rows.withColumn("_hit", F.element_at("_starts", F.aggregate(steps, whole, halved)["low"] + 1))
-    inside = (F.col(at) >= F.col("_hit.start")) & (F.col(at) < F.col("_hit.start") + F.col("_hit.length"))
-    return found.withColumns({"interval": F.when(inside, F.col("_hit.interval")), "off": F.when(inside, F.col(at) - F.col("_hit.start"))}).drop("_starts", "_hit")
+    """``points`` with interval and off, found in the sorted (seq_id, start) of all intervals. Points outside have nulls.
+
+    ValueError if the number of sequences times the longest domain passes 2**62. The intervals come to the driver and go to all tasks, so callers check with fits.
+    """
+    found = move.where("length > 0").select(*(F.col(c).cast("long") for c in (KEY, "start", "length", "interval"))).toArrow().sort_by([(KEY, "ascending"), ("start", "ascending")])
+    columns = [found.column(c).combine_chunks().to_numpy(zero_copy_only=False) if found.num_rows else np.zeros(0, np.int64) for c in (KEY, "start", "length", "interval")]
+    shared = points.sparkSession.sparkContext.broadcast(columns)
+
+    def search(batches):
+        keys, starts, lengths, intervals = shared.value
+        ids, first = np.unique(keys, return_index=True)
+        span = int((starts + lengths).max()) + 1 if len(starts) else 1
+        if len(ids) * span >= 1 << 62:
+            raise ValueError("positions and sequences are too many for one number")
+        places = np.repeat(np.arange(len(ids)), np.diff(np.append(first, len(keys)))) * span + starts
+        for batch in batches:
+            own, spots = (batch.column(c).cast(pa.int64()) for c in (KEY, at))
+            known = own.is_valid().to_numpy(zero_copy_only=False) & spots.is_valid().to_numpy(zero_copy_only=False)
+            own, spots = own.fill_null(0).to_numpy(), spots.fill_null(0).to_numpy()
+            k = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
+            known &= (spots >= 0) & (spots < span) & (ids[k] == own if len(ids) else False)
+            hit = np.where(known, np.searchsorted(places, k * span + np.where(known, spots, 0), side="right") - 1, -1)
+            hit[hit >= 0] = np.where(keys[hit[hit >= 0]] == own[hit >= 0], hit[hit >= 0], -1) if len(keys) else -1
+            inside = hit >= 0
+            inside[inside] = spots[inside] < starts[hit[inside]] + lengths[hit[inside]]
+            interval, off = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            interval[inside], off[inside] = intervals[hit[inside]], spots[inside] - starts[hit[inside]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(interval, mask=~inside), pa.array(off, mask=~inside)], [*batch.schema.names, "interval", "off"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInArrow(search, f"{schema}, interval long, off long")

@@ -29,7 +29,7 @@ def move_table(runs: DataFrame, params: SplitParams | None = None, domain: DataF
     runs = encode(runs, domain, ranks=False)
     extra = [c for c in runs.columns if c not in (KEY, *BASE)]
     params = params or (UNSPLIT if extra else USUAL)
-    return with_pointers(written(split_runs(runs, params, payload)))
+    return with_pointers(written(split_runs(runs, params, payload)) if params.length_capping is not None else runs)
 
 
 def attach_payload(move: DataFrame, payload: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def locate(points: DataFrame, move: DataFrame, at: str = "idx", strategy: str |
     """``points`` with interval and off of the index in ``at``.
 
     ``strategy`` is "scan" (one ordered pass over points and intervals), "search" (a binary search in the starts, sent to all tasks)
-    or None: a search if the starts are few enough to be sent, by their count.
+    or None: a search if the intervals are few enough to be sent, by their count.
     """
     rest = points.drop("interval", "off")
     if strategy == "search" or strategy is None and lookup.fits(move):

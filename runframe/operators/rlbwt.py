@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabets import alphabet
 from ..model import KEY, UNSPLIT, USUAL, SplitParams
+from ..scratch import written
 from .movetable import move_table
 from .runs import lengths_to_starts
 from .scan import exclusive_sum, exclusive_sums, islands
@@ -60,7 +61,7 @@ def fl_move(rlbwt: DataFrame, params: SplitParams | None = None, codes: bool = F
 
 def _mapped(runs: DataFrame, rlbwt: DataFrame, params: SplitParams | None, codes: bool) -> DataFrame:
     plain = not set(rlbwt.columns) - {KEY, "run", "ch", "length"}
-    move = move_table(runs, params or (USUAL if plain else UNSPLIT))
+    move = move_table(written(runs), params or (USUAL if plain else UNSPLIT))
     return move.join(alphabet(rlbwt, "length").select(KEY, "ch", "code"), [KEY, "ch"]) if codes else move
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..model import KEY
 
 #: Values of the order column in one block.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 
 def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
@@ -120,9 +120,9 @@ def refined(ranges: DataFrame, at: str, intervals: DataFrame, carried: list[str]
     mine = clipped(ranges, at, "length", block).select(KEY, "_block", "_from", F.lit(0).alias("_kind"), F.struct(*carried, (F.col("_from") + F.col("_size")).alias("_end")).alias("_a"))
     other = clipped(intervals, "start", "length", block).select(KEY, "_block", "_from", F.lit(1).alias("_kind"), F.struct(*found, (F.col("_from") + F.col("_size")).alias("_end")).alias("_b"))
     rows = mine.unionByName(other, allowMissingColumns=True)
-    inside = Window.partitionBy(KEY, "_block").orderBy("_from")
-    sofar = inside.rangeBetween(Window.unboundedPreceding, 0)  # rows that start at the same place see each other
-    rows = rows.withColumns({"_a": F.last("_a", ignorenulls=True).over(sofar), "_b": F.last("_b", ignorenulls=True).over(sofar), "_next": F.lead("_from").over(inside.orderBy("_from", "_kind"))})
+    inside = Window.partitionBy(KEY, "_block").orderBy("_from", "_kind")
+    sofar = inside.rowsBetween(Window.unboundedPreceding, 0)  # of two rows that start at one place the second sees both, and the first goes
+    rows = rows.withColumns({"_a": F.last("_a", ignorenulls=True).over(sofar), "_b": F.last("_b", ignorenulls=True).over(sofar), "_next": F.lead("_from").over(inside)})
     end = F.least("_a._end", "_b._end", "_next")  # least passes over a null _next
     rows = rows.where((F.col("_next").isNull() | (F.col("_next") > F.col("_from"))) & (F.col("_a._end") > F.col("_from")) & (F.col("_b._end") > F.col("_from")))
     return rows.select(KEY, "_from", (end - F.col("_from")).alias("_size"), *(F.col(f"_a.{c}").alias(c) for c in carried), F.col("_b").alias("_hit"))

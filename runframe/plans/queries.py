@@ -25,8 +25,8 @@ def _d1(spark, d):
     return inputs.orders_permutation(spark, d)
 
 
-def _d1_move(spark, d):
-    return written(movetable.move_table(runs.decompose(_d1(spark, d)), UNSPLIT))
+def _d1_move(spark, d, perm=None):
+    return written(movetable.move_table(runs.decompose(perm or _d1(spark, d)), UNSPLIT))
 
 
 def _d4(spark, d):
@@ -178,7 +178,8 @@ def q_split_same(spark, d):
 
 
 def q_next(spark, d):
-    perm, move = _d1(spark, d), _d1_move(spark, d)
+    perm = _d1(spark, d)
+    move = _d1_move(spark, d, perm)
     cursors = navigate.locate(perm.select(KEY, "i", F.col("i").alias("idx")), move)
     return navigate.step(cursors, move).select("i", F.col("idx").alias("next_i"), "interval", "off")
 
