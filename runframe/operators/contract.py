@@ -12,7 +12,7 @@ from .powers import merged
 from .scan import BLOCK, clipped, refined
 
 #: Positions for each run of the permutation with which leaving out ends.
-ENOUGH = 8
+ENOUGH = 32
 PIECE = [KEY, "start", "length", "image", "weight", "forced"]
 
 
@@ -48,27 +48,29 @@ def _through(cut: DataFrame) -> DataFrame:
     return rows.select(KEY, F.explode(parts).alias("p"), "forced").select(KEY, "p.*", "forced").where("length > 0").select(*PIECE)
 
 
-def contracted(runs: DataFrame, block: int = BLOCK) -> DataFrame:
+def contracted(runs: DataFrame, block: int = BLOCK, enough: int = ENOUGH) -> DataFrame:
     """(seq_id, start, length, image, weight): a part of the domain with both ends of every interval, and its first returns.
 
-    A piece goes on to ``image`` in ``weight`` steps. In each level those pieces are left out of which a coin says so, and of
-    none that they land in; what landed in them goes on by them, at once to pieces that stay. Sequences with at most ENOUGH
+    A piece goes on to ``image`` in ``weight`` steps. In each level those pieces are left out whose hash is above those of
+    all that they land in and that land in them; what landed in them goes on by them, at once to pieces that stay. Sequences with at most ``enough``
     positions a run are left as they are. Tables have in the order of the runs' rows, however large the domain; there are in the
     order of log(domain / runs) levels, each of one pass over pieces and images.
     """
     state, level = written(_pieces(runs)), 0
     while True:
         sizes = state.groupBy(KEY).agg(F.sum("length").alias("_left"), F.max("_runs").alias("_runs"))
-        sizes = sizes.withColumns({"_open": F.col("_left") > F.col("_runs") * ENOUGH, "_width": F.greatest(F.lit(1), F.floor(F.col("_left") / F.col("_runs") / 2)).cast("long")})
+        sizes = sizes.withColumns({"_open": F.col("_left") > F.col("_runs") * enough, "_width": F.greatest(F.lit(1), F.floor(F.col("_left") / F.col("_runs") / 2)).cast("long")})
         sizes = written(sizes)
         if sizes.where("_open").isEmpty():
             return state.select(*PIECE[:-1])
         even = clipped(state.drop("_runs").join(sizes, KEY), "start", "length", F.col("_width"))
-        coin = F.col("_open") & ~F.col("forced") & (F.pmod(F.xxhash64(KEY, "_from", F.lit(level)), F.lit(2)) == 0)
+        coin = F.when(F.col("_open") & ~F.col("forced"), F.xxhash64(KEY, "_from", F.lit(level)))
         table = written(even.select(KEY, F.col("_from").alias("start"), F.col("_size").alias("length"), (F.col("image") + F.col("_from") - F.col("start")).alias("image"), "weight", "forced", coin.alias("coin")))
         cut = written(refined(table, "image", table, ["start", "image", "weight", "forced", "coin"], ["start", "length", "image", "weight", "coin"], block))
-        out = cut.where("coin").groupBy(KEY, "start").agg(F.max((F.col("_hit.coin") & (F.col("_hit.start") != F.col("start"))).cast("int")).alias("_on")).where("_on = 0")
-        out = out.select(KEY, F.col("start").alias("_out"))
+        other = F.col("_hit.start") != F.col("start")
+        ways = F.array(F.struct("start", F.col("coin").alias("own"), F.when(other, F.col("_hit.coin")).alias("near")), F.struct(F.col("_hit.start").alias("start"), F.col("_hit.coin").alias("own"), F.when(other, F.col("coin")).alias("near")))
+        met = cut.select(KEY, F.explode(ways).alias("w")).select(KEY, "w.*").where("own is not null")
+        out = met.groupBy(KEY, "start").agg(F.max("own").alias("own"), F.max("near").alias("near")).where("near is null or own > near").select(KEY, F.col("start").alias("_out"))
         left = cut.join(out, (cut[KEY] == out[KEY]) & (cut["start"] == out["_out"]), "left_anti").withColumn("_at", F.col("_hit.start"))
         gone = out.withColumnRenamed(KEY, "_key")
         met = left.join(gone, (F.col(KEY) == F.col("_key")) & (F.col("_at") == F.col("_out")), "left")
@@ -77,12 +79,12 @@ def contracted(runs: DataFrame, block: int = BLOCK) -> DataFrame:
         state, level = written(merged(whole, ("weight", "forced"), block).join(sizes.select(KEY, "_runs"), KEY)), level + 1
 
 
-def end_distances(runs: DataFrame, block: int = BLOCK) -> DataFrame:
+def end_distances(runs: DataFrame, block: int = BLOCK, enough: int = ENOUGH) -> DataFrame:
     """(seq_id, i, dist) of the first and last position of each interval: steps to the element whose next is 0.
 
     Needs a permutation of a single cycle for each sequence; ValueError otherwise.
     """
-    small = contracted(runs, block).withColumn("_k", F.explode(F.expr("sequence(0L, length - 1)")))
+    small = contracted(runs, block, enough).withColumn("_k", F.explode(F.expr("sequence(0L, length - 1)")))
     elements = small.select(KEY, (F.col("start") + F.col("_k")).alias("i"), (F.col("image") + F.col("_k")).alias("pi"), "weight")
     found = distances(elements, weight=F.col("weight")).select(KEY, "i", "dist")
     ends = runs.select(KEY, F.explode(F.array_distinct(F.array(F.col("start"), F.col("start") + F.col("length") - 1))).alias("i"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEY, SplitParams
 from ..scratch import written
-from .contract import end_distances
+from .contract import ENOUGH, end_distances
 from .movetable import move_table
 from .navigate import distances
 from .rlbwt import lf, lf_runs
@@ -61,14 +61,14 @@ def check_runs(rlbwt: DataFrame) -> DataFrame:
     return rlbwt
 
 
-def edge_suffixes(rlbwt: DataFrame) -> DataFrame:
+def edge_suffixes(rlbwt: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """(seq_id, run, head, tail, domain): the suffixes of each run's first and last row, from the runs alone.
 
-    LF's interval table is contracted to about as many positions as there are runs, and only those are ranked; no table
+    LF's interval table is contracted to at most ``enough`` positions a run, and only those are ranked; no table
     has a row for each symbol.
     """
     lf = written(lf_runs(check_runs(rlbwt)).select(KEY, "interval", "start", "length", "image"))
-    found = written(end_distances(lf))
+    found = written(end_distances(lf, enough=enough))
     size = lf.groupBy(KEY).agg(F.sum("length").cast("long").alias("domain"))
     last = F.col("start") + F.col("length") - 1
     rows = lf.select(KEY, F.col("interval").alias("run"), F.col("start").alias("i"), last.alias("_last")).join(found.withColumnRenamed("dist", "head"), [KEY, "i"])
@@ -76,14 +76,14 @@ def edge_suffixes(rlbwt: DataFrame) -> DataFrame:
     return rows.join(size, KEY).select(KEY, "run", "head", "tail", "domain")
 
 
-def phi_runs_of(rlbwt: DataFrame) -> DataFrame:
+def phi_runs_of(rlbwt: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """Interval rows of φ from runs alone: a run's first suffix is a start, the last one of the run before its image."""
-    return _placed(edge_suffixes(rlbwt), "head", "tail", -1)
+    return _placed(edge_suffixes(rlbwt, enough), "head", "tail", -1)
 
 
-def phi_inv_runs_of(rlbwt: DataFrame) -> DataFrame:
+def phi_inv_runs_of(rlbwt: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """Interval rows of φ⁻¹ from runs alone: a run's last suffix is a start, the first one of the run after its image."""
-    return _placed(edge_suffixes(rlbwt), "tail", "head", 1)
+    return _placed(edge_suffixes(rlbwt, enough), "tail", "head", 1)
 
 
 def _placed(edges: DataFrame, start: str, image: str, side: int) -> DataFrame:
@@ -92,11 +92,11 @@ def _placed(edges: DataFrame, start: str, image: str, side: int) -> DataFrame:
     return _lengths(rows)
 
 
-def phi_move(rlbwt: DataFrame, params: SplitParams | None = None) -> DataFrame:
+def phi_move(rlbwt: DataFrame, params: SplitParams | None = None, enough: int = ENOUGH) -> DataFrame:
     """Move table of φ from runs alone."""
-    return move_table(phi_runs_of(rlbwt), params)
+    return move_table(phi_runs_of(rlbwt, enough), params)
 
 
-def phi_inv_move(rlbwt: DataFrame, params: SplitParams | None = None) -> DataFrame:
+def phi_inv_move(rlbwt: DataFrame, params: SplitParams | None = None, enough: int = ENOUGH) -> DataFrame:
     """Move table of φ⁻¹ from runs alone."""
-    return move_table(phi_inv_runs_of(rlbwt), params)
+    return move_table(phi_inv_runs_of(rlbwt, enough), params)

@@ -19,6 +19,8 @@ STEPS, LONGEST, FACTOR = 37, 16, 1.0
 LF_STEPS = 5
 #: How often texts are repeated to have few runs.
 REPEATS = 30
+#: Positions a run to which their domain is contracted.
+FEW = 8
 
 
 def _d1(spark, d):
@@ -399,11 +401,11 @@ def _repeats(spark, d):
 
 def q_phi_move_repeats(spark, d):
     """Over repeated part names, where LF's domain is contracted before it is ranked."""
-    return phi.phi_move(_repeats(spark, d), UNSPLIT).select(*MOVE)
+    return phi.phi_move(_repeats(spark, d), UNSPLIT, FEW).select(*MOVE)
 
 
 def q_phi_inv_move_repeats(spark, d):
-    return phi.phi_inv_move(_repeats(spark, d), UNSPLIT).select(*MOVE)
+    return phi.phi_inv_move(_repeats(spark, d), UNSPLIT, FEW).select(*MOVE)
 
 
 def q_phi_next(spark, d, bwt=_bwt):

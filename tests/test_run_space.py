@@ -83,11 +83,11 @@ def test_distances_in_run_space(spark):
     coded = written(rlbwt.run_length_encode(bwt))
     lf = written(rlbwt.lf_runs(coded).select("seq_id", "interval", "start", "length", "image"))
     suffix = {(r.seq_id, r.i): r.sa for r in bwt.collect()}
-    found = contract.end_distances(lf, block).collect()
+    found = contract.end_distances(lf, block, 3).collect()
     assert {(r.seq_id, r.i): r.dist for r in found} == {(r.seq_id, i): suffix[r.seq_id, i] for r in lf.collect() for i in (r.start, r.start + r.length - 1)}
-    sizes = {r.seq_id: (r.n, r.k) for r in contract.contracted(lf, block).groupBy("seq_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()}
+    sizes = {r.seq_id: (r.n, r.k) for r in contract.contracted(lf, block, 3).groupBy("seq_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()}
     runs_of = {r.seq_id: r.n for r in lf.groupBy("seq_id").agg(F.count("*").alias("n")).collect()}
-    assert all(n <= contract.ENOUGH * runs_of[s] for s, (n, _) in sizes.items())
+    assert all(n <= 3 * runs_of[s] for s, (n, _) in sizes.items())
     for a, b in ((phi.phi_runs(bwt), phi.phi_runs_of(coded)), (phi.phi_inv_runs(bwt), phi.phi_inv_runs_of(coded))):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     with pytest.raises(ValueError, match="end mark"):
