@@ -22,7 +22,7 @@ PAIR_BITS, BLOCK_BITS = 24, 12
 #: Routes are dealt by so many bits: the suffixes of one chunk and one of these parts travel as one row.
 ROUTE_BITS = 14
 #: Bytes of text that are split at once, and rows that are sorted at once.
-CHUNK, RUN = 16 << 20, 1 << 20
+CHUNK, RUN = 8 << 20, 1 << 20
 #: Occurrences of a leading pair above which its suffixes are dealt to several tasks, as a power of two.
 HOT_BITS = 20
 UND = "und"
