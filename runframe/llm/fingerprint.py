@@ -15,10 +15,12 @@ from .components import components
 
 #: Symbols of a sampled coordinate, and coordinates that an octave of steps has at most.
 RUN, SAMPLES = 4, 24
-#: Coordinates of a band, whole octaves of a short walk, and coordinates behind a whole octave that leave it only just whole.
-BAND, SHORT, MARGIN = 4, 3, 4
-#: Most coordinates, as a share of the longer fingerprint's, in which near texts differ.
-UNLIKE = 0.6
+#: Independent walks that find near texts (every second one starts at the end of the text), coordinates of each, and symbols of one.
+WALKS, COORDS, STRETCH = 6, 32, 8
+#: Coordinates of a band, one drawn from each equal part of the walk, and bands of a walk.
+BAND, BANDS = 4, 6
+#: Most coordinates of a walk, as a share of all, in which near texts differ.
+UNLIKE = 0.5
 #: Texts of a band with which its others are compared first.
 PIVOTS = 2
 #: Characters that walk together, and rows.
@@ -35,6 +37,21 @@ for _table in _BITS:
     _table[:, 0] = 0
 
 
+_PERIODS = (4_093, 4_099)
+_near = np.random.default_rng(43)
+#: The same for the independent walks: by step, walk and character; and which way each walk goes.
+_MOVES = [_near.integers(0, 2, (period, WALKS, 256)).astype(np.int8) for period in _PERIODS]
+for _table in _MOVES:
+    _table[:, :, 0] = 0
+_WAY = np.where(np.arange(WALKS) % 2 == 0, 1, -1).astype(np.int8)[:, None]
+_POLY = np.uint32(0x01000193)
+#: Least characters of each level: two levels double them. Drawn coordinates of each walk's bands.
+_LEAST = np.ceil(2.0 ** (np.arange(80) / 2)).astype(np.int64)
+_DRAWN = ((np.arange(BAND) + np.random.default_rng(7).random((WALKS, BANDS, BAND))) * COORDS / BAND).astype(np.int64)
+#: A key's last bits name its level and walk.
+_SPOTS = 1_024
+
+
 def walk_steps(n: np.ndarray) -> np.ndarray:
     """Steps of a walk over n characters: two a character in the mean, and more than any walk's deviation from it."""
     n = np.asarray(n, np.int64)
@@ -114,34 +131,77 @@ def likeness(pairs: list[tuple[bytes, bytes]]) -> list[float]:
     return [min(1.0, x) for x in found]
 
 
-def differing(a: bytes, b: bytes) -> int:
-    """Hamming distance of two fingerprints; what one has beyond the other differs."""
-    both = min(len(a), len(b))
-    return max(len(a), len(b)) - int((np.frombuffer(a, np.uint8, both) == np.frombuffer(b, np.uint8, both)).sum())
+def spots(level: int) -> tuple[np.ndarray, int]:
+    """First steps of the coordinates of a level's walks, one drawn from each equal part of the walk, and the symbols of each.
+
+    A level's walks take about two steps a character of its shortest text, and rarely end before that text does.
+    """
+    least = int(_LEAST[level])
+    steps = max(1, 2 * least - 3 * int(least**0.5))
+    run = max(1, min(STRETCH, steps // COORDS))
+    cuts = (steps - run + 1) * np.arange(COORDS + 1) // COORDS
+    return cuts[:-1] + (np.random.default_rng(level).random(COORDS) * np.diff(cuts)).astype(np.int64), run
 
 
-def band_keys(prints: list[bytes]) -> list[list[int]]:
-    """Hashes of bands, BAND neighbouring sampled coordinates each.
+def walk_prints(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, places in ``texts``, WALKS x COORDS bytes of each) of every text, for each of its levels; empty texts have none.
 
-    Bands lie in the last whole octave and behind it, so a passage at the beginning of texts gives them none in common; the
-    octave before has bands too where the last is only just whole, as it may not be whole in a somewhat shorter text.
-    Short walks, with at most SHORT octaves of some size, have bands everywhere.
+    A text has the level of its length, and the one below if it is at most a twelfth longer than that one's texts, so texts of nearly equal
+    length have a level in common. Walks in turn read a level's length from the text's beginning on and from its end back;
+    a level is less than half of an octave, so together they read the whole text. All texts and walks go in lockstep, the longest first.
     """
-    octaves, low, at = [], 4, 1  # (first coordinate, coordinates) of the octaves of a fingerprint
-    longest = max(map(len, prints), default=0)
-    while at <= longest:
-        octaves.append((at, min(SAMPLES, max(1, low // 8))))
-        at += octaves[-1][1]
-        low *= 2
-    found = []
-    for own in prints:
-        whole = [x for x in octaves if x[1] >= SAMPLES // 3 and sum(x) <= len(own)]
-        begin = 0
-        if len(whole) > SHORT:
-            begin = whole[-1][0] if len(own) - sum(whole[-1]) > MARGIN else whole[-2][0]
-        cuts = range(begin, max(begin + 1, len(own) - BAND + 1), BAND) if own else ()
-        found.append([xxhash.xxh64_intdigest(own[i : i + BAND], seed=i) - (1 << 63) for i in cuts])
-    return found
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-n, kind="stable")
+    some = int((n > 0).sum())
+    n = n[order[:some]]
+    if not some:
+        return []
+    codes = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = np.zeros(len(codes) + some + 1, np.uint8)  # the mark 0 stands before and behind every text
+    symbols[np.arange(len(codes)) + np.repeat(np.arange(some), n) + 1] = (codes * _CUT >> np.uint32(20)) % np.uint32(255) + 1
+    begin = np.cumsum(n + 1) - n
+    at = np.where(_WAY > 0, begin, begin + n - 1)
+    found, events, last = {}, {}, np.zeros(some, np.int64)
+    for level in range(int(np.searchsorted(_LEAST, n[0], "right"))):
+        low, high = int((12 * n >= 13 * _LEAST[level + 1]).sum()), int((n >= _LEAST[level]).sum())
+        if low < high:
+            first, run = spots(level)
+            found[level] = (low, high, np.zeros((high - low, WALKS, COORDS), np.uint8))
+            last[low:high] = np.maximum(last[low:high], first[-1] + run)
+            for j, place in enumerate(first.tolist()):
+                events.setdefault(place, []).append((level, j, 0))
+                events.setdefault(place + run, []).append((level, j, run))
+    sums, held, rows, active, turns = np.zeros((WALKS, some), np.uint32), {}, (np.arange(WALKS) * 256)[:, None], some, None
+    for step in range(int(last[0]) + 1):
+        for level, j, run in events.get(step, ()):  # a coordinate is the hash of its symbols: what the sum has gained
+            low, high, out = found[level]
+            if run:
+                gained = sums[:, low:high] - held.pop((level, j)) * np.uint32(pow(int(_POLY), run, 1 << 32))
+                out[:, :, j] = (gained * _CUT >> np.uint32(24)).T
+            else:
+                held[level, j] = sums[:, low:high].copy()
+        while active and last[active - 1] <= step:
+            active -= 1
+        if step % 512 == 0:
+            own = np.arange(step, step + 512)
+            turns = ((_MOVES[0][own % _PERIODS[0]] ^ _MOVES[1][own % _PERIODS[1]]) * _WAY).astype(np.int64).reshape(512, -1)
+        symbol = symbols[at[:, :active]]
+        sums[:, :active] = sums[:, :active] * _POLY + symbol
+        at[:, :active] += turns[step % 512][symbol + rows]
+    return [(level, order[low:high], out) for level, (low, high, out) in found.items()]
+
+
+def band_keys(levels: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Rows of WALKS * BANDS keys: hashes of the drawn coordinates of each walk, with level and walk in the last bits."""
+    keys = np.zeros((len(levels), WALKS, BANDS), np.uint64)
+    for walk in range(WALKS):
+        for band in range(BANDS):
+            drawn = np.ascontiguousarray(prints[:, walk, _DRAWN[walk, band]])
+            keys[:, walk, band] = [xxhash.xxh64_intdigest(x, seed=band) for x in drawn]
+        keys[:, walk] ^= np.uint64(0x9E3779B97F4A7C15) * (levels.astype(np.uint64) * np.uint64(WALKS) + np.uint64(walk))[:, None]
+        keys[:, walk] -= keys[:, walk] % np.uint64(_SPOTS)
+        keys[:, walk] += (levels.astype(np.uint64) * np.uint64(WALKS) + np.uint64(walk))[:, None]
+    return keys.view(np.int64).reshape(len(levels), -1)
 
 
 def _gathered(batches):
@@ -241,48 +301,65 @@ def _node(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _walked(docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, level, print) of the levels of every different text: WALKS * COORDS bytes."""
+
+    def make(batches):
+        for batch in _gathered(batches):
+            nodes = batch.column(0).to_numpy()
+            _, first = np.unique(nodes, return_index=True)
+            texts = batch.column(1).take(pa.array(first)).to_pylist()
+            for level, places, prints in walk_prints(texts):
+                own = pa.array([x.tobytes() for x in prints], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[first[places]], pa.int64()), pa.array(np.full(len(own), level), pa.int32()), own], ["node", "level", "print"])
+
+    kept = docs.select(_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return written(map_batches(kept, make, "node long, level int, print binary").dropDuplicates(["node", "level"]))
+
+
 def _compared(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(a, b, differ, size) of the pairs (a, b) of nodes: coordinates that differ, and those of the longer fingerprint."""
-    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("print").alias("_a")), "a").join(prints.select(F.col("node").alias("b"), F.col("print").alias("_b")), "b")
+    """(a, b, spot, differ) of the pairs (a, b, spot) of nodes: coordinates of the spot's walk that differ."""
+    both = pairs.withColumn("level", F.expr(f"cast(spot div {WALKS} as int)"))
+    for side in "ab":
+        both = both.join(prints.select(F.col("node").alias(side), "level", F.col("print").alias(f"_{side}")), [side, "level"])
+    own = [F.expr(f"substring(_{side}, cast(spot % {WALKS} as int) * {COORDS} + 1, {COORDS})").alias(f"_{side}") for side in "ab"]
 
     def compare(batches):
         for batch in batches:
-            mine, theirs = (batch.column(i).to_pylist() for i in (2, 3))
-            differ = [differing(x, y) for x, y in zip(mine, theirs, strict=True)]
-            size = [max(len(x), len(y)) for x, y in zip(mine, theirs, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ, pa.int64()), pa.array(size, pa.int64())], ["a", "b", "differ", "size"])
+            mine, theirs = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDS) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((mine != theirs).sum(axis=1), pa.int64())], ["a", "b", "spot", "differ"])
 
-    return written(map_batches(both.select("a", "b", "_a", "_b"), compare, "a long, b long, differ long, size long"))
+    return written(map_batches(both.select("a", "b", "spot", *own), compare, "a long, b long, spot long, differ long"))
 
 
 def near_links(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text") -> DataFrame:
     """(a, b) of links between near texts, each text by its node, the hash of the text; empty texts have none.
 
-    Texts that share a band are candidates, and near if their whole fingerprints differ in at most ``unlike`` of the coordinates.
+    Texts that share a band of a walk are candidates, and near if at most ``unlike`` of that walk's coordinates differ.
     Each text of a band is compared with a few pivots: the band's first text, then others of the band's
     largest component. After that, texts of different components are compared, where their distances from the pivots do not
     rule it out: those differ by no more than the texts do. So the links join all texts that any near pair of a band would join.
+    An empty table gives no row; repeated rows are one node; extra columns are not read.
     """
-    prints = fingerprints(docs, text_col, keep=(_node(text_col).alias("node"),)).where("octet_length(print) > 0")
-    prints = written(prints.dropDuplicates(["node"]))
+    most = int(unlike * COORDS)
+    prints = _walked(docs, text_col)
 
     def cut(batches):
         for batch in batches:
-            own = batch.column(1).to_pylist()
-            keys = band_keys(own)
-            rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array([k for x in keys for k in x], pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.fromiter(map(len, own), np.int64, len(own))[rows])], ["key", "node", "n"])
-
-    dealt = map_batches(prints.select("node", "print"), cut, "key long, node long, n long").repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.max("n").alias("most")).where("pivot != top and most > 0").select("key", "pivot")
-    rows, links, joined = written(dealt.join(shared, "key")), None, None
-    prints = written(prints.join(rows.select("node").distinct(), "node", "left_semi"))
+            own = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WALKS, COORDS)
+            keys = band_keys(batch.column(1).to_numpy(), own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], ["key", "node"])
+
+    dealt = map_batches(prints, cut, "key long, node long").repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot != top").select("key", "pivot")
+    rows, links = written(dealt.join(shared, "key").withColumn("spot", F.expr(f"pmod(key, {_SPOTS}L)"))), None
     for turn in range(PIVOTS):
-        told = _compared(rows.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), prints)
-        found = told.where(F.col("differ") <= F.col("size") * unlike).select("a", "b")
+        told = _compared(rows.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "spot").distinct(), prints)
+        found = told.where(F.col("differ") <= most).select("a", "b")
         links = found if links is None else links.unionByName(found)
         joined = components(links)
-        rows = rows.join(told.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("differ").alias(f"d{turn}")), ["pivot", "node"], "left").fillna(0, [f"d{turn}"])  # the pivot is at no distance
+        mark = told.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "spot", F.col("differ").alias(f"d{turn}"))
+        rows = rows.join(mark, ["pivot", "node", "spot"], "left").fillna(0, [f"d{turn}"])  # the pivot is at no distance
         rows = rows.drop("component", "main", "pivot").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = rows.groupBy("key", "component").agg(F.count("*").alias("texts"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
         main = sizes.groupBy("key").agg(F.max(F.struct("texts", "component", "pivot")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
@@ -290,13 +367,13 @@ def near_links(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text")
         if rows.isEmpty():
             return links
     marks = [f"d{turn}" for turn in range(PIVOTS)]
-    strays = rows.where("component != main").select("key", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "component", *marks)))
+    strays = rows.where("component != main").select("key", *(F.col(c).alias(f"_{c}") for c in ("node", "component", *marks)))
     both = (F.col("component") != F.col("_component")) & ((F.col("component") == F.col("main")) | (F.col("_node") < F.col("node")))
     for mark in marks:
-        both &= F.abs(F.col(mark) - F.col(f"_{mark}")) <= F.greatest("n", "_n") * unlike
-    left = strays.join(rows, "key").where(both).select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b"))
+        both &= F.abs(F.col(mark) - F.col(f"_{mark}")) <= most
+    left = strays.join(rows, "key").where(both).select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b"), "spot")
     left = written(left.distinct())
-    return links if left.isEmpty() else links.unionByName(_compared(left, prints).where(F.col("differ") <= F.col("size") * unlike).select("a", "b"))
+    return links if left.isEmpty() else links.unionByName(_compared(left, prints).where(F.col("differ") <= most).select("a", "b"))
 
 
 def near_ids(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

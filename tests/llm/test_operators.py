@@ -283,15 +283,70 @@ def test_walk(rows):
         assert fingerprint.sketch([text])[0] == bytes(want).rstrip(b"\0")
 
 
+def walked_near(text, level, walk):
+    """The coordinates of one independent walk over a text, step by step."""
+    codes = [(ord(c) * 2654435761 % 2**32 >> 20) % 255 + 1 for c in (text if walk % 2 == 0 else text[::-1])] + [0]
+    first, run = fingerprint.spots(level)
+    at, out = 0, []
+    for step in range(int(first[-1]) + run):
+        out.append(codes[at])
+        at += int(fingerprint._MOVES[0][step % 4093][walk][codes[at]] ^ fingerprint._MOVES[1][step % 4099][walk][codes[at]])
+    found = []
+    for place in first.tolist():
+        total = 0
+        for symbol in out[place : place + run]:
+            total = (total * 0x01000193 + symbol) % 2**32
+        found.append((total * 2654435761 % 2**32) >> 24)
+    return found
+
+
+def test_near_walks():
+    """Every walk of every level by itself, though all go in lockstep; texts of nearly equal length have a level in common."""
+    given = [t for t in texts() if t and len(t) < 4000] + ["a", "ab", "é\U0001f600x", "abc " * 90]
+    found = {}
+    for level, places, prints in fingerprint.walk_prints(["", *given]):
+        for place, own in zip(places.tolist(), prints, strict=True):
+            found[place, level] = own
+    for i, text in enumerate(given, 1):
+        least = [level for place, level in found if place == i]
+        assert max(least) == max(k for k in range(60) if fingerprint._LEAST[k] <= len(text))
+        for level in least:
+            assert found[i, level].tolist() == [walked_near(text, level, walk) for walk in range(fingerprint.WALKS)]
+    levels = [set() for _ in range(1500)]
+    for level, places, _ in fingerprint.walk_prints(["x" * n for n in range(1, 1501)]):
+        for place in places.tolist():
+            levels[place].add(level)
+    assert all(levels[n - 1] & levels[n + n // 12 - 1] for n in range(1, 1380)) and fingerprint.walk_prints(["", ""]) == fingerprint.walk_prints([]) == []
+
+
 def test_near_links(docs):
-    """All texts that share a band and whose fingerprints are near are joined, and no others."""
-    prints = {r.node: bytes(r.print) for r in fingerprint.fingerprints(docs, keep=(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"),)).collect()}
-    keys = {n: set(k) for n, k in zip(prints, fingerprint.band_keys(list(prints.values())), strict=True)}
-    want = [(a, b) for a in prints for b in prints if a < b and keys[a] & keys[b] and fingerprint.differing(prints[a], prints[b]) <= fingerprint.UNLIKE * max(len(prints[a]), len(prints[b]))]
+    """All texts that share a band of a walk that is near are joined, and no others."""
+    given = {r.node: r.text for r in docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text")).collect()}
+    nodes, prints, keys = list(given), {}, {}
+    for level, places, found in fingerprint.walk_prints([given[n] for n in nodes]):
+        for place, own, row in zip(places.tolist(), found, fingerprint.band_keys(np.full(len(places), level), found), strict=True):
+            prints[nodes[place], level] = own
+            keys.setdefault(nodes[place], set()).update(row.tolist())
+    want = []
+    for a in keys:
+        for b in keys:
+            spots = {divmod(k % 1024, fingerprint.WALKS) for k in keys[a] & keys[b]} if a < b else ()
+            if any((prints[a, level][walk] != prints[b, level][walk]).sum() <= fingerprint.UNLIKE * fingerprint.COORDS for level, walk in spots):
+                want.append((a, b))
     got = [(r.a, r.b) for r in fingerprint.near_links(docs).collect()]
     assert want and joined(got) == joined(want) and {tuple(sorted(x)) for x in got} <= set(want)
 
 
+def test_near_ids_of_odd_rows(spark):
+    """Nulls, empty and repeated texts, a null id, clashing extra columns, one very long text, and no rows at all."""
+    long = "".join(chr(97 + i * i * 7 % 26) for i in range(300_000))
+    given = [(1, None), (2, ""), (3, "the same text"), (4, "the same text"), (None, "the same text"), (5, long), (6, long[:150_000] + "?" + long[150_000:])]
+    frame = spark.createDataFrame(given, "doc_id long, text string").select("*", F.lit(0).alias("node"), F.lit("").alias("_text"), F.lit(1).alias("level"), F.lit(1).alias("a.b"))
+    found = {r.doc_id: r.near_id for r in fingerprint.near_ids(frame).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 3, None: 3, 5: 5, 6: 5}
+    assert fingerprint.near_ids(frame.limit(0)).count() == 0
+
+
 def test_near_recall(spark, docs):
     """Texts of 200 characters or more within 30 edits, by brute force, and the share of them that have one near_id."""
     near = {r.doc_id: r.near_id for r in fingerprint.near_ids(docs.where("doc_id != 3")).collect()}
