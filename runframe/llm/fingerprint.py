@@ -24,7 +24,7 @@ UNLIKE = 0.5
 #: Texts of a band with which its others are compared first.
 PIVOTS = 2
 #: Characters that walk together, and rows.
-CHUNK, ROWS = 16_000_000, 4_096
+CHUNK, ROWS = 4_000_000, 4_096
 #: Ordered ranges of ids that are put side by side to find each document's next one.
 RANGES = 4_096
 
