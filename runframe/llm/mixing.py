@@ -11,12 +11,12 @@ from .common import quoted, table, written
 #: Weights of the sources in code point order (null last), repeating, and the most times a source is used.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Words of a block, blocks of an output shard, and parts into which a source's offsets are summed.
+#: Words of a block, blocks of an output shard, and least parts into which a source's offsets are summed.
 BLOCK, SHARD_BLOCKS, PARTS = 128, 1_024, 1_024
-#: Of so many shards one closes the gap between the draws and the targets.
-CLOSING = 4
-#: Cells of (0, 1) by which draws meet the sources' intervals, and blocks that one window orders.
+#: Cells by which positions meet the sources' intervals, and blocks or documents that one window orders.
 GRID, SORTED = 4_096, 65_536
+#: Primes by which the slots to be drawn anew are permuted; one of them is coprime to their number.
+PRIMES = (1_000_003, 1_000_033)
 SEED = 20
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,39 +42,50 @@ def targets(sizes: DataFrame) -> DataFrame:
     return levels.select("source", "source_size", "rank", target.alias("target"))
 
 
-def _hash_share(*parts: Column) -> Column:
-    """A pseudorandom number in (0, 1)."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+def _dealt(positions: DataFrame, shares: DataFrame, total: int) -> DataFrame:
+    """``positions`` (pos, from 0 below ``total``) with the source of ``shares`` (rank, slots, more) in whose interval each lies.
+
+    Intervals follow each other in the order of rank and are as long as their slots, ``total`` in all.
+    """
+    high = F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))  # one row a source
+    ends = shares.withColumn("high", high).withColumn("low", F.col("high") - F.col("slots"))
+    cells = ends.withColumn("cell", F.explode(F.expr(f"sequence(low * {GRID}L div {total}L, (high - 1) * {GRID}L div {total}L)")))
+    met = positions.withColumn("cell", F.expr(f"pos * {GRID}L div {total}L")).join(cells.hint("merge"), "cell")
+    return met.where("pos >= low and pos < high").drop("cell", "low", "high", "pos")
 
 
 def shard_slots(sources: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """(rank, blocks, shard, base, n): the slots base to base + n - 1 of a source that an output shard has.
 
-    Each slot of an open shard draws its source with the odds of the targets, so a shard's counts are multinomial.
-    What a source draws beyond its target goes back, and the closing shards (one in CLOSING, at least one) share what each
-    source then lacks, so every source ends with its target, rounded to a block, and no slot is lost.
+    Each slot of each shard draws its source with the odds of the targets, so a shard's counts are multinomial. What a source
+    draws beyond its target is given back, by each shard in proportion to what it drew, and these slots draw
+    anew, without replacement, from what the other sources lack. So every source ends with its target, rounded to a block, no slot is lost,
+    and the shards are alike, however many there are.
     """
     blocks = F.ceil(F.col("source_size") / block).cast("long")
-    own = sources.where("source_size > 0").select("rank", blocks.alias("blocks"), F.round(F.col("target") * blocks / F.col("source_size")).cast("long").alias("slots")).where("slots > 0")
-    share = F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("slots").over(Window.partitionBy())  # one row a source
-    own = own.withColumn("to", share)
-    own = written(own.withColumn("from", F.lag("to", 1, 0.0).over(Window.orderBy("rank"))))
-    shards = -(-(own.agg(F.sum("slots")).first()[0] or 0) // shard_blocks)
-    closing = -(-shards // CLOSING)
-    cells = F.expr(f"sequence(cast(floor(from * {GRID}) as int), cast(floor(to * {GRID}) as int))")
-    places = own.select("rank", "blocks", "slots", "from", "to", F.explode(cells).alias("cell"))
-    draws = own.sparkSession.range((shards - closing) * shard_blocks).select(F.expr(f"id div {shard_blocks}").alias("shard"), _hash_share("id", F.lit(SEED)).alias("u"))
-    draws = draws.withColumn("cell", F.floor(F.col("u") * GRID).cast("int")).join(places.hint("merge"), "cell").where("u >= from and u < to")
-    drawn = draws.groupBy("rank", "blocks", "slots", "shard").agg(F.count("*").alias("n"))
-    drawn = exclusive_sum(drawn, ["rank"], "shard", F.col("n"), "base")
-    drawn = written(drawn.withColumn("n", F.least("n", F.col("slots") - F.col("base"))).where("n > 0").select("rank", "blocks", "shard", "base", "n"))
-    done = drawn.groupBy("rank").agg(F.sum("n").alias("done"))
-    lack = own.join(done, "rank", "left").select("rank", "blocks", "slots", F.coalesce("done", F.lit(0)).alias("done")).where("slots > done")
-    groups = lack.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(max(0, closing - 1) // GRID)))).repartition("rank", "g")
-    last = groups.withColumn("j", F.explode(F.expr(f"sequence(g * {GRID}L, least((g + 1) * {GRID}L, {max(1, closing)}L) - 1)")))
-    low, high = (F.floor((F.col("slots") - F.col("done")) * (F.col("j") + i) / max(1, closing)).cast("long") for i in (0, 1))
-    last = last.select("rank", "blocks", (F.col("j") + (shards - closing)).alias("shard"), (F.col("done") + low).alias("base"), (high - low).alias("n")).where("n > 0")
-    return drawn.unionByName(last)
+    own = sources.where("source_size > 0").select("rank", blocks.alias("blocks"), F.round(F.col("target") * blocks / F.col("source_size")).cast("long").alias("slots"))
+    own = written(own.where("slots > 0"))
+    total = own.agg(F.sum("slots")).first()[0] or 0
+    draws = own.sparkSession.range(total).select(F.expr(f"id div {shard_blocks}").alias("shard"), F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(1, total))).alias("pos"))
+    drawn = _dealt(draws, own, max(1, total)).groupBy("rank", "blocks", "slots", "shard").agg(F.count("*").alias("n"))
+    drawn = written(exclusive_sum(drawn, ["rank"], "shard", F.col("n"), "base"))
+    sums = drawn.groupBy("rank").agg(F.sum("n").alias("drawn"))
+    given = drawn.join(sums, "rank").withColumn("back", F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)))
+    given = given.withColumns({"before": F.expr("base * back div drawn"), "after": F.expr("(base + n) * back div drawn")})
+    kept = given.select("rank", "blocks", "shard", (F.col("base") - F.col("before")).alias("base"), (F.col("n") - F.col("after") + F.col("before")).alias("n"), (F.col("after") - F.col("before")).alias("back"))
+    kept = written(kept)
+    anew = kept.groupBy("shard").agg(F.sum("back").alias("n")).where("n > 0").withColumn("all", F.lit(0))
+    anew = exclusive_sum(anew, ["all"], "shard", F.col("n"), "first")
+    lack = own.join(sums, "rank", "left").withColumn("done", F.coalesce("drawn", F.lit(0))).select("rank", "blocks", (F.col("slots") - F.col("done")).alias("slots"), "done").where("slots > 0")
+    left = kept.agg(F.sum("back")).first()[0] or 0
+    kept = kept.where("n > 0").drop("back")
+    if not left:
+        return kept
+    prime = next(x for x in PRIMES if left % x)
+    units = anew.select("shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("pos")).withColumn("pos", F.expr(f"pos * {prime}L % {left}L"))
+    filled = _dealt(units, lack, left).groupBy("rank", "blocks", "done", "shard").agg(F.count("*").alias("n"))
+    filled = exclusive_sum(filled, ["rank"], "shard", F.col("n"), "base")
+    return kept.unionByName(filled.select("rank", "blocks", "shard", (F.col("done") + F.col("base")).alias("base"), "n"))
 
 
 def block_uses(sources: DataFrame, blocks: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
@@ -108,7 +119,8 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     """
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
-    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(PARTS)).cast("int")))
+    many = max(PARTS, docs.count() // SORTED)
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(many)).cast("int")))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
     sources = written(targets(parts.groupBy("source").agg(F.sum("words").alias("source_size"))))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -232,6 +232,43 @@ def test_mixing(docs, rows, shard_blocks):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, pieces.collect()))
 
 
+@pytest.mark.parametrize("shard_blocks", [4096, 500, 50])
+def test_shards_are_drawn(spark, shard_blocks):
+    """Each source's slots are dealt once and whole, and counts of every shard, of one, three or 31, are near a multinomial's."""
+    given = [(f"s{i}", n, i, float(t)) for i, (n, t) in enumerate([(9000, 6400), (5000, 4000), (400, 1100), (0, 0), (30, 8)])]
+    sources = spark.createDataFrame(given, "source string, source_size long, rank int, target double")
+    slots = mixing.shard_slots(sources, 8, shard_blocks).collect()
+    want = {i: round(t * -(-n // 8) / n) for _, n, i, t in given if n}
+    total = sum(want.values())
+    for rank, n in want.items():
+        assert sorted(k for r in slots if r["rank"] == rank for k in range(r.base, r.base + r.n)) == list(range(n))
+    spread = 0.0
+    for shard in range(-(-total // shard_blocks)):
+        size = min(shard_blocks, total - shard * shard_blocks)
+        assert sum(r.n for r in slots if r.shard == shard) == size
+        for rank, n in want.items():
+            p, found = n / total, sum(r.n for r in slots if r["rank"] == rank and r.shard == shard)
+            assert abs(found - size * p) <= 5 * (size * p * (1 - p)) ** 0.5 + 2
+            spread += abs(found - size * p)
+    assert spread > 0 or shard_blocks > total
+
+
+def test_mixing_query(spark):
+    """The query's own columns, on the given table: sizes by brute force, and targets met."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()}
+    found = mixing.op6_mixing(spark, DATA).collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    size = {i: len(WORDS.findall(r.text or "")) for i, r in docs.items()}
+    whole, taken = {}, {}
+    for i, r in docs.items():
+        whole[r.source] = whole.get(r.source, 0) + size[i]
+    for r in found:
+        assert r.size == size[r.doc_id] and r.source_size == whole[docs[r.doc_id].source] and 0 <= r.taken <= mixing.MOST * r.size
+        taken.setdefault(docs[r.doc_id].source, [0, r.target])[0] += r.taken
+    for source, (n, target) in taken.items():
+        assert abs(n - target) <= 2 * mixing.BLOCK + 0.02 * target, source
+
+
 def test_mix_stage(spark, docs):
     found = mixing.mix_stage(spark, docs, DATA)
     assert found.columns == docs.columns and found.count() > 0
