@@ -25,8 +25,9 @@ UNLIKE = 0.5
 PIVOTS = 2
 #: Characters that walk together, and rows.
 CHUNK, ROWS = 4_000_000, 4_096
-#: Ordered ranges of ids that are put side by side to find each document's next one.
-RANGES = 4_096
+#: Ordered ranges of ids that are put side by side to find each document's next one (a power of two), least rows of one
+#: in the mean, and ids from which their bounds are taken.
+RANGES, RANGE_ROWS, RANGE_IDS = 4_096, 64, 65_536
 
 _CUT = np.uint32(2654435761)
 _TURNS = 4_096
@@ -224,6 +225,29 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _bounds(rows: DataFrame) -> list[int]:
+    """Ascending ids that part the rows in at most RANGES ranges of about as many rows, whatever gaps the ids have.
+
+    They come from ids taken by hash, RANGE_IDS of them in the mean; they only decide which task has a row.
+    """
+    total = rows.count()
+    taken = rows if total <= RANGE_IDS else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("range")), F.lit(total)) < RANGE_IDS)
+    ids = np.sort(taken.select("doc_id").dropna().distinct().toArrow().column("doc_id").combine_chunks().to_numpy())
+    count = min(RANGES, total // RANGE_ROWS + 1)
+    return np.unique(ids[len(ids) * np.arange(1, count) // count]).tolist() if len(ids) else []
+
+
+def _range_of(id_col: str, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most the id, by binary search; -1 for a null id."""
+    if not bounds:
+        return F.when(F.col(id_col).isNull(), -1).otherwise(0)
+    width = 1 << (len(bounds).bit_length() - 1)
+    steps = ", ".join(str(width >> k) for k in range(width.bit_length()))
+    known = f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)"
+    search = f"aggregate(array({steps}), 0, (at, s) -> if(at + s <= {len(bounds)} and get({known}, least(at + s, {len(bounds)}) - 1) <= {id_col}, at + s, at))"
+    return F.when(F.col(id_col).isNull(), -1).otherwise(F.expr(search))
+
+
 def side_by_side(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(_range, _tail, doc_id, _text), dealt and sorted by range so that each row's next one follows it.
 
@@ -231,10 +255,7 @@ def side_by_side(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     the range before it, so no task needs another's rows; only one row a range goes twice.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // RANGES + 1
-    rows = rows.withColumn("_range", F.coalesce(F.expr(f"cast((doc_id - {low}L) div {width}L as int)"), F.lit(-1)))
+    rows = rows.withColumn("_range", _range_of("doc_id", _bounds(rows)))
     first = [(r["_range"], r["id"]) for r in rows.groupBy("_range").agg(F.min("doc_id").alias("id")).orderBy("_range").collect()]  # RANGES + 1 rows at most
     tails = docs.sparkSession.createDataFrame([(i, first[k - 1][0]) for k, (_, i) in enumerate(first)], "_first long, _before int")
     rows = rows.join(F.broadcast(tails), F.col("doc_id").eqNullSafe(F.col("_first")), "left")
