@@ -98,7 +98,7 @@ def sketch(texts: list[str]) -> list[bytes]:
     at = np.cumsum(lengths[:some] + 1) - lengths[:some] - 1
     first, _ = places(int(steps[0]))
     out = np.zeros((some, len(first)), np.uint8)
-    active, turn, step = some, None, 0
+    symbol, move, active, turn, step = np.zeros(some, np.uint8), np.zeros(some, np.int64), some, None, 0
     for j, place in enumerate(first.tolist()):
         total = None
         while step < place + RUN:
@@ -107,10 +107,12 @@ def sketch(texts: list[str]) -> list[bytes]:
                 turn = _BITS[0][own % len(_BITS[0])] ^ _BITS[1][own % len(_BITS[1])]
             while steps[active - 1] <= step:
                 active -= 1
-            symbol = symbols[at[:active]]
+            own_at, here, by = at[:active], symbol[:active], move[:active]
+            symbols.take(own_at, out=here, mode="clip")
             if step >= place:
-                total = symbol.astype(np.uint32) if total is None else total[:active] * np.uint32(0x01000193) + symbol
-            at[:active] += turn[step % _TURNS][symbol]
+                total = here.astype(np.uint32) if total is None else total[:active] * np.uint32(0x01000193) + here
+            turn[step % _TURNS].take(here, out=by, mode="clip")
+            own_at += by
             step += 1
         out[:active, j] = (total[:active] * _CUT >> np.uint32(24)).astype(np.uint8)
     counts = np.searchsorted(first + RUN, steps[:some], side="right")
@@ -161,7 +163,6 @@ def walk_prints(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
     symbols = np.zeros(len(codes) + some + 1, np.uint8)  # the mark 0 stands before and behind every text
     symbols[np.arange(len(codes)) + np.repeat(np.arange(some), n) + 1] = (codes * _CUT >> np.uint32(20)) % np.uint32(255) + 1
     begin = np.cumsum(n + 1) - n
-    at = np.where(_WAY > 0, begin, begin + n - 1)
     found, events, last = {}, {}, np.zeros(some, np.int64)
     for level in range(int(np.searchsorted(_LEAST, n[0], "right"))):
         low, high = int((12 * n >= 13 * _LEAST[level + 1]).sum()), int((n >= _LEAST[level]).sum())
@@ -170,25 +171,33 @@ def walk_prints(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
             found[level] = (low, high, np.zeros((high - low, WALKS, COORDS), np.uint8))
             last[low:high] = np.maximum(last[low:high], first[-1] + run)
             for j, place in enumerate(first.tolist()):
-                events.setdefault(place, []).append((level, j, 0))
-                events.setdefault(place + run, []).append((level, j, run))
-    sums, held, rows, active, turns = np.zeros((WALKS, some), np.uint32), {}, (np.arange(WALKS) * 256)[:, None], some, None
+                events.setdefault(place, []).append((level, j, True))
+                events.setdefault(place + run, []).append((level, j, False))
+    at = np.where(_WAY.T > 0, begin[:, None], (begin + n - 1)[:, None]).ravel()  # the walks of a text stand together
+    rows = np.tile(np.arange(WALKS) * 256, some)
+    symbol, spot, move = np.zeros(len(at), np.uint8), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    sums, active, turns = {}, some, None
     for step in range(int(last[0]) + 1):
-        for level, j, run in events.get(step, ()):  # a coordinate is the hash of its symbols: what the sum has gained
+        for level, j, opens in events.get(step, ()):  # a coordinate is the hash of its symbols
             low, high, out = found[level]
-            if run:
-                gained = sums[:, low:high] - held.pop((level, j)) * np.uint32(pow(int(_POLY), run, 1 << 32))
-                out[:, :, j] = (gained * _CUT >> np.uint32(24)).T
+            if opens:
+                sums[level, j] = np.zeros((high - low) * WALKS, np.uint32)
             else:
-                held[level, j] = sums[:, low:high].copy()
+                out[:, :, j] = (sums.pop((level, j)) * _CUT >> np.uint32(24)).reshape(-1, WALKS)
         while active and last[active - 1] <= step:
             active -= 1
         if step % 512 == 0:
             own = np.arange(step, step + 512)
             turns = ((_MOVES[0][own % _PERIODS[0]] ^ _MOVES[1][own % _PERIODS[1]]) * _WAY).astype(np.int64).reshape(512, -1)
-        symbol = symbols[at[:, :active]]
-        sums[:, :active] = sums[:, :active] * _POLY + symbol
-        at[:, :active] += turns[step % 512][symbol + rows]
+        some_at, here, there, by = (x[: active * WALKS] for x in (at, symbol, spot, move))
+        symbols.take(some_at, out=here, mode="clip")
+        for (level, _), total in sums.items():
+            low, high, _ = found[level]
+            total *= _POLY
+            total += here[low * WALKS : high * WALKS]
+        np.add(here, rows[: len(here)], out=there)
+        turns[step % 512].take(there, out=by, mode="clip")
+        some_at += by
     return [(level, order[low:high], out) for level, (low, high, out) in found.items()]
 
 
