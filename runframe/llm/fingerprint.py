@@ -291,13 +291,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str | Colu
     return map_batches(kept, make, f"{schema}, print binary")
 
 
-def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row: its fingerprint (hex), that of its edited text, and their likeness.
-
-    Rows are in the order of id (null first), then text; the last one's next is the first. Null texts
-    are empty; an empty text has the empty fingerprint, which is like another empty one only. A single row is its own next. An empty table
-    gives no row; extra columns go.
-    """
+def _compared_with_next(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """What compare_with_next gives, in bytes, which take half the room in a shuffle."""
 
     def walk(batches):
         held = None  # the last row of the batch before, whose next one is still to come
@@ -314,9 +309,9 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
                 [
                     pa.array([ids[i] for i in at], pa.int64()),
                     pa.array([len(texts[i]) for i in at], pa.int64()),
-                    pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in after], pa.string()),
-                    pa.array([own[i].hex() for i in at], pa.string()),
-                    pa.array([x.hex() for x in theirs], pa.string()),
+                    pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in after], pa.binary()),
+                    pa.array([own[i] for i in at], pa.binary()),
+                    pa.array(theirs, pa.binary()),
                     pa.array(likeness([(own[i], x) for i, x in zip(at, theirs, strict=True)]), pa.float64()),
                     pa.array(likeness([(own[i], own[i + 1]) for i in at]), pa.float64()),
                 ],
@@ -324,7 +319,21 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
             )
             yield from out.to_batches()
 
-    return map_batches(side_by_side(docs, text_col, id_col), walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_batches(side_by_side(docs, text_col, id_col), walk, "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
+
+
+def _in_hex(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
+def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row: its fingerprint (hex), that of its edited text, and their likeness.
+
+    Ids are cast to long. Rows are in the order of id (null first), then text; the last one's next is the first. Null texts
+    are empty; an empty text has the empty fingerprint, which is like another empty one only. A single row is its own next. An empty table
+    gives no row; extra columns go; repeated rows have a result each, and rows of one id are one task's.
+    """
+    return _in_hex(_compared_with_next(docs, text_col, id_col))
 
 
 def _node(text_col: str) -> Column:
@@ -423,5 +432,5 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and the smallest id among each document's near texts."""
     docs = table(spark, sf_dir, "documents")
     near = near_ids(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("near_id").alias("near_id"))
-    found = compare_with_next(docs)
-    return found.join(near, found["doc_id"].eqNullSafe(near["_id"]), "left").select(*found.columns, "near_id")
+    found = _compared_with_next(docs, "text", "doc_id")
+    return _in_hex(found.join(near, found["doc_id"].eqNullSafe(near["_id"]), "left").select(*found.columns, "near_id"))
