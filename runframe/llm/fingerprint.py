@@ -392,6 +392,8 @@ def near_links(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text")
     dealt = map_batches(prints, cut, "key long, node long").repartition("key")
     shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot != top").select("key", "pivot")
     rows, links = written(dealt.join(shared, "key").withColumn("spot", F.expr(f"pmod(key, {_SPOTS}L)"))), None
+    met = rows.select("node", F.expr(f"cast(spot div {WALKS} as int)").alias("level")).distinct()
+    prints = written(prints.join(met, ["node", "level"], "left_semi"))  # the others are compared with none
     for turn in range(PIVOTS):
         told = _compared(rows.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "spot").distinct(), prints)
         found = told.where(F.col("differ") <= most).select("a", "b")
