@@ -19,8 +19,12 @@ from .common import fold, map_batches, table, written
 
 #: Most labelled rows that training reads, in expectation (rows are taken by a hash of their id).
 MAX_TRAIN_ROWS = 20_000
-#: Most words of the learnt lexicon, and the least documents and z-score of a word in it.
+#: Most words of the learnt lexicon, and the least documents (also of a tree's leaf) and z-score of a word in it.
 MAX_LEXICON, LEAST_DOCS, LEAST_Z = 2_000, 5, 5.0
+#: Characters of the beginnings and of the ends of words that the lexicon may hold, most of them, and the least log-odds of one.
+BEGINS, ENDS, MAX_PARTS, LEAST_ODDS = (3, 8), (3, 6), 2_000, 3.0
+#: Different words whose parts a task remembers.
+MEMO = 200_000
 TREES, DEPTH, STEP = 30, 3, 0.2
 #: Words on either side of a lexicon word in which a second-person word counts as near.
 NEAR = 5
@@ -32,18 +36,28 @@ SECOND_PERSON = ("du", "dein", "dich", "dir", "euch", "te", "ti", "toi", "tu", "
 # Signs put in place of letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": ""})
 
-FEATURES = ("lex_rate", "lex_hits", "lex_kinds", "lex_weight", "near_rate", "near_any", "capitals", "all_caps", "exclaim", "punctuation", "odd_words", "odd_hits", "words")
+FEATURES = ("lex_rate", "lex_hits", "lex_kinds", "lex_weight", "near_rate", "near_any", "capitals", "all_caps", "exclaim", "punctuation", "odd_words", "odd_hits", "words", "part_rate", "part_hits", "part_kinds", "part_weight", "part_top")
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$|-_"
 _ODD = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_]+")
 _CAPS = re.compile(r"\b[A-Z]{3,}\b")
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """Dense features of a whole text; null counts as empty, and an empty text has zeros."""
-    text = text or ""
+def parts(word: str) -> list[str]:
+    """Beginnings and ends of a word, told apart from words and each other by a space where the word begins or ends."""
+    n = len(word)
+    return [" " + word[:k] for k in range(BEGINS[0], min(BEGINS[1], n) + 1)] + [word[-k:] + " " for k in range(ENDS[0], min(ENDS[1], n) + 1)]
+
+
+def features(text: str | None, lexicon: dict[str, float], memo: dict[str, float] | None = None) -> list[float]:
+    """Dense features of a whole text; null counts as empty, and an empty text has zeros. ``memo`` keeps the log-odds of words by their parts."""
+    text, memo = text or "", {} if memo is None else memo
     words = text.lower().split()
     n = max(1, len(words))
-    hits = [(i, w) for i, w in enumerate(x.strip(_EDGE) for x in words) if w in lexicon]
+    bare = [x.strip(_EDGE) for x in words]
+    hits = [(i, w) for i, w in enumerate(bare) if w in lexicon]
+    for w in set(bare).difference(memo):
+        memo[w] = max((lexicon[x] for x in parts(w) if x in lexicon), default=0.0)
+    formed = [w for w in bare if memo[w]]
     near = sum(1 for i, _ in hits if any(w.strip(_EDGE) in SECOND_PERSON for w in words[max(0, i - NEAR) : i + NEAR + 1]))
     odd = [m.group().lower() for m in _ODD.finditer(text)]
     hidden = sum(1 for w in odd if w.translate(LOOKALIKES) in lexicon)
@@ -55,6 +69,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         (len(hits) + hidden) / n, math.log1p(len(hits) + hidden), float(len({w for _, w in hits})), weight,
         near / n, float(near > 0), int(raw[65:91].sum()) / size, len(_CAPS.findall(text)) / n, int(raw[33]) / size, signs / size,
         len(odd) / n, float(hidden), math.log1p(len(words)),
+        len(formed) / n, math.log1p(len(formed)), float(len(set(formed))), sum(memo[w] for w in formed), max((memo[w] for w in formed), default=0.0),
     ]
 
 
@@ -64,29 +79,47 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "t
     kept = docs.select(*keep, F.col(text_col).alias("_text"))
 
     def make(batches):
+        memo = {}
         for batch in batches:
-            rows = np.array([features(x, shared.value) for x in batch.column(batch.num_columns - 1).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
+            if len(memo) > MEMO:
+                memo.clear()
+            rows = np.array([features(x, shared.value, memo) for x in batch.column(batch.num_columns - 1).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], [*batch.schema.names[:-1], *FEATURES])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"{x} double" for x in FEATURES]
     return map_batches(kept, make, ", ".join(schema))
 
 
+def _parts(word: Column) -> Column:
+    begins, ends = (F.sequence(F.lit(low), F.least(F.lit(high), F.length(word))) for low, high in (BEGINS, ENDS))
+    return F.concat(F.transform(begins, lambda k: F.concat(F.lit(" "), F.left(word, k))), F.transform(ends, lambda k: F.concat(F.right(word, k), F.lit(" "))))
+
+
+def _x_log_x(x: Column) -> Column:
+    return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+
 def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
-    """Words with their log-odds: the fixed ones, and those far more frequent in documents with label 1.
+    """Words with their log-odds: the fixed ones, and those far more frequent in documents with label 1; likewise beginnings and ends of words (``parts``).
 
-    Document frequencies per class are summed by Spark; at most MAX_LEXICON words come back.
+    The z-score is the root of the likelihood ratio of a word's table of documents, which holds for rare words and for those that no
+    document with label 0 has. Document frequencies per class are summed by Spark; at most MAX_LEXICON words and MAX_PARTS parts come back.
     """
     clean = F.regexp_replace(F.lower(text_col), r"[^\p{L}\p{N}@$*!']+", " ")
-    words = labelled.select(F.col(label_col).cast("int").alias("y"), F.explode(F.array_distinct(F.split(clean, " "))).alias("w"))
+    words = F.filter(F.transform(F.split(clean, " "), lambda w: F.btrim(w, F.lit("$*!'"))), lambda w: F.length(w) >= 3)
+    rows = labelled.select(F.col(label_col).cast("int").alias("y"), F.array_distinct(words).alias("ws"))
+    words = rows.select("y", F.explode(F.array_distinct(F.concat("ws", F.flatten(F.transform("ws", _parts))))).alias("w"))
     sizes = {r["y"]: r["n"] for r in labelled.groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
-    a, b = F.sum(F.col("y")), F.sum(1 - F.col("y"))
-    odds = F.log((F.col("a") + 0.5) / (ones - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (zeros - F.col("b") + 0.5))
-    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = words.where("length(w) >= 3").groupBy("w").agg(a.alias("a"), b.alias("b")).withColumns({"odds": odds, "z": odds / spread})
-    best = best.where((F.col("a") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "w").limit(MAX_LEXICON)
-    return {w: 2.0 for w in SEED_WORDS} | {r["w"].strip(_EDGE): float(r["odds"]) for r in best.collect()}
+    a, b = F.col("a"), F.col("b")
+    odds = F.log((a + 0.5) / (ones - a + 0.5)) - F.log((b + 0.5) / (zeros - b + 0.5))
+    cells = sum(map(_x_log_x, (a, b, ones - a, zeros - b)), _x_log_x(F.lit(ones + zeros)))
+    ratio = cells - sum(map(_x_log_x, (a + b, ones + zeros - a - b, F.lit(ones))), _x_log_x(F.lit(zeros)))
+    z = F.signum(odds) * F.sqrt(F.greatest(F.lit(0.0), 2 * ratio))
+    best = written(words.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(a >= LEAST_DOCS).withColumns({"odds": odds, "z": z}).where(F.col("z") >= LEAST_Z))  # read twice
+    part = F.col("w").contains(" ")
+    found = [r for kept, most in ((~part, MAX_LEXICON), (part & (F.col("odds") >= LEAST_ODDS), MAX_PARTS)) for r in best.where(kept).orderBy(F.desc("z"), "w").limit(most).collect()]
+    return {w: 2.0 for w in SEED_WORDS} | {r["w"]: float(r["odds"]) for r in found}
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS):
@@ -108,7 +141,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     if len(sizes) < 4:
         return lexicon, ones / seen if seen else 0.0, None
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    trees = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_tree", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, checkpointInterval=-1).setRawPredictionCol("_raw").setProbabilityCol("_probability")
+    trees = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_tree", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_DOCS, stepSize=STEP, seed=7, checkpointInterval=-1).setRawPredictionCol("_raw").setProbabilityCol("_probability")
     model = PipelineModel([assembler, trees.fit(assembler.transform(data.where("not _aside")))])
     raised = _raised(model.transform(data.where("_aside"))).select("_p", F.col("_label").cast("double").alias("_label"))
     return lexicon, model, IsotonicRegression(featuresCol="_p", labelCol="_label", predictionCol="_score").fit(raised)

@@ -101,6 +101,24 @@ def test_toxicity(spark, docs):
     assert hit[2] == 1.0 and hit[5] == 1.0 and hit[11] >= 1.0
 
 
+def test_toxic_words_of_one_family(spark):
+    rng = random.Random(8)
+
+    def text(i, family):
+        words = prose(rng, 40).split()
+        if family:  # each has an end of its own
+            words[rng.randrange(40)] = "grolk" + "".join(rng.choice("mnoprstu") for _ in range(5))
+        return " ".join(words + ["blorf"] * (i % 20 == 0))
+
+    marked = spark.createDataFrame([(i, text(i, i % 5 == 0), int(i % 5 == 0)) for i in range(600)], "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn_lexicon(marked)
+    assert {"blorf", " grolk"} <= set(lexicon) and toxicity.features("abc Grolkxyz!!", lexicon)[-1] >= toxicity.LEAST_ODDS
+    assert toxicity.features("grol", {" gro": 3.0, "rol ": 4.0, "gro": 5.0}, memo := {})[-1] == 4.0 and memo == {"grol": 4.0}
+    assert not any(toxicity.features("abgrolk decab", lexicon)[-5:])
+    given = spark.createDataFrame([(i, text(1, i % 2)) for i in range(200)], "doc_id long, text string")
+    assert sum(r.predicted == r.doc_id % 2 for r in toxicity.score(given, *toxicity.train(marked)).collect()) >= 196
+
+
 def test_token_counts(docs, rows):
     trie = tokencount.PrefixTrie({"▁a": -1.0, "▁": -3.0, "ab": -2.0, "b": -2.5, "bb": -2.2, "c": -4.0}, -9.0)
 
