@@ -380,6 +380,11 @@ def near_links(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text")
     rule it out: those differ by no more than the texts do. So the links join all texts that any near pair of a band would join.
     An empty table gives no row; repeated rows are one node; extra columns are not read.
     """
+    return _links_and_components(docs, unlike, text_col)[0]
+
+
+def _links_and_components(docs: DataFrame, unlike: float, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """near_links, and the (node, component) of all nodes in them; each call of components goes on from the one before."""
     most = int(unlike * COORDS)
     prints = _walked(docs, text_col)
 
@@ -392,21 +397,22 @@ def near_links(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text")
     dealt = map_batches(prints, cut, "key long, node long").repartition("key")
     shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot != top").select("key", "pivot")
     rows, links = written(dealt.join(shared, "key").withColumn("spot", F.expr(f"pmod(key, {_SPOTS}L)"))), None
+    joined = None
     met = rows.select("node", F.expr(f"cast(spot div {WALKS} as int)").alias("level")).distinct()
     prints = written(prints.join(met, ["node", "level"], "left_semi"))  # the others are compared with none
     for turn in range(PIVOTS):
         told = _compared(rows.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "spot").distinct(), prints)
         found = told.where(F.col("differ") <= most).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        joined = components(links)
-        mark = told.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "spot", F.col("differ").alias(f"d{turn}"))
-        rows = rows.join(mark, ["pivot", "node", "spot"], "left").fillna(0, [f"d{turn}"])  # the pivot is at no distance
-        rows = rows.drop("component", "main", "pivot").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        joined = components(found, joined)
+        rows = rows.drop("component", "main").withColumnRenamed("pivot", "met").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = rows.groupBy("key", "component").agg(F.count("*").alias("texts"), F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
         main = sizes.groupBy("key").agg(F.max(F.struct("texts", "component", "pivot")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-        rows = written(rows.join(main.select("key", F.col("m.component").alias("main"), F.col("m.pivot").alias("pivot")), "key"))
+        rows = rows.join(main.select("key", F.col("m.component").alias("main"), F.col("m.pivot").alias("pivot")), "key")
+        mark = told.select(F.col("a").alias("met"), F.col("b").alias("node"), "spot", F.col("differ").alias(f"d{turn}"))
+        rows = written(rows.join(mark, ["met", "node", "spot"], "left").fillna(0, [f"d{turn}"]).drop("met"))  # the pivot is at no distance
         if rows.isEmpty():
-            return links
+            return links, joined
     marks = [f"d{turn}" for turn in range(PIVOTS)]
     strays = rows.where("component != main").select("key", *(F.col(c).alias(f"_{c}") for c in ("node", "component", *marks)))
     both = (F.col("component") != F.col("_component")) & ((F.col("component") == F.col("main")) | (F.col("_node") < F.col("node")))
@@ -414,7 +420,10 @@ def near_links(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text")
         both &= F.abs(F.col(mark) - F.col(f"_{mark}")) <= most
     left = strays.join(rows, "key").where(both).select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b"), "spot")
     left = written(left.distinct())
-    return links if left.isEmpty() else links.unionByName(_compared(left, prints).where(F.col("differ") <= most).select("a", "b"))
+    if left.isEmpty():
+        return links, joined
+    found = _compared(left, prints).where(F.col("differ") <= most).select("a", "b")
+    return links.unionByName(found), components(found, joined)
 
 
 def near_ids(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -423,7 +432,7 @@ def near_ids(docs: DataFrame, unlike: float = UNLIKE, text_col: str = "text", id
     Null ids are no smallest unless there is no other; null texts are empty; repeated rows repeat; an empty table gives no row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _node(text_col).alias("node"))
-    joined = components(near_links(docs, unlike, text_col))
+    _, joined = _links_and_components(docs, unlike, text_col)
     rows = rows.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = written(rows.select("doc_id", "component"))
     least = rows.groupBy("component").agg(F.min("doc_id").alias("near_id"))

@@ -401,6 +401,24 @@ def test_near_walks():
     assert all(levels[n - 1] & levels[n + n // 12 - 1] for n in range(1, 1380)) and fingerprint.walk_prints(["", ""]) == fingerprint.walk_prints([]) == []
 
 
+def test_components_go_on_from_known_ones(spark, docs, monkeypatch):
+    """The same components in fewer rounds, and near_ids never starts them anew."""
+    tables, seen, write, whole = [], [], components.written, components.components
+    monkeypatch.setattr(components, "written", lambda df: tables.append(0) or write(df))
+    chain = [(i, i + 1) for i in range(100)] + [(i, i + 1) for i in range(200, 300)]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    found = lambda df: sorted(map(tuple, df.select("node", "component").collect()))
+    known = components.components(frame(chain))
+    first, more = len(tables), [(50, 250), (400, 300), (7, 7)]
+    assert found(components.components(frame(more), known)) == found(components.components(frame(chain + more)))
+    tables.clear()
+    components.components(frame(more), known)
+    assert len(tables) < first and found(components.components(frame([]), known)) == found(known) and found(components.components(frame([]))) == []
+    monkeypatch.setattr(fingerprint, "components", lambda *given: seen.append(given) or whole(*given))
+    fingerprint.near_ids(docs, 0.05)  # many are unlike their first pivot
+    assert len(seen) > 1 and all(len(given) == 2 and given[1] is not None for given in seen[1:])
+
+
 def test_near_links(docs):
     """All texts that share a band of a walk that is near are joined, and no others."""
     given = {r.node: r.text for r in docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text")).collect()}
