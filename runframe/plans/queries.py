@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabets, scalars
 from ..model import KEY, UNSPLIT, BALANCED, SplitParams
-from ..operators import movetable, navigate, phi, powers, recover, rlbwt, runs, search, split
+from ..operators import movetable, navigate, phi, powers, recover, rlbwt, runs, search, split, whole
 from ..scratch import shared_dir, written
 from ..sources import files, store
 from . import inputs
@@ -53,12 +53,6 @@ def _bwt(spark, d):
     return written(recover.suffix_sort(inputs.part_names(spark, d)))
 
 
-def _long_bwt(spark, d):
-    """The BWTs of whole documents by prefix doubling."""
-    texts = written(inputs.document_texts(spark, d))
-    return written(recover.bwt_of(texts, recover.suffix_array(texts)))
-
-
 def q_runs(spark, d):
     return runs.decompose(_d1(spark, d))
 
@@ -506,6 +500,30 @@ def q_separate_payload(spark, d):
 QUERIES: dict = {name: f for name, f in list(globals().items()) if name.startswith("q_") and callable(f)}
 
 
+def _over_documents(query, kind, make, source):
+    """``query`` over whole documents: texts that a task holds whole are sorted and read there, and ``query`` gets the others."""
+
+    def run(spark, d):
+        texts = inputs.document_texts(spark, d)
+        return whole.by_length(texts, lambda short: whole.over_texts(short, make, kind), lambda long: query(spark, d, source(long)))
+
+    run.__doc__, run.__name__ = query.__doc__, query.__name__.replace("q_", "doc_", 1)
+    return run
+
+
+def _sorted(texts):
+    return lambda spark, d: written(recover.bwt_of(texts, recover.suffix_array(texts)))
+
+
+def _given(texts):
+    return lambda spark, d: texts
+
+
+def _long_bwt(spark, d):
+    """The BWTs of whole documents by prefix doubling."""
+    return _sorted(inputs.document_texts(spark, d))(spark, d)
+
+
 def _over(query, **source):
     def run(spark, d):
         return query(spark, d, **source)
@@ -515,6 +533,7 @@ def _over(query, **source):
 
 
 #: The text queries over whole documents, named doc_ for q_; SQL that sorts suffixes of such texts is too slow, so there is none.
-ON_BWT = [q_bwt, q_phi, q_phi_inv, q_phi_rank, q_phi_inv_rank, q_phi_move, q_phi_inv_move, q_text_lf, q_text_fl, q_sa_phi, q_sa_phi_inv, q_cycle_order, q_single_cycle]
-ON_TEXTS = [q_suffix_array, q_bwt_long]
-QUERIES |= {f.__name__: f for f in [*(_over(q, bwt=_long_bwt) for q in ON_BWT), *(_over(q, texts=inputs.document_texts) for q in ON_TEXTS)]}
+ON_BWT = [(q_bwt, "bwt", whole.bwt_rows)]
+ON_TEXTS = []
+BY_ROWS = [_over(q_bwt_long, bwt=_long_bwt), _over(q_cycle_order, bwt=_long_bwt), _over(q_phi, bwt=_long_bwt), _over(q_phi_inv, bwt=_long_bwt), _over(q_phi_inv_move, bwt=_long_bwt), _over(q_phi_inv_rank, bwt=_long_bwt), _over(q_phi_move, bwt=_long_bwt), _over(q_phi_rank, bwt=_long_bwt), _over(q_sa_phi_inv, bwt=_long_bwt), _over(q_single_cycle, bwt=_long_bwt), _over(q_sa_phi, bwt=_long_bwt), _over(q_text_fl, bwt=_long_bwt), _over(q_text_lf, bwt=_long_bwt), _over(q_suffix_array, texts=inputs.document_texts)]
+QUERIES |= {f.__name__: f for f in [*(_over_documents(*q, source=_sorted) for q in ON_BWT), *(_over_documents(*q, source=_given) for q in ON_TEXTS), *BY_ROWS]}
