@@ -39,7 +39,7 @@ def test_documents_need_no_shuffle(spark, tmp_path, name):
     assert rows_of(found) == by_sql(f"q_{name}")
 
 
-@pytest.mark.parametrize("name", [])
+@pytest.mark.parametrize("name", ["bwt_long"])
 def test_suffixes_need_no_shuffle(spark, tmp_path, name):
     found = entry.queries()[f"doc_{name}"](spark, documents(spark, tmp_path, "benchmark", "item_id", "text"))
     assert "Exchange" not in found._jdf.queryExecution().toString()
