@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from runframe.operators import recover, whole
 
 DATA = "/root/testdata/sf0.001"
-ON_BWT = ["bwt", "cycle_order", "phi"]
+ON_BWT = ["bwt", "cycle_order", "phi", "phi_inv"]
 
 
 def rows_of(df):
@@ -51,9 +51,9 @@ def test_longer_texts_are_cut(spark, tmp_path, monkeypatch):
     cut, sort = [], recover.suffix_array
     monkeypatch.setattr(whole, "LONGEST", 10)  # some names are longer
     monkeypatch.setattr(recover, "suffix_array", lambda texts: cut.append(texts.count()) or sort(texts))
-    for name in ("bwt",):
+    for name in ("bwt", "phi_inv"):
         assert rows_of(entry.queries()[f"doc_{name}"](spark, folder)) == by_sql(f"q_{name}")
-    assert len(cut) == 1 and all(0 < n < 200 for n in cut)
+    assert len(cut) == 2 and all(0 < n < 200 for n in cut)
 
 
 def test_suffixes_of_odd_texts(monkeypatch):
