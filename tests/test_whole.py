@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from runframe.operators import recover, whole
 
 DATA = "/root/testdata/sf0.001"
-ON_BWT = ["bwt", "cycle_order", "phi", "phi_inv"]
+ON_BWT = ["bwt", "cycle_order", "phi", "phi_inv", "phi_inv_move"]
 
 
 def rows_of(df):
