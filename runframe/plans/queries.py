@@ -533,7 +533,7 @@ def _over(query, **source):
 
 
 #: The text queries over whole documents, named doc_ for q_; SQL that sorts suffixes of such texts is too slow, so there is none.
-ON_BWT = [(q_bwt, "bwt", whole.bwt_rows), (q_cycle_order, "order", whole.along_lf(whole.cycle_rows)), (q_phi, "runs", whole.phi_rows(-1)), (q_phi_inv, "runs", whole.phi_rows(1)), (q_phi_inv_move, "move", whole.phi_moves(1)), (q_phi_inv_rank, "ranks", whole.phi_ranks(1)), (q_phi_move, "move", whole.phi_moves(-1)), (q_phi_rank, "ranks", whole.phi_ranks(-1)), (q_sa_phi_inv, "suffix_array", whole.suffixes_by_phi(1)), (q_single_cycle, "single", whole.along_lf(whole.single_rows)), (q_sa_phi, "suffix_array", whole.suffixes_by_phi(-1)), (q_text_fl, "texts", whole.text_fl)]
+ON_BWT = [(q_bwt, "bwt", whole.bwt_rows), (q_cycle_order, "order", whole.along_lf(whole.cycle_rows)), (q_phi, "runs", whole.phi_rows(-1)), (q_phi_inv, "runs", whole.phi_rows(1)), (q_phi_inv_move, "move", whole.phi_moves(1)), (q_phi_inv_rank, "ranks", whole.phi_ranks(1)), (q_phi_move, "move", whole.phi_moves(-1)), (q_phi_rank, "ranks", whole.phi_ranks(-1)), (q_sa_phi_inv, "suffix_array", whole.suffixes_by_phi(1)), (q_single_cycle, "single", whole.along_lf(whole.single_rows)), (q_sa_phi, "suffix_array", whole.suffixes_by_phi(-1)), (q_text_fl, "texts", whole.text_fl), (q_text_lf, "texts", whole.text_lf)]
 ON_TEXTS = [(q_bwt_long, "bwt", whole.bwt_rows)]
-BY_ROWS = [_over(q_text_lf, bwt=_long_bwt), _over(q_suffix_array, texts=inputs.document_texts)]
+BY_ROWS = [_over(q_suffix_array, texts=inputs.document_texts)]
 QUERIES |= {f.__name__: f for f in [*(_over_documents(*q, source=_sorted) for q in ON_BWT), *(_over_documents(*q, source=_given) for q in ON_TEXTS), *BY_ROWS]}

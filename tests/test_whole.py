@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from runframe.operators import recover, whole
 
 DATA = "/root/testdata/sf0.001"
-ON_BWT = ["bwt", "cycle_order", "phi", "phi_inv", "phi_inv_move", "phi_inv_rank", "phi_move", "phi_rank", "sa_phi_inv", "single_cycle", "sa_phi", "text_fl"]
+ON_BWT = ["bwt", "cycle_order", "phi", "phi_inv", "phi_inv_move", "phi_inv_rank", "phi_move", "phi_rank", "sa_phi_inv", "single_cycle", "sa_phi", "text_fl", "text_lf"]
 
 
 def rows_of(df):
