@@ -519,21 +519,11 @@ def _given(texts):
     return lambda spark, d: texts
 
 
-def _long_bwt(spark, d):
-    """The BWTs of whole documents by prefix doubling."""
-    return _sorted(inputs.document_texts(spark, d))(spark, d)
-
-
-def _over(query, **source):
-    def run(spark, d):
-        return query(spark, d, **source)
-
-    run.__doc__, run.__name__ = query.__doc__, query.__name__.replace("q_", "doc_", 1)
-    return run
-
-
 #: The text queries over whole documents, named doc_ for q_; SQL that sorts suffixes of such texts is too slow, so there is none.
-ON_BWT = [(q_bwt, "bwt", whole.bwt_rows), (q_cycle_order, "order", whole.along_lf(whole.cycle_rows)), (q_phi, "runs", whole.phi_rows(-1)), (q_phi_inv, "runs", whole.phi_rows(1)), (q_phi_inv_move, "move", whole.phi_moves(1)), (q_phi_inv_rank, "ranks", whole.phi_ranks(1)), (q_phi_move, "move", whole.phi_moves(-1)), (q_phi_rank, "ranks", whole.phi_ranks(-1)), (q_sa_phi_inv, "suffix_array", whole.suffixes_by_phi(1)), (q_single_cycle, "single", whole.along_lf(whole.single_rows)), (q_sa_phi, "suffix_array", whole.suffixes_by_phi(-1)), (q_text_fl, "texts", whole.text_fl), (q_text_lf, "texts", whole.text_lf)]
-ON_TEXTS = [(q_bwt_long, "bwt", whole.bwt_rows)]
-BY_ROWS = [_over(q_suffix_array, texts=inputs.document_texts)]
-QUERIES |= {f.__name__: f for f in [*(_over_documents(*q, source=_sorted) for q in ON_BWT), *(_over_documents(*q, source=_given) for q in ON_TEXTS), *BY_ROWS]}
+ON_BWT = [
+    (q_bwt, "bwt", whole.bwt_rows), (q_phi, "runs", whole.phi_rows(-1)), (q_phi_inv, "runs", whole.phi_rows(1)), (q_phi_rank, "ranks", whole.phi_ranks(-1)), (q_phi_inv_rank, "ranks", whole.phi_ranks(1)),
+    (q_phi_move, "move", whole.phi_moves(-1)), (q_phi_inv_move, "move", whole.phi_moves(1)), (q_text_lf, "texts", whole.text_lf), (q_text_fl, "texts", whole.text_fl), (q_sa_phi, "suffix_array", whole.suffixes_by_phi(-1)),
+    (q_sa_phi_inv, "suffix_array", whole.suffixes_by_phi(1)), (q_cycle_order, "order", whole.along_lf(whole.cycle_rows)), (q_single_cycle, "single", whole.along_lf(whole.single_rows)),
+]
+ON_TEXTS = [(q_suffix_array, "suffix_array", whole.suffix_rows), (q_bwt_long, "bwt", whole.bwt_rows)]
+QUERIES |= {f.__name__: f for f in [*(_over_documents(*q, source=_sorted) for q in ON_BWT), *(_over_documents(*q, source=_given) for q in ON_TEXTS)]}
