@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..model import KEY, TERMINATOR
 from ..scratch import written
 
-#: Symbols of a sequence that is held whole, its end mark included, and those with which a batch ends.
-LONGEST, BATCH = 1 << 20, 1 << 18
+#: Symbols of a sequence that is held whole, its end mark included, those with which a batch ends, and those of a task where texts are dealt out.
+LONGEST, BATCH, TASK = 1 << 20, 1 << 18, 1 << 22
 
 ROWS = {
     "suffix_array": f"{KEY} long, i long, sa long",
@@ -75,29 +75,37 @@ def by_length(texts: DataFrame, short: Callable, long: Callable) -> DataFrame:
     return found if rest.isEmpty() else found.unionByName(long(written(rest)))
 
 
-def over_texts(texts: DataFrame, make: Callable[[Held], Columns], kind: str) -> DataFrame:
-    """The rows that ``make`` gives of short (seq_id, text), with the end mark added. Null texts are empty."""
+def dealt(texts: DataFrame, times: int = 1) -> DataFrame:
+    """Short texts over as many tasks as their symbols, each counted ``times``, need: a small table may be one file's split."""
+    symbols = texts.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
+    return texts.repartition(1 + symbols * times // TASK, KEY)
+
+
+def over_texts(texts: DataFrame, make: Callable[[Held], Columns], kind: str, mark: str = TERMINATOR) -> DataFrame:
+    """The rows that ``make`` gives of short (seq_id, text), with the end mark added. Null texts are empty, and left out where there is no mark."""
     names = [c.split()[0] for c in ROWS[kind].split(", ")]
 
     def run(batches):
-        for held in held_texts(batches):
+        for held in held_texts(batches, mark):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in make(held)], names)
 
-    return texts.select(F.col(KEY).cast("long").alias(KEY), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ROWS[kind])
+    rows = texts.select(F.col(KEY).cast("long").alias(KEY), F.coalesce("text", F.lit("")).alias("text"))
+    return (rows if mark else rows.where("text != ''")).mapInArrow(run, ROWS[kind])
 
 
-def held_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Held]:
+def held_texts(batches: Iterator[pa.RecordBatch], mark: str = TERMINATOR) -> Iterator[Held]:
     for batch in batches:
         keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + len(mark))
         at = 0
         while at < len(keys):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, side="right")))
-            yield laid_out(keys[at:upto], texts.slice(at, upto - at).to_pylist())
+            yield laid_out(keys[at:upto], texts.slice(at, upto - at).to_pylist(), mark)
             at = upto
 
 
 def laid_out(keys: np.ndarray, texts: list[str], mark: str = TERMINATOR) -> Held:
+    """Texts, each with ``mark`` behind it."""
     points = np.frombuffer((mark.join(texts) + mark).encode("utf-32-le", "surrogatepass"), "<u4")
     bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + len(mark))])
     seen = np.zeros(int(points.max(initial=0)) + 1, bool)
@@ -328,3 +336,8 @@ def along_lf(make: Callable[[Held, np.ndarray], Columns]) -> Callable[[Held], Co
         return make(bwt, lf(bwt))
 
     return run
+
+
+def sorting(make: Callable[[Held, np.ndarray], Columns]) -> Callable[[Held], Columns]:
+    """``make`` of where each symbol of a sequence goes when they are sorted, of several cycles mostly."""
+    return lambda held: make(held, lf(held))

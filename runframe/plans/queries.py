@@ -387,6 +387,13 @@ def q_phi_inv_move(spark, d, bwt=_bwt):
     return phi.phi_inv_move(rle, UNSPLIT).select(*MOVE)
 
 
+def _over_repeats(spark, d, make, by_runs):
+    """``make`` of part names repeated, whose BWTs have far fewer runs than symbols; where one is too long to be held whole, ``by_runs``."""
+    texts = whole.dealt(inputs.part_names(spark, d), REPEATS).select(KEY, F.repeat("text", F.lit(REPEATS)).alias("text"))
+    coded = lambda long: written(rlbwt.run_length_encode(recover.bwt_of(long, recover.suffix_array(long))))
+    return whole.by_length(texts, lambda short: whole.over_texts(short, make, "move"), lambda long: by_runs(coded(long), UNSPLIT, FEW).select(*MOVE))
+
+
 def _repeats(spark, d):
     """rlbwt: runs of the BWTs of part names repeated, whose runs are far fewer than their symbols."""
     texts = inputs.part_names(spark, d).select(KEY, F.repeat("text", F.lit(REPEATS)).alias("text"))
@@ -399,7 +406,7 @@ def q_phi_move_repeats(spark, d):
 
 
 def q_phi_inv_move_repeats(spark, d):
-    return phi.phi_inv_move(_repeats(spark, d), UNSPLIT, FEW).select(*MOVE)
+    return _over_repeats(spark, d, whole.phi_moves(1), phi.phi_inv_move)
 
 
 def q_phi_next(spark, d, bwt=_bwt):
@@ -438,16 +445,16 @@ def q_cycle_order(spark, d, bwt=_bwt):
     return navigate.cycle_order(rlbwt.lf(bwt(spark, d)).drop("ch"))
 
 
+def q_cycle_order_any(spark, d):
+    return navigate.cycle_order(_names_sorted(spark, d))
+
+
 def _names_sorted(spark, d):
     """perm, of several cycles mostly: where each letter of a part's name goes when they are sorted."""
     letters = inputs.part_names(spark, d).select(KEY, F.posexplode(F.split("text", "")).alias("i", "ch"))
     return written(rlbwt.lf(letters.where("ch != ''").withColumn("i", F.col("i").cast("long"))).drop("ch"))
 
 
-def q_cycle_order_any(spark, d):
-    return navigate.cycle_order(_names_sorted(spark, d))
-
-
 def q_single_cycle_any(spark, d):
     return navigate.is_single_cycle(_names_sorted(spark, d))
 
@@ -500,14 +507,13 @@ def q_separate_payload(spark, d):
 QUERIES: dict = {name: f for name, f in list(globals().items()) if name.startswith("q_") and callable(f)}
 
 
-def _over_documents(query, kind, make, source):
-    """``query`` over whole documents: texts that a task holds whole are sorted and read there, and ``query`` gets the others."""
+def _by_length(query, kind, make, source, texts, prefix):
+    """``query`` over ``texts``: those that a task holds whole are sorted and read there, and ``query`` gets the others."""
 
     def run(spark, d):
-        texts = inputs.document_texts(spark, d)
-        return whole.by_length(texts, lambda short: whole.over_texts(short, make, kind), lambda long: query(spark, d, source(long)))
+        return whole.by_length(texts(spark, d), lambda short: whole.over_texts(short, make, kind), lambda long: query(spark, d, source(long)))
 
-    run.__doc__, run.__name__ = query.__doc__, query.__name__.replace("q_", "doc_", 1)
+    run.__doc__, run.__name__ = query.__doc__, query.__name__.replace("q_", prefix, 1)
     return run
 
 
@@ -526,4 +532,4 @@ ON_BWT = [
     (q_sa_phi_inv, "suffix_array", whole.suffixes_by_phi(1)), (q_cycle_order, "order", whole.along_lf(whole.cycle_rows)), (q_single_cycle, "single", whole.along_lf(whole.single_rows)),
 ]
 ON_TEXTS = [(q_suffix_array, "suffix_array", whole.suffix_rows), (q_bwt_long, "bwt", whole.bwt_rows)]
-QUERIES |= {f.__name__: f for f in [*(_over_documents(*q, source=_sorted) for q in ON_BWT), *(_over_documents(*q, source=_given) for q in ON_TEXTS)]}
+QUERIES |= {f.__name__: f for qs, source in ((ON_BWT, _sorted), (ON_TEXTS, _given)) for f in (_by_length(*q, source, inputs.document_texts, "doc_") for q in qs)}

@@ -67,3 +67,37 @@ def test_suffixes_of_odd_texts(monkeypatch):
         own = slice(at, at + len(text))
         assert (keys[own], places[own], suffixes[own], before[own]) == ([number + 7] * len(text), list(range(len(text))), order, [text[p - 1] for p in order])
         at += len(text)
+
+
+@pytest.mark.parametrize("name", ["q_phi_inv_move_repeats"])
+def test_names_are_joined_with_nothing(spark, name):
+    found = entry.queries()[name](spark, DATA)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert rows_of(found) == by_sql(name)
+
+
+def test_work_is_dealt_out(spark, monkeypatch):
+    names = spark.createDataFrame([(i, "abc") for i in range(100)] + [(100, None)], "seq_id long, text string").coalesce(1)
+    monkeypatch.setattr(whole, "TASK", 200)
+    assert whole.dealt(names, 5).rdd.getNumPartitions() == 11
+
+
+@pytest.mark.parametrize("name", [])
+def test_longer_names_are_cut(spark, monkeypatch, name):
+    monkeypatch.setattr(whole, "LONGEST", 10)
+    assert rows_of(entry.queries()[name](spark, DATA)) == by_sql(name)
+
+
+def test_cycles_of_many_permutations():
+    rnd = random.Random(6)
+    perms = [rnd.sample(range(n), n) for n in (1, 2, 3, 9, 9, 30) for _ in range(20)]
+    bounds = np.cumsum([0, *map(len, perms)])
+    held = whole.Held(np.arange(len(perms)), bounds, np.zeros(bounds[-1], np.int64), None)
+    found = sorted(zip(*(c.tolist() for c in whole.cycle_rows(held, np.concatenate([np.array(p) + b for p, b in zip(perms, bounds, strict=False)]))), strict=True))
+    wanted = []
+    for key, perm in enumerate(perms):
+        at = 0
+        for step in range(len(perm)):
+            wanted.append((key, step, at))
+            at = perm[at]
+    assert found == wanted
