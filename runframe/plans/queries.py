@@ -445,8 +445,23 @@ def q_cycle_order(spark, d, bwt=_bwt):
     return navigate.cycle_order(rlbwt.lf(bwt(spark, d)).drop("ch"))
 
 
+def _names(spark, d):
+    return whole.dealt(inputs.part_names(spark, d))
+
+
+def _over_letters(spark, d, make, kind, by_rows):
+    """``make`` of where each letter of a part's name goes when they are sorted, of several cycles mostly; ``by_rows`` of long names."""
+
+    def long(texts):
+        sizes = texts.select(KEY, F.length("text").alias("_end"))
+        letters = recover.symbols_of(texts).join(sizes, KEY).where("sa < _end").select(KEY, F.col("sa").alias("i"), "ch")
+        return by_rows(written(rlbwt.lf(letters).drop("ch")))
+
+    return whole.by_length(_names(spark, d), lambda short: whole.over_texts(short, whole.sorting(make), kind, mark=""), long)
+
+
 def q_cycle_order_any(spark, d):
-    return navigate.cycle_order(_names_sorted(spark, d))
+    return _over_letters(spark, d, whole.cycle_rows, "order", navigate.cycle_order)
 
 
 def _names_sorted(spark, d):
