@@ -394,15 +394,9 @@ def _over_repeats(spark, d, make, by_runs):
     return whole.by_length(texts, lambda short: whole.over_texts(short, make, "move"), lambda long: by_runs(coded(long), UNSPLIT, FEW).select(*MOVE))
 
 
-def _repeats(spark, d):
-    """rlbwt: runs of the BWTs of part names repeated, whose runs are far fewer than their symbols."""
-    texts = inputs.part_names(spark, d).select(KEY, F.repeat("text", F.lit(REPEATS)).alias("text"))
-    return written(rlbwt.run_length_encode(recover.suffix_sort(texts)))
-
-
 def q_phi_move_repeats(spark, d):
-    """Over repeated part names, where LF's domain is contracted before it is ranked."""
-    return phi.phi_move(_repeats(spark, d), UNSPLIT, FEW).select(*MOVE)
+    """Over repeated part names; LF's domain is contracted before it is ranked where it does not fit a task."""
+    return _over_repeats(spark, d, whole.phi_moves(-1), phi.phi_move)
 
 
 def q_phi_inv_move_repeats(spark, d):
