@@ -543,5 +543,5 @@ ON_BWT = [
 ON_TEXTS = [(q_suffix_array, "suffix_array", whole.suffix_rows), (q_bwt_long, "bwt", whole.bwt_rows)]
 QUERIES |= {f.__name__: f for qs, source in ((ON_BWT, _sorted), (ON_TEXTS, _given)) for f in (_by_length(*q, source, inputs.document_texts, "doc_") for q in qs)}
 #: Of a great many names, which took joins of tables with a row a name.
-ON_NAMES = [(q_phi_inv_rank, "ranks", whole.phi_ranks(1))]
+ON_NAMES = [(q_phi_rank, "ranks", whole.phi_ranks(-1)), (q_phi_inv_rank, "ranks", whole.phi_ranks(1))]
 QUERIES |= {f.__name__: f for f in (_by_length(*q, _sorted, _names, "q_") for q in ON_NAMES)}

@@ -69,7 +69,7 @@ def test_suffixes_of_odd_texts(monkeypatch):
         at += len(text)
 
 
-@pytest.mark.parametrize("name", ["q_phi_inv_rank", "q_cycle_order_any", "q_phi_move_repeats", "q_phi_inv_move_repeats"])
+@pytest.mark.parametrize("name", ["q_phi_rank", "q_phi_inv_rank", "q_cycle_order_any", "q_phi_move_repeats", "q_phi_inv_move_repeats"])
 def test_names_are_joined_with_nothing(spark, name):
     found = entry.queries()[name](spark, DATA)
     assert "Join" not in found._jdf.queryExecution().toString()
