@@ -458,14 +458,8 @@ def q_cycle_order_any(spark, d):
     return _over_letters(spark, d, whole.cycle_rows, "order", navigate.cycle_order)
 
 
-def _names_sorted(spark, d):
-    """perm, of several cycles mostly: where each letter of a part's name goes when they are sorted."""
-    letters = inputs.part_names(spark, d).select(KEY, F.posexplode(F.split("text", "")).alias("i", "ch"))
-    return written(rlbwt.lf(letters.where("ch != ''").withColumn("i", F.col("i").cast("long"))).drop("ch"))
-
-
 def q_single_cycle_any(spark, d):
-    return navigate.is_single_cycle(_names_sorted(spark, d))
+    return _over_letters(spark, d, whole.single_rows, "single", navigate.is_single_cycle)
 
 
 def q_single_cycle(spark, d, bwt=_bwt):

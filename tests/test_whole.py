@@ -69,7 +69,7 @@ def test_suffixes_of_odd_texts(monkeypatch):
         at += len(text)
 
 
-@pytest.mark.parametrize("name", ["q_phi_rank", "q_phi_inv_rank", "q_cycle_order_any", "q_phi_move_repeats", "q_phi_inv_move_repeats"])
+@pytest.mark.parametrize("name", ["q_phi_rank", "q_phi_inv_rank", "q_cycle_order_any", "q_single_cycle_any", "q_phi_move_repeats", "q_phi_inv_move_repeats"])
 def test_names_are_joined_with_nothing(spark, name):
     found = entry.queries()[name](spark, DATA)
     assert "Join" not in found._jdf.queryExecution().toString()
@@ -82,7 +82,7 @@ def test_work_is_dealt_out(spark, monkeypatch):
     assert whole.dealt(names, 5).rdd.getNumPartitions() == 11
 
 
-@pytest.mark.parametrize("name", ["q_cycle_order_any", "q_phi_inv_rank"])
+@pytest.mark.parametrize("name", ["q_cycle_order_any", "q_single_cycle_any", "q_phi_inv_rank"])
 def test_longer_names_are_cut(spark, monkeypatch, name):
     monkeypatch.setattr(whole, "LONGEST", 10)
     assert rows_of(entry.queries()[name](spark, DATA)) == by_sql(name)
