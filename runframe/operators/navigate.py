@@ -26,12 +26,14 @@ def last(move: DataFrame) -> DataFrame:
 def locate(points: DataFrame, move: DataFrame, at: str = "idx", strategy: str | None = None) -> DataFrame:
     """``points`` with interval and off of the index in ``at``.
 
-    ``strategy`` is "scan" (one ordered pass over points and intervals), "search" (a binary search in the starts, sent to all tasks)
-    or None: a search if the intervals are few enough to be sent, by their count.
+    ``strategy`` is "scan" (one ordered pass over points and intervals), "search" (a binary search in the starts, sent to all tasks
+    or, if their count says that they are too many, to the points of their block) or None: a search if they can be sent.
     """
     rest = points.drop("interval", "off")
-    if strategy == "search" or strategy is None and lookup.fits(move):
+    if strategy != "scan" and lookup.fits(move):
         return lookup.searched(rest, move, at)
+    if strategy == "search":
+        return lookup.searched_in_blocks(rest, move, at)
     found = as_of(rest, at, move, {"interval": "interval", "start": "_start"})
     return found.withColumn("off", F.col(at) - F.col("_start")).drop("_start")
 

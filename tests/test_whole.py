@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from runframe.operators import recover, whole
+from runframe.operators import lookup, navigate, recover, whole
 
 DATA = "/root/testdata/sf0.001"
 ON_BWT = ["bwt", "phi", "phi_inv", "phi_rank", "phi_inv_rank", "phi_move", "phi_inv_move", "text_lf", "text_fl", "sa_phi", "sa_phi_inv", "cycle_order", "single_cycle"]
@@ -101,3 +101,21 @@ def test_cycles_of_many_permutations():
             wanted.append((key, step, at))
             at = perm[at]
     assert found == wanted
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_search_sends_few_intervals(spark, monkeypatch, batch):
+    rnd = random.Random(8)
+    rows = [(s, k, start, length) for s in range(5) for k, (start, length) in enumerate(zip(range(0, 60, 3), [3, 2, 0, 1] * 5, strict=True))] + [(9, 0, 0, 200)]
+    move = spark.createDataFrame(rows, "seq_id long, interval long, start long, length long")
+    points = spark.createDataFrame([(rnd.choice([*range(6), 9, None]), rnd.choice([None, *range(-3, 70), 150, 1 << 40]), str(i)) for i in range(400)], "seq_id long, idx long, note string")
+    monkeypatch.setattr(lookup, "MOST_BYTES", 0)
+    wanted = sorted(map(repr, lookup.searched(points, move, "idx").collect()))
+    monkeypatch.setattr(lookup, "searched", None)
+    monkeypatch.setattr(lookup, "fits", lambda move: False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert sorted(map(repr, navigate.locate(points, move, strategy="search").collect())) == wanted
+        assert sorted(map(repr, lookup.searched_in_blocks(points, move, "idx", 7).collect())) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
