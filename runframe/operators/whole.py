@@ -8,6 +8,7 @@ Places are those in the laid-out arrays, so that a batch of sequences is sorted
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -15,6 +16,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ ROWS = {
     "single": f"{KEY} long, ok boolean",
 }
 Columns = list
+#: The functions of this file go to the executors themselves, as their Python may not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass
@@ -123,7 +127,7 @@ def sorted_suffixes(held: Held) -> np.ndarray:
     A key, and its place in the low bits, are sorted as one number.
     """
     n, place_bits, width = len(held.codes), _bits(len(held.codes)), _bits(held.codes.max(initial=1))
-    reach = max(1, (63 - place_bits - _bits(len(held.keys))) // width)
+    reach = min(n, max(1, (63 - place_bits - _bits(len(held.keys))) // width))
     place = np.arange(n)
     left = held.last - place
     key = held.own.copy()

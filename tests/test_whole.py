@@ -119,3 +119,9 @@ def test_search_sends_few_intervals(spark, monkeypatch, batch):
         assert sorted(map(repr, lookup.searched_in_blocks(points, move, "idx", 7).collect())) == wanted
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+@pytest.mark.parametrize("text", ["", "a", "aa", "ba\0"])
+def test_a_batch_of_one_short_text(text):
+    marked = text + chr(1)
+    assert whole.sorted_suffixes(whole.laid_out(np.arange(1), [text])).tolist() == sorted(range(len(marked)), key=lambda p: marked[p:])
